@@ -120,9 +120,11 @@ class Vocabulary:
             j = after[i]
             rank[i] = get(sym[i] << 20 | sym[j], -1) if j < n else -1
             if rank[i] >= 0:
-                queue.push(rank[i], i)
-                if (bucket := queue.buckets[rank[i]])[-1] is i or True:
-                    heapq._siftdown(bucket, 0, len(bucket) - 1)
+                bucket = queue.buckets.get(rank[i])
+                if bucket is None:
+                    queue.push(rank[i], i)
+                else:
+                    heapq.heappush(bucket, i)
 
         for i in range(n - 1):
             look(i)
@@ -256,15 +258,30 @@ class _Codes(dict):
         return code
 
 
-class _Pieces(_Codes):
-    """As _Codes, but a piece that is empty or has white space at an end is -1: it belongs to its neighbours."""
+class _Pieces(dict):
+    """Codes of pieces, which stand for a space and themselves, and of chunks, which stand for themselves only.
+
+    A piece that is empty or has white space at an end is -1: it belongs to its neighbours.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.count = 0
+        self.chunks: dict[str, int] = {}
+
+    def _add(self, text: str) -> int:
+        self.new.append(text)
+        self.count += 1
+        return self.count - 1
 
     def __missing__(self, key: str) -> int:
-        if not key or key[0].isspace() or key[-1].isspace():
-            self[key] = -1
-            return -1
-        self[key] = code = self.count = getattr(self, "count", -1) + 1
-        self.new.append(" " + key)
+        self[key] = code = -1 if not key or key[0].isspace() or key[-1].isspace() else self._add(" " + key)
+        return code
+
+    def chunk(self, text: str) -> int:
+        if (code := self.chunks.get(text)) is None:
+            self.chunks[text] = code = self._add(text)
         return code
 
 
@@ -302,65 +319,53 @@ class Encoder:
         if new:
             self.word_ids.add(*self.vocabulary.encode_all([w.encode("utf-8", "replace") for w in new]))
 
-    def _codes(self, texts: list[str | None]) -> list:
-        """For each text a list of (codes of pieces) and (chunks to split as a whole), in order."""
-        pieces = self.pieces.__getitem__
-        out = []
-        for text in texts:
-            if not text:
-                out.append(())
-                continue
-            parts = text.split(" ")
-            codes = np.fromiter(map(pieces, parts), np.int64, len(parts))
-            odd = codes < 0
-            odd[0] = True  # nothing precedes the first piece
-            # an odd piece goes with its neighbours; the first, if it is whole, stands alone
-            joined = odd.copy()
-            whole_first = codes[0] >= 0
-            joined[:-1] |= odd[1:]
-            joined[1:] |= odd[:-1]
-            if whole_first:
-                joined[1:2] = odd[1:2] | (odd[2:3] if len(odd) > 2 else False)
-            edges = np.flatnonzero(joined[1:] != joined[:-1]) + 1
-            plan, a = [], 0
-            for b in [*edges.tolist(), len(parts)]:
-                if joined[a]:
-                    plan.append((" " if a else "") + " ".join(parts[a:b]))
-                else:
-                    plan.append(codes[a:b])
-                a = b
-            out.append(plan)
-        return out
+    def _codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the pieces of all texts in a row, number of pieces of each text)."""
+        parts: list[str] = []
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        for k, text in enumerate(texts):
+            if text:
+                own = text.split(" ")
+                sizes[k] = len(own)
+                parts += own
+        if not parts:
+            return np.empty(0, np.int64), sizes
+        codes = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))
+        starts = np.zeros(len(parts), dtype=bool)
+        starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        # a piece that isn't whole goes with its neighbours in the text; the first has no space before it
+        odd = codes < 0
+        joined = odd | starts
+        joined[1:] |= odd[:-1] & ~starts[1:]
+        joined[:-1] |= odd[1:] & ~starts[1:]
+        begins = joined & starts
+        begins[1:] |= joined[1:] & ~joined[:-1]
+        first = np.flatnonzero(begins)
+        last = np.flatnonzero(joined & np.r_[~joined[1:] | starts[1:], True])
+        chunk = self.pieces.chunk
+        for a, b, top in zip(first.tolist(), last.tolist(), starts[first].tolist()):
+            codes[a] = chunk(("" if top else " ") + " ".join(parts[a : b + 1]))
+        kept = ~joined | begins
+        text_of = np.repeat(np.arange(len(texts)), sizes)[kept]
+        return codes[kept], np.bincount(text_of, minlength=len(texts))
 
     def encode(self, texts: list[str | None], count_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
         """(ids of all texts in a row, number of ids of each); the ids are left out with ``count_only``."""
-        if len(self.pieces) > REMEMBERED or len(self.words) > REMEMBERED:
+        if self.pieces.count > REMEMBERED or len(self.words) > REMEMBERED:
             self.forget()
-        plans = self._codes(texts)
+        codes, pieces = self._codes(texts)
         word = self.words.__getitem__
         new, self.pieces.new = self.pieces.new, []
-        split_new = [list(map(word, split(p))) for p in new]
-        chunks = {c for plan in plans for c in plan if isinstance(c, str)}
-        split_chunks = {c: np.array(list(map(word, split(c))), dtype=np.int64) for c in chunks}
-        self._learn_words()
         if new:
+            split_new = [list(map(word, split(p))) for p in new]
+            self._learn_words()
             flat = np.array([x for s in split_new for x in s], dtype=np.int64)
             sizes = np.add.reduceat(self.word_ids.size[flat], np.cumsum([0, *map(len, split_new)])[:-1])
             self.piece_ids.add(self.word_ids.gather(flat), sizes)
-        counts = np.zeros(len(texts), dtype=np.int64)
-        parts: list[np.ndarray] = []
-        for k, plan in enumerate(plans):
-            for item in plan:
-                store, codes = (self.word_ids, split_chunks[item]) if isinstance(item, str) else (self.piece_ids, item)
-                if count_only:
-                    counts[k] += int(store.size[codes].sum())
-                else:
-                    ids = store.gather(codes)
-                    counts[k] += len(ids)
-                    parts.append(ids)
-        if count_only:
-            return None, counts
-        return np.concatenate(parts) if parts else np.empty(0, np.int32), counts
+        total = np.concatenate(([0], np.cumsum(self.piece_ids.size[codes])))
+        ends = np.cumsum(pieces)
+        counts = total[ends] - total[ends - pieces]
+        return None if count_only else self.piece_ids.gather(codes), counts
 
 
 _encoders: dict[int, Encoder] = {}
@@ -375,7 +380,7 @@ def encoder_for(ranks: bytes) -> Encoder:
 
 
 #: Texts that are encoded at a time.
-STEP = 256
+STEP = 1024
 
 
 def encode_documents(documents: DataFrame, ranks_path: str = DEFAULT_RANKS, key: str = "doc_id", text: str = "text") -> DataFrame:
