@@ -68,14 +68,28 @@ def sections(text: str) -> dict[str, str]:
     return out
 
 
+#: Words by which a sentence speaks of other work than the invention.
+REMARK_CUES = (
+    "prior document", "prior art", "earlier application", "known solution", "unlike ", "attempts to replace", "unrelated field", "maintenance costs", "different purpose", "reported",
+    "bekannte lösung", "frühere schrift", "anders als", "anderen gebiet", "andere zwecke", "der ersatz von", "stand der technik",
+    "solutions connues", "documents antérieurs", "contrairement", "autre domaine", "d'autres fins", "le remplacement de", "art antérieur",
+    "现有技术", "在先文献", "其他领域", "其他目的", "不同,本方案", "不同，本方案", "代替",
+)
+_SENTENCE = re.compile(r"(?<=[.;。；])\s*|\n+")
+
+
+def _without_remarks(text: str) -> str:
+    return " ".join(s for s in _SENTENCE.split(text) if not any(cue in s for cue in REMARK_CUES))
+
+
 def invention(text: str) -> str:
     """The text on the invention itself: the claims, and the abstract where a heading closes it.
 
-    Without claims it is the abstract; if that isn't closed either, the whole text.
+    Without claims it is the abstract; if no heading closes that, the text without its remarks on other work.
     """
     parts = sections(text)
     if not parts["claims"].strip():
-        return parts["abstract"] if "open" not in parts or not parts["description"] else text
+        return _without_remarks(parts["abstract"]) if "open" in parts else parts["abstract"]
     return parts["claims"] if "open" in parts else parts["abstract"] + "\n" + parts["claims"]
 
 

@@ -6,7 +6,8 @@ and claims. The weights of an area's terms, divided by the length of the text, a
 and whose share of the document's total score exceed the calibrated thresholds is assigned, and so is the best one.
 
 The terms' weights and the thresholds are fitted on a sample of labelled documents, at most SAMPLE of them, taken by
-hash of the id. Every document is scored, over its whole abstract and claims.
+hash of the id. Every document is scored, over its whole abstract and claims, or its whole text where these hold no
+known term.
 
 Defined cases: null, empty and blank texts, and texts without any known term, have no area; raters that disagree count
 as several areas of a document; labels of unknown documents and terms with a null area or term are left out; without
@@ -171,9 +172,13 @@ def score(text: str | None, matcher: Matcher, weights: dict[str, tuple[str, floa
     """Score of each area per hundred characters of the text on the invention."""
     if text is None or not text.strip():
         return {}
-    own = invention(normal(text))
+    whole = normal(text)
+    own = invention(whole)
+    found = matcher.find(own)
+    if not found:  # nothing known in the abstract and claims: the whole text decides
+        own, found = whole, matcher.find(whole)
     scores: dict[str, float] = defaultdict(float)
-    for term, n in Counter(matcher.find(own)).items():
+    for term, n in Counter(found).items():
         area, weight = weights[term]
         scores[area] += weight * (1 + math.log(n))
     length = max(1, len(own)) / 100
