@@ -257,12 +257,11 @@ class MorTable:
         vectors = self.spark.read.parquet(*manifest["deleted"])
         if len(manifest["deleted"]) > 1:
             vectors = vectors.groupBy("dv_file", "dv_block").agg(F.expr("bitmap_or_agg(dv_bits)").alias("dv_bits"))
-        at = F.col("pos") + 1
         joined = rows.join(vectors, (F.col("file") == F.col("dv_file")) & (F.expr("bitmap_bucket_number(pos + 1)") == F.col("dv_block")), "left")
         byte = F.conv(F.hex(F.expr("substring(dv_bits, cast(bitmap_bit_position(pos + 1) div 8 + 1 as int), 1)")), 16, 10).cast("int")
         gone = F.expr("bitmap_bit_position(pos + 1) % 8")
-        is_set = (F.shiftright(byte, 0) % F.pow(F.lit(2), gone + 1)) >= F.pow(F.lit(2), gone)
-        return joined.where(F.col("dv_bits").isNull() | ~is_set).drop("dv_file", "dv_block", "dv_bits") if at is not None else joined
+        is_set = (byte % F.pow(F.lit(2), gone + 1)) >= F.pow(F.lit(2), gone)
+        return joined.where(F.col("dv_bits").isNull() | ~is_set).drop("dv_file", "dv_block", "dv_bits")
 
     def apply(self, changes: DataFrame) -> MorTable:
         """Apply a batch of (ns, op, before_doc, after_doc, phase, ts_t, ts_i) as one version."""

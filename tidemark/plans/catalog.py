@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import feed_queries, problems
 
-MODULES = (problems,)
+MODULES = (problems, feed_queries)
 
 
 def queries() -> dict:
