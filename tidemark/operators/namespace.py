@@ -18,7 +18,7 @@ def is_system(ns: Column | str) -> Column:
 
 def parse_rules(text: Column | str) -> Column:
     """The distinct rules of a ``;``-separated list, trimmed, without empty ones, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def split_rules(text: str | None) -> list[str]:

@@ -53,7 +53,7 @@ def readiness() -> Column:
 
 
 def state_rank(state: Column | str) -> Column:
-    return F.array_position(F.array(*map(F.lit, STATES)), state)
+    return F.array_position(F.array(*map(F.lit, STATES)), F.col(state) if isinstance(state, str) else state)
 
 
 def roll_up(children: DataFrame) -> DataFrame:

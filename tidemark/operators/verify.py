@@ -6,18 +6,43 @@ digest of each document's canonical text, so that content mode shuffles keys and
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.docs import canonical, parse
+
 
 def canonical_text(doc: Column | str, ignored: tuple[str, ...] = ()) -> Column:
-    """JSON text with sorted keys and plain numbers; the ignored top-level fields left out. Broken text stays as it is."""
+    """Text that equal documents share: sorted fields, plain numbers, the ignored top-level fields left out.
+
+    Whole numbers beyond 2^53 and numbers with an exponent are compared as written; :func:`exact_digest` takes them as
+    doubles. Text that is no JSON object stays as it is.
+    """
     c = F.col(doc) if isinstance(doc, str) else doc
-    if ignored:
-        names = F.array(*map(F.lit, ignored))
-        kept = F.filter(F.json_object_keys(c), lambda k: ~F.array_contains(names, k))
-        fields = F.transform(F.array_sort(kept), lambda k: F.struct(k.alias("k"), F.to_json(F.try_parse_json(F.from_json(c, "map<string,string>")[k])).alias("v"), F.from_json(c, "map<string,string>")[k].alias("s")))
-        return F.to_json(fields)
-    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+    fields = F.map_entries(F.try_parse_json(c).try_cast("map<string,variant>"))
+    kept = F.filter(fields, lambda e: ~e["key"].isin(*ignored)) if ignored else fields
+    texts = F.transform(kept, lambda e: F.to_json(F.struct(e["key"].alias("k"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("v"))))
+    return F.coalesce(F.array_join(F.array_sort(texts), ","), c)
+
+
+def exact_digest(doc: Column | str, ignored: tuple[str, ...] = ()) -> Column:
+    """A 128-bit digest that equal documents share, with numbers as doubles however they are written (an Arrow function)."""
+    skip = frozenset(ignored)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            value = parse(text)
+            if isinstance(value, dict):
+                value = {k: v for k, v in value.items() if k not in skip}
+            whole = repr(canonical(value)) if value is not None else f"text:{text}"
+            out.append(hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+        return pd.Series(out, dtype=object)
+
+    return run(doc)
 
 
 def digest(doc: Column | str) -> Column:
@@ -32,11 +57,11 @@ def paired(source: DataFrame, target: DataFrame, key: list[str], content: Column
         rows = df.select(*key, (digest(content) if content is not None else F.lit(0)).alias("d"))
         return rows.groupBy(*key).agg(F.min("d").alias(f"_{name}"))
 
-    a, b = side(source, "s"), side(target, "t")
-    on = [a[k].eqNullSafe(b[k]) for k in key]
-    joined = a.join(b, on, "full_outer")
-    return joined.select(
-        *(F.coalesce(a[k], b[k]).alias(k) for k in key), F.col("_s").isNotNull().alias("in_source"), F.col("_t").isNotNull().alias("in_target"), F.coalesce(F.col("_s") != F.col("_t"), F.lit(False)).alias("differs")
+    a = side(source, "s")
+    b = side(target, "t").select(*(F.col(k).alias(f"_{k}") for k in key), "_t")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return a.join(b, on, "full_outer").select(
+        *(F.coalesce(k, f"_{k}").alias(k) for k in key), F.col("_s").isNotNull().alias("in_source"), F.col("_t").isNotNull().alias("in_target"), F.coalesce(F.col("_s") != F.col("_t"), F.lit(False)).alias("differs")
     )
 
 

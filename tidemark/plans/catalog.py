@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import feed_queries, problems
+from tidemark.plans import check_queries, feed_queries, log_queries, problems
 
-MODULES = (problems, feed_queries)
+MODULES = (problems, feed_queries, log_queries, check_queries)
 
 
 def queries() -> dict:
