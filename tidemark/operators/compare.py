@@ -4,7 +4,7 @@ Both copies go through one range exchange, so they are cut at the same split poi
 and then side, and a two-pointer merge reads it once, in batches, keeping only the documents of the key in hand.
 
 Defined cases: a key is (ns, _id, id_type) with nulls equal to each other; of several rows of one key on one side the
-one with the latest ``copied_at`` counts (then the largest text); a null or broken document is an object without
+one with the latest ``copied_at`` counts (then the largest text; nulls last); a null or broken document is an object without
 fields; other columns are ignored; empty tables give only missing keys.
 """
 
@@ -24,10 +24,14 @@ _ARROW = pa.schema([("ns", pa.string()), ("_id", pa.string()), ("id_type", pa.in
 IGNORED = ("_class", "updatedAt")
 
 
+COLUMNS = ["ns", "_id", "id_type", "doc", "copied_at"]
+
+
 def to_source_ns(target: DataFrame, ns_map: DataFrame) -> DataFrame:
-    """Rename target namespaces to those of the source. ``ns_map`` is a small configuration table."""
-    back = ns_map.where("target_ns is not null and source_ns is not null").groupBy("target_ns").agg(F.min("source_ns").alias("source_ns"))
-    return target.join(back, target["ns"] == back["target_ns"], "left").withColumn("ns", F.coalesce("source_ns", "ns")).drop("source_ns", "target_ns")
+    """Documents of the target under the source's namespaces. ``ns_map`` is a small configuration table."""
+    back = ns_map.where("target_ns is not null and source_ns is not null").groupBy(F.col("target_ns").alias("_from")).agg(F.min("source_ns").alias("_to"))
+    joined = target.select(*COLUMNS).join(back, F.col("ns") == F.col("_from"), "left")
+    return joined.withColumn("ns", F.coalesce("_to", "ns")).drop("_from", "_to")
 
 
 def compare(source: DataFrame, target: DataFrame, ignored: tuple[str, ...] = IGNORED, content: bool = True) -> DataFrame:
@@ -39,6 +43,7 @@ def compare(source: DataFrame, target: DataFrame, ignored: tuple[str, ...] = IGN
         return df.select("ns", "_id", F.col("id_type").cast("int").alias("id_type"), F.lit(mark).cast("byte").alias("side"), F.col("copied_at").alias("at"), doc.alias("doc"))
 
     both = side(source, 0).unionByName(side(target, 1))
+    both = both.mapInArrow(_newest, both.schema)
     n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["ns", "_id", "id_type"]
     merged = both.repartitionByRange(n, *key).sortWithinPartitions(*key, "side", F.desc("at"), F.desc("doc")).drop("at")
@@ -50,6 +55,20 @@ def compare(source: DataFrame, target: DataFrame, ignored: tuple[str, ...] = IGN
     return merged.mapInArrow(merge, SCHEMA)
 
 
+def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of repeated rows of a key and side in a batch only the one that counts, so that a hot key shrinks before the exchange."""
+    key = ["ns", "_id", "id_type", "side"]
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if table.group_by(key).aggregate([([], "count_all")]).num_rows == batch.num_rows:
+            yield batch
+            continue
+        table = table.append_column("_row", pa.array(range(batch.num_rows), pa.int64()))
+        order = table.sort_by([("at", "descending"), ("doc", "descending")])
+        first = order.group_by(key, use_threads=False).aggregate([("_row", "first")])["_row_first"]
+        yield batch.take(first.combine_chunks())
+
+
 def _object(text: str | None, skip: frozenset) -> dict:
     doc = parse(text)
     return {k: v for k, v in doc.items() if k not in skip} if isinstance(doc, dict) else {}

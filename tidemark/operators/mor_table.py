@@ -263,9 +263,15 @@ class MorTable:
         is_set = (byte % F.pow(F.lit(2), gone + 1)) >= F.pow(F.lit(2), gone)
         return joined.where(F.col("dv_bits").isNull() | ~is_set).drop("dv_file", "dv_block", "dv_bits")
 
-    def apply(self, changes: DataFrame) -> MorTable:
-        """Apply a batch of (ns, op, before_doc, after_doc, phase, ts_t, ts_i) as one version."""
+    def apply(self, changes: DataFrame, batch_id: int | None = None) -> MorTable:
+        """Apply a batch of (ns, op, before_doc, after_doc, phase, ts_t, ts_i) as one version.
+
+        A batch id that isn't above the last committed one is a replay after a failure, and is skipped.
+        """
         manifest = self._manifest()
+        last = manifest.get("batch_id")
+        if batch_id is not None and last is not None and batch_id <= last:
+            return self
         feed = changes.where("op in ('c', 'r', 'u', 'd') and ts_t is not null and ts_i is not null").select(
             "ns", "op", "before_doc", "after_doc", F.coalesce(F.col("phase"), F.lit(1)).cast("int").alias("phase"), F.col("ts_t").cast("long").alias("ts_t"), F.col("ts_i").cast("long").alias("ts_i")
         )
@@ -285,7 +291,7 @@ class MorTable:
             vectors = gone.groupBy(F.col("old_file").alias("dv_file"), F.expr("bitmap_bucket_number(old_pos + 1)").alias("dv_block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(old_pos + 1))").alias("dv_bits"))
             vectors.write.parquet(f"{self.path}/deleted-{stamp}")
             deleted.append(f"{self.path}/deleted-{stamp}")
-        self._commit({"version": version, "data": [*manifest["data"], data], "deleted": deleted})
+        self._commit({"version": version, "data": [*manifest["data"], data], "deleted": deleted, "batch_id": last if batch_id is None else batch_id})
         return self
 
     def read(self) -> DataFrame:
