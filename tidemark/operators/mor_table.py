@@ -91,12 +91,8 @@ class State:
     def merge(self, other: State) -> None:
         if other.place is not None:
             self.place = other.place
-        if other.reset is not None:
+        if other.reset is not None:  # without one, the fields are those of the patches, which are merged below
             self.replace(other.reset, other.fields if other.alive else None)
-        elif other.alive:  # an image made by patches alone
-            base = dict(other.fields)
-            base.update(self.fields)
-            self.fields, self.alive = base, True
         for path, (pos, rank, value) in other.ops.items():
             self.patch(path, pos, rank, value)
 
