@@ -53,6 +53,8 @@ def _text(value) -> str:
         return "null"
     if isinstance(value, bool):
         return "true" if value else "false"
+    if isinstance(value, (int, float)):
+        return json.dumps(value)
     if isinstance(value, list):
         return "[" + ",".join(map(_text, value)) + "]"
     return "{" + ",".join(f"{_esc(k)}:{_text(v)}" for k, v in value.items()) + "}"
