@@ -138,7 +138,11 @@ def _ends(phrase: str) -> tuple[str, str]:
 def learn_terms(sample: DataFrame, curated: dict[str, str]) -> dict[str, tuple[str, float]]:
     """Term -> (area, weight). What comes back grows with the vocabulary of the bounded sample, not with the corpus."""
     counts = _phrase_counts(sample, curated)
-    rows = counts.groupBy("phrase").agg(F.sum("n").alias("all"), F.max(F.struct("n", F.col("area").alias("area"))).alias("top"), F.map_from_entries(F.collect_list(F.struct("area", "n"))).alias("by")).where(f"all >= {LEAST_DOCUMENTS}").collect()
+    by = F.map_from_entries(F.collect_list(F.struct("area", "n")))
+    rows = counts.groupBy("phrase").agg(F.sum("n").alias("all"), F.max(F.struct("n", "area")).alias("top"), by.alias("by"))
+    # of the phrases that keep to no area only curated ones and single words matter, as the ends of others
+    matters = F.col("phrase").isNull() | (F.col("top.n") >= (LEAST_PURITY - 0.1) * F.col("all")) | (F.instr("phrase", " ") == 0) | F.col("phrase").isin(list(curated))
+    rows = rows.where((F.col("all") >= LEAST_DOCUMENTS) & matters).collect()
     documents = sum(r["all"] for r in rows if r["phrase"] is None) or 1
     stats = {r["phrase"]: r for r in rows if r["phrase"] is not None}
 
@@ -221,7 +225,8 @@ def fit(documents: DataFrame, terms: DataFrame, labels: DataFrame) -> tuple[dict
     """(weights, share threshold)."""
     ship(documents.sparkSession)
     curated = curated_terms(terms)
-    sample = materialise(labelled_sample(documents, labels), "labelled-sample")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = materialise(labelled_sample(documents, labels).repartition(parts, "doc_id"), "labelled-sample")
     weights = learn_terms(sample, curated)
     return weights, calibrate(sample, weights)
 
