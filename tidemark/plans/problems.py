@@ -78,6 +78,80 @@ def p6_oplog_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_next_run, p2_found, p3_found, p4_found, p4_ns_rows, p5_found, p5_table, p6_found, p6_oplog_copies)}
 
+#: Documents of both copies, cut into fields: (side, ns, _id, id_type, parent, path, open, text); a field that isn't an object
+#: of plain fields is compared whole, as the sorted list of its inner values with numbers as doubles.
+_P2 = """
+    RECURSIVE src AS (
+      SELECT 's' AS side, ns, _id, id_type, doc FROM source_docs UNION ALL
+      SELECT * FROM (SELECT DISTINCT ON (1, 2, 3, 4) 't', coalesce(source_ns, ns), _id, id_type, doc FROM target_docs LEFT JOIN ns_map ON target_ns = ns ORDER BY copied_at DESC, doc DESC)),
+    o AS (
+      SELECT side, ns, _id, id_type, CAST('' AS VARCHAR) AS parent, x.key AS path, x.value AS v FROM src, json_each(doc) x WHERE x.key NOT IN ('_class', 'updatedAt')
+      UNION ALL
+      SELECT side, ns, _id, id_type, o.path, o.path || '.' || x.key, x.value FROM o, json_each(o.v) x WHERE json_type(o.v) = 'OBJECT' AND NOT (len(json_keys(o.v)) = 1 AND json_keys(o.v)[1] LIKE '$%')),
+    f AS (SELECT *, json_type(v) = 'OBJECT' AND NOT coalesce(len(json_keys(v)) = 1 AND json_keys(v)[1] LIKE '$%', FALSE) AS open FROM o),
+    d AS (
+      SELECT side, ns, _id, id_type, path, CAST('' AS VARCHAR) AS sub, v FROM f WHERE NOT open
+      UNION ALL
+      SELECT side, ns, _id, id_type, d.path, sub || '/' || x.key, x.value FROM d, json_each(d.v) x WHERE json_type(d.v) IN ('OBJECT', 'ARRAY')),
+    texts AS (SELECT side, ns, _id, id_type, path, list_sort(list(sub || '=' || CASE WHEN json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'N' || CAST(CAST(v AS DOUBLE) AS VARCHAR) WHEN json_type(v) IN ('OBJECT', 'ARRAY') THEN json_type(v) ELSE json_type(v) || CAST(v AS VARCHAR) END)) AS l FROM d GROUP BY ALL),
+    n AS (SELECT f.side, f.ns, f._id, f.id_type, parent, f.path, open, l FROM f LEFT JOIN texts t ON t.side = f.side AND t.ns = f.ns AND t._id = f._id AND t.id_type = f.id_type AND t.path = f.path),
+    keys AS (SELECT coalesce(a.ns, b.ns) AS ns, coalesce(a._id, b._id) AS _id, coalesce(a.id_type, b.id_type) AS id_type, a.ns IS NOT NULL AS s, b.ns IS NOT NULL AS t
+             FROM (FROM src WHERE side = 's') a FULL JOIN (FROM src WHERE side = 't') b ON a.ns = b.ns AND a._id = b._id AND a.id_type = b.id_type),
+    m AS (SELECT coalesce(a.ns, b.ns) AS ns, coalesce(a._id, b._id) AS _id, coalesce(a.id_type, b.id_type) AS id_type, coalesce(a.path, b.path) AS path, coalesce(a.parent, b.parent) AS parent,
+             a.ns IS NULL OR b.ns IS NULL AS lone, coalesce(a.open AND b.open, FALSE) AS inner_node, NOT coalesce(a.open AND b.open, FALSE) AND (a.open IS DISTINCT FROM b.open OR a.l IS DISTINCT FROM b.l) AS differs
+          FROM (FROM n WHERE side = 's') a FULL JOIN (FROM n WHERE side = 't') b ON a.ns = b.ns AND a._id = b._id AND a.id_type = b.id_type AND a.path = b.path)"""
+#: Changes in order, each once: (key, pos, op, doc), where pos is one number for (phase, t, i).
+_P3 = """
+    once AS (SELECT DISTINCT ON (ts_t, ts_i) *, json_extract(before_doc, '$._id') AS b, json_extract(after_doc, '$._id') AS a FROM transfer_events WHERE op IN ('c', 'r', 'u', 'd') ORDER BY seq),
+    ev AS (SELECT ns, CAST(CASE WHEN coalesce(b, a) IS NULL THEN NULL ELSE coalesce(before_doc->>'$._id', after_doc->>'$._id') END AS VARCHAR) AS k, (coalesce(phase, 1) * 10000000000 + ts_t) * 1000000 + ts_i AS pos, op, after_doc AS doc,
+              op = 'u' AND len(list_filter(json_keys(after_doc), lambda x: x LIKE '$%')) > 0 AS patch FROM once),
+    base AS (SELECT ns, k, max(pos) AS pos, arg_max(op, pos) AS op, arg_max(doc, pos) AS doc FROM ev WHERE k IS NOT NULL AND NOT patch GROUP BY ns, k),
+    late AS (SELECT e.ns, e.k, e.pos, e.doc FROM ev e LEFT JOIN base b ON b.ns = e.ns AND b.k = e.k WHERE e.k IS NOT NULL AND patch AND (b.pos IS NULL OR e.pos > b.pos)),
+    puts AS (SELECT ns, k, pos, x.key AS path, x.value AS v FROM late, json_each(json_extract(doc, '$."$set"')) x),
+    cuts AS (SELECT ns, k, pos, path, TRUE AS puts FROM puts UNION ALL SELECT ns, k, pos, x.key, FALSE FROM late, json_each(json_extract(doc, '$."$unset"')) x),
+    roots AS (SELECT ns, k, pos, x.key AS path, x.value AS v FROM base, json_each(doc) x WHERE op <> 'd' AND x.key <> '_id' UNION ALL SELECT ns, k, pos, path, v FROM puts),
+    tree AS (SELECT ns, k, pos, path, v FROM roots UNION ALL SELECT ns, k, pos, tree.path || '.' || x.key, x.value FROM tree, json_each(tree.v) x WHERE json_type(tree.v) = 'OBJECT')"""
+#: Deliveries with the least delivery of their token and of their own identity, and the links between these.
+_P6 = """
+    ids AS (SELECT delivery_id, upper(nullif(regexp_extract(_id, '"?([0-9A-Fa-f]{16,})"?', 1), '')) AS tok,
+              CASE WHEN cluster_time IS NOT NULL AND ns IS NOT NULL AND shard IS NOT NULL AND document_key IS NOT NULL
+                   THEN shard || '|' || cluster_time.t || '|' || cluster_time.i || '|' || ns || '|' || CAST(list_sort(list_transform(json_keys(document_key), lambda x: x || '=' || CAST(json_extract(document_key, '$."' || x || '"') AS VARCHAR))) AS VARCHAR) END AS own
+            FROM change_stream),
+    c AS (SELECT delivery_id, coalesce(min(delivery_id) OVER (PARTITION BY tok), delivery_id) AS a0, tok, own, min(delivery_id) OVER (PARTITION BY own) AS b0 FROM ids),
+    ab AS (SELECT delivery_id, CASE WHEN tok IS NULL THEN delivery_id ELSE a0 END AS a, CASE WHEN own IS NULL THEN delivery_id ELSE b0 END AS b FROM c),
+    links AS (SELECT DISTINCT a AS u, b AS v FROM ab WHERE a <> b UNION SELECT DISTINCT b, a FROM ab WHERE a <> b),
+    reach AS (SELECT u AS x, u AS y FROM links UNION SELECT r.x, l.v FROM reach r JOIN links l ON l.u = r.y),
+    root AS (SELECT x, min(y) AS root FROM reach GROUP BY x)"""
+#: Fields of each file by type, the report's comparison of a file with the one before, and renames by equal values.
+_P5 = """
+    RECURSIVE once AS (SELECT DISTINCT ON (shard, ts) * FROM oplog_entries WHERE op IN ('i', 'u') AND ns NOT LIKE 'config.%' AND ns NOT LIKE '%.system.%' AND ns NOT LIKE '%.$cmd' ORDER BY file_no, entry_id),
+    docs AS (
+      SELECT shard, ns, 'o' AS part, file_no, ts, o AS doc FROM once WHERE op = 'i' OR len(list_filter(json_keys(o), lambda x: x LIKE '$%')) = 0
+      UNION ALL SELECT shard, ns, 'o2', file_no, ts, o2 FROM once WHERE op = 'u' AND o2 IS NOT NULL),
+    tree AS (
+      SELECT shard, ns, part, file_no, ts, CAST(json_extract(doc, '$._id') AS VARCHAR) AS id, x.key AS path, x.value AS v FROM docs, json_each(doc) x
+      UNION ALL
+      SELECT shard, ns, part, file_no, ts, tree.id, tree.path || '.' || x.key, x.value FROM tree, json_each(tree.v) x WHERE json_type(tree.v) = 'OBJECT' AND NOT (len(json_keys(tree.v)) = 1 AND json_keys(tree.v)[1] LIKE '$%')),
+    vals AS (SELECT *, CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN json_keys(v)[1] ELSE 'number' END AS kind FROM tree
+             WHERE NOT (json_type(v) = 'OBJECT' AND len(json_keys(v)) > 0 AND NOT (len(json_keys(v)) = 1 AND json_keys(v)[1] LIKE '$%'))),
+    files AS (SELECT shard, ns, part, file_no, lag(file_no) OVER (PARTITION BY shard, ns, part ORDER BY file_no) AS old FROM (SELECT DISTINCT shard, ns, part, file_no FROM docs)),
+    counted AS (SELECT shard, ns, part, file_no, path, kind, count(*) AS n FROM vals GROUP BY ALL),
+    fields AS (SELECT shard, ns, part, file_no, path, arg_max(kind, (n, CASE kind WHEN '$date' THEN 6 WHEN '$numberDecimal' THEN 5 WHEN 'array' THEN 8 WHEN 'bool' THEN 7 WHEN 'number' THEN 4 WHEN '$oid' THEN 3 ELSE 1 END)) FILTER (kind IS NOT NULL) AS kind FROM counted GROUP BY ALL),
+    now AS (SELECT f.shard, f.ns, f.part, g.file_no, g.old, path, kind FROM fields f JOIN files g USING (shard, ns, part, file_no) WHERE old IS NOT NULL),
+    was AS (SELECT f.shard, f.ns, f.part, g.file_no, g.old, path, kind FROM fields f JOIN files g ON g.shard = f.shard AND g.ns = f.ns AND g.part = f.part AND g.old = f.file_no),
+    ch AS (SELECT coalesce(a.shard, b.shard) AS shard, coalesce(a.ns, b.ns) AS ns, coalesce(a.part, b.part) AS part, coalesce(a.file_no, b.file_no) AS file_no, coalesce(a.old, b.old) AS old, coalesce(a.path, b.path) AS path,
+              CASE WHEN a.path IS NULL THEN 'removed' WHEN b.path IS NULL THEN 'added' WHEN a.kind <> b.kind THEN 'retyped' END AS kind
+           FROM now a FULL JOIN was b ON a.shard = b.shard AND a.ns = b.ns AND a.part = b.part AND a.file_no = b.file_no AND a.path = b.path),
+    olds AS (SELECT c.shard, c.ns, c.part, c.file_no, c.path, v.id, arg_max(v.v, v.ts) AS v FROM ch c JOIN vals v ON c.kind = 'removed' AND v.shard = c.shard AND v.ns = c.ns AND v.part = c.part AND v.file_no = c.old AND v.path = c.path
+             JOIN (SELECT shard, ns, part, file_no, id, max(ts) AS ts FROM tree GROUP BY ALL) l ON l.shard = v.shard AND l.ns = v.ns AND l.part = v.part AND l.file_no = v.file_no AND l.id = v.id AND l.ts = v.ts WHERE v.kind IS NOT NULL GROUP BY ALL),
+    firsts AS (SELECT shard, ns, part, file_no, id, min(ts) AS ts FROM tree GROUP BY ALL),
+    shared AS (SELECT o.*, f.ts FROM olds o JOIN firsts f ON f.shard = o.shard AND f.ns = o.ns AND f.part = o.part AND f.file_no = o.file_no AND f.id = o.id),
+    pairs AS (SELECT s.shard, s.ns, s.part, s.file_no, s.path, v.path AS new_path, count(*) AS n FROM shared s JOIN vals v ON v.shard = s.shard AND v.ns = s.ns AND v.part = s.part AND v.file_no = s.file_no AND v.id = s.id AND v.ts = s.ts AND CAST(v.v AS VARCHAR) = CAST(s.v AS VARCHAR)
+             JOIN ch c ON c.kind = 'added' AND c.shard = v.shard AND c.ns = v.ns AND c.part = v.part AND c.file_no = v.file_no AND c.path = v.path GROUP BY ALL),
+    totals AS (SELECT shard, ns, part, file_no, path, count(*) AS n FROM shared GROUP BY ALL),
+    one AS (SELECT p.shard, p.ns, p.part, p.file_no, p.path, min(new_path) AS new_path FROM pairs p JOIN totals t ON t.shard = p.shard AND t.ns = p.ns AND t.part = p.part AND t.file_no = p.file_no AND t.path = p.path AND t.n = p.n GROUP BY ALL),
+    moved AS (SELECT shard, ns, part, file_no, min(path) AS path, new_path FROM one GROUP BY ALL)"""
+
 ORACLES = {
     "p4_ns_rows": "SELECT ns, count(*) AS rows FROM transfer_events GROUP BY ns",
     "p6_oplog_copies": """
@@ -116,4 +190,20 @@ ORACLES = {
           SELECT json_extract_string(doc, '$.acct') AS acct, ts_t, ts_i, TRY_CAST(json_extract_string(doc, '$.qty') AS DOUBLE) AS qty FROM once),
         w AS (SELECT *, lag(qty) OVER (PARTITION BY acct ORDER BY ts_t, ts_i) AS before FROM seen)
         SELECT acct, ts_t, ts_i FROM w WHERE qty = before""",
+    "p2_found": f"""WITH {_P2}
+        SELECT ns, _id, id_type, CASE WHEN t THEN 'missingOnSource' ELSE 'missingOnTarget' END AS diff_kind, '' AS field_path FROM keys WHERE NOT (s AND t)
+        UNION ALL
+        SELECT m.ns, m._id, m.id_type, 'contentMismatch', m.path FROM m JOIN keys k ON k.ns = m.ns AND k._id = m._id AND k.id_type = m.id_type AND k.s AND k.t
+          LEFT JOIN m p ON p.ns = m.ns AND p._id = m._id AND p.id_type = m.id_type AND p.path = m.parent
+        WHERE m.differs AND (m.parent = '' OR p.inner_node)""",
+    "p3_found": f"""WITH RECURSIVE {_P3}
+        SELECT ns, k AS doc_key, path AS field_path, CASE WHEN json_type(v) = 'NULL' THEN 'null' ELSE v->>'$' END AS field_value FROM tree l
+        WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY') AND NOT EXISTS (
+          SELECT 1 FROM cuts c WHERE c.ns = l.ns AND c.k = l.k AND c.pos > l.pos AND (c.path = l.path OR starts_with(l.path, c.path || '.') OR (c.puts AND starts_with(c.path, l.path || '.'))))""",
+    "p5_found": f"""WITH {_P5}
+        SELECT shard, ns, part AS doc_part, file_no, kind AS drift_kind, path AS field_path, '' AS new_path FROM ch c WHERE kind IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM moved m WHERE m.shard = c.shard AND m.ns = c.ns AND m.part = c.part AND m.file_no = c.file_no AND ((kind = 'removed' AND m.path = c.path) OR (kind = 'added' AND m.new_path = c.path)))
+        UNION ALL SELECT shard, ns, part, file_no, 'renamed', path, new_path FROM moved""",
+    "p6_found": f"""WITH RECURSIVE {_P6}
+        SELECT delivery_id FROM ab LEFT JOIN root ON x = least(a, b) WHERE delivery_id <> coalesce(root, least(a, b))""",
 }
