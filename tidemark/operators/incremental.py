@@ -32,15 +32,19 @@ KEYS = ["shard", "capture_mode"]
 SLICE_ROWS = 200_000
 
 
-def landed_positions(oplog: DataFrame | None, changes: DataFrame | None) -> DataFrame:
-    """(shard, capture_mode, pos_t, pos_i, landed): each distinct position once, with its earliest landing (microseconds)."""
+def landed_rows(oplog: DataFrame | None, changes: DataFrame | None) -> DataFrame:
+    """(shard, capture_mode, pos_t, pos_i, landed) of every row that has a position, in microseconds."""
     parts = []
     if oplog is not None:
         parts.append(oplog.select("shard", F.lit("OPLOG").alias("capture_mode"), F.col("ts.t").alias("pos_t"), F.col("ts.i").alias("pos_i"), micros("landed_at").alias("landed")))
     if changes is not None:
         parts.append(changes.select("shard", F.lit("CHANGE_STREAM").alias("capture_mode"), F.col("cluster_time.t").alias("pos_t"), F.col("cluster_time.i").alias("pos_i"), micros("landed_at").alias("landed")))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = rows.where("shard is not null and pos_t is not null and pos_i is not null and landed is not null")
+    return rows.where("shard is not null and pos_t is not null and pos_i is not null and landed is not null")
+
+
+def landed_positions(rows: DataFrame) -> DataFrame:
+    """Each distinct position once, with its earliest landing."""
     return rows.groupBy(*KEYS, "pos_t", "pos_i").agg(F.min("landed").alias("landed"))
 
 
@@ -95,10 +99,17 @@ def _look_up_tokens(runs: DataFrame, changes: DataFrame) -> DataFrame:
     return runs
 
 
-def _slice_seconds(rows: DataFrame) -> int:
-    """Width of a time slice at which the densest shard has about SLICE_ROWS positions a slice; one number comes back."""
-    density = rows.groupBy(*KEYS).agg((F.count("*") / (F.max("pos_t") - F.min("pos_t") + 1)).alias("d")).agg(F.max("d").alias("d")).first()["d"]
-    return max(1, int(SLICE_ROWS / density)) if density else 1 << 31
+def _time_slices(rows: DataFrame) -> tuple[int, int, int]:
+    """(width, first, last): the width at which the densest shard has about SLICE_ROWS rows a slice, and the slices there are.
+
+    A scan of four columns that brings one row back.
+    """
+    per_shard = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("pos_t").alias("a"), F.max("pos_t").alias("b"))
+    r = per_shard.agg(F.max(F.col("n") / (F.col("b") - F.col("a") + 1)).alias("density"), F.min("a").alias("a"), F.max("b").alias("b")).first()
+    if r["density"] is None:
+        return 1, 0, 0
+    width = max(1, int(SLICE_ROWS / r["density"]))
+    return width, r["a"] // width, r["b"] // width
 
 
 def _uncovered(key, positions: pa.Table, runs: pa.Table) -> pa.Table:
@@ -134,21 +145,20 @@ def _uncovered(key, positions: pa.Table, runs: pa.Table) -> pa.Table:
     )
 
 
-def pending_positions(positions: DataFrame, runs: DataFrame, slice_seconds: int | None = None) -> DataFrame:
-    """(shard, capture_mode, pos_t, pos_i) of the positions above their watermark.
+def pending_positions(rows: DataFrame, runs: DataFrame, slice_seconds: int | None = None) -> DataFrame:
+    """(shard, capture_mode, pos_t, pos_i) of the positions of :func:`landed_rows` above their watermark.
 
     Both sides are cut into time slices, so a shard with a third of all positions spreads over many tasks; a run goes
     to each slice that it spans (there are about rows / SLICE_ROWS slices), never to each position.
     """
-    ship(positions.sparkSession)
-    width = slice_seconds or _slice_seconds(positions)
-    first = F.floor(F.col("lo_t") / width)
-    cut_positions = positions.withColumn("slice", F.floor(F.col("pos_t") / width))
-    bounds = cut_positions.groupBy(*KEYS).agg(F.min("slice").alias("s0"), F.max("slice").alias("s1"))
+    ship(rows.sparkSession)
+    width, first, last = _time_slices(rows)
+    if slice_seconds:
+        first, last, width = first * width // slice_seconds, ((last + 1) * width) // slice_seconds, slice_seconds
+    cut_positions = landed_positions(rows).withColumn("slice", F.floor(F.col("pos_t") / width))
     cut_runs = (
-        runs.join(bounds, KEYS)
-        .withColumn("a", F.greatest(first, F.col("s0")))
-        .withColumn("b", F.least(F.floor(F.col("hi_t") / width), F.col("s1")))
+        runs.withColumn("a", F.greatest(F.floor(F.col("lo_t") / width), F.lit(first)))
+        .withColumn("b", F.least(F.floor(F.col("hi_t") / width), F.lit(last)))
         .where("a <= b")
         .withColumn("slice", F.explode(F.sequence("a", "b")))
         .select(*KEYS, "slice", "lo_t", "lo_i", "hi_t", "hi_i", "read_to")

@@ -11,14 +11,15 @@ from tidemark.session import read_table, ship, work_path
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions that no committed run has processed."""
     oplog, changes, journal = (read_table(spark, sf_dir, t) for t in ("oplog_entries", "change_stream", "sync_runs"))
-    return incremental.pending_positions(incremental.landed_positions(oplog, changes), incremental.committed_runs(journal, changes))
+    return incremental.pending_positions(incremental.landed_rows(oplog, changes), incremental.committed_runs(journal, changes))
 
 
 def p1_next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per shard and mode: the limit that the next run fixes, how many positions it takes, and between which."""
     oplog, changes, journal = (read_table(spark, sf_dir, t) for t in ("oplog_entries", "change_stream", "sync_runs"))
-    positions = incremental.landed_positions(oplog, changes)
-    pending = incremental.pending_positions(positions, incremental.committed_runs(journal, changes))
+    rows = incremental.landed_rows(oplog, changes)
+    positions = incremental.landed_positions(rows)
+    pending = incremental.pending_positions(rows, incremental.committed_runs(journal, changes))
     at = F.struct("pos_t", "pos_i")
     todo = pending.groupBy("shard", "capture_mode").agg(F.count("*").alias("pending"), F.min(at).alias("a"), F.max(at).alias("b"))
     limit = positions.groupBy("shard", "capture_mode").agg(F.max("landed").alias("limit_us"), F.count("*").alias("positions"))
@@ -78,6 +79,31 @@ def p6_oplog_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_next_run, p2_found, p3_found, p4_found, p4_ns_rows, p5_found, p5_table, p6_found, p6_oplog_copies)}
 
+#: Positions with their landing, and those that no committed run spans.
+_P1 = """
+    landed AS (
+          SELECT shard, 'OPLOG' AS capture_mode, ts.t AS pos_t, ts.i AS pos_i, min(landed_at) AS at FROM oplog_entries GROUP BY ALL
+          UNION ALL
+          SELECT shard, 'CHANGE_STREAM', cluster_time.t, cluster_time.i, min(landed_at) FROM change_stream WHERE cluster_time IS NOT NULL GROUP BY ALL),
+        last AS (
+          SELECT DISTINCT ON (shard, capture_mode, run_id) * FROM sync_runs ORDER BY logged_at DESC),
+        token AS (
+          SELECT upper(regexp_extract(_id, '([0-9A-Fa-f]{16,})', 1)) AS hex, min(cluster_time) AS ct FROM change_stream WHERE _id IS NOT NULL AND cluster_time IS NOT NULL GROUP BY 1),
+        runs AS (
+          SELECT l.*, upper(regexp_extract(start_offset, '([0-9A-Fa-f]{16,})', 1)) AS s_hex, upper(regexp_extract(end_offset, '([0-9A-Fa-f]{16,})', 1)) AS e_hex
+          FROM last l WHERE run_state = 'COMMITTED'),
+        spans AS (
+          SELECT r.shard, r.capture_mode, r.read_at,
+            CASE WHEN start_offset IS NULL THEN -1 WHEN r.capture_mode = 'CHANGE_STREAM' THEN s.ct.t * 4294967296 + s.ct.i
+                 WHEN start_offset LIKE '{%' THEN json_extract(start_offset, '$."$timestamp".t')::BIGINT * 4294967296 + json_extract(start_offset, '$."$timestamp".i')::BIGINT
+                 ELSE split_part(start_offset, ':', 1)::BIGINT * 4294967296 + split_part(start_offset, ':', 2)::BIGINT END AS lo,
+            CASE WHEN r.capture_mode = 'CHANGE_STREAM' THEN e.ct.t * 4294967296 + e.ct.i
+                 WHEN end_offset LIKE '{%' THEN json_extract(end_offset, '$."$timestamp".t')::BIGINT * 4294967296 + json_extract(end_offset, '$."$timestamp".i')::BIGINT
+                 ELSE split_part(end_offset, ':', 1)::BIGINT * 4294967296 + split_part(end_offset, ':', 2)::BIGINT END AS hi
+          FROM runs r LEFT JOIN token s ON s.hex = r.s_hex LEFT JOIN token e ON e.hex = r.e_hex),
+        pending AS (SELECT p.* FROM landed p
+          WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.shard = p.shard AND s.capture_mode = p.capture_mode AND p.at <= s.read_at
+                            AND p.pos_t * 4294967296 + p.pos_i > s.lo AND p.pos_t * 4294967296 + p.pos_i <= s.hi))"""
 #: Documents of both copies, cut into fields: (side, ns, _id, id_type, parent, path, open, text); a field that isn't an object
 #: of plain fields is compared whole, as the sorted list of its inner values with numbers as doubles.
 _P2 = """
@@ -158,30 +184,11 @@ ORACLES = {
         SELECT entry_id FROM (
           SELECT entry_id, min(entry_id) OVER (PARTITION BY shard, ts) AS first FROM oplog_entries WHERE shard IS NOT NULL AND ts IS NOT NULL)
         WHERE entry_id <> first""",
-    "p1_found": """
-        WITH landed AS (
-          SELECT shard, 'OPLOG' AS capture_mode, ts.t AS pos_t, ts.i AS pos_i, min(landed_at) AS at FROM oplog_entries GROUP BY ALL
-          UNION ALL
-          SELECT shard, 'CHANGE_STREAM', cluster_time.t, cluster_time.i, min(landed_at) FROM change_stream WHERE cluster_time IS NOT NULL GROUP BY ALL),
-        last AS (
-          SELECT DISTINCT ON (shard, capture_mode, run_id) * FROM sync_runs ORDER BY logged_at DESC),
-        token AS (
-          SELECT upper(regexp_extract(_id, '([0-9A-Fa-f]{16,})', 1)) AS hex, min(cluster_time) AS ct FROM change_stream WHERE _id IS NOT NULL AND cluster_time IS NOT NULL GROUP BY 1),
-        runs AS (
-          SELECT l.*, upper(regexp_extract(start_offset, '([0-9A-Fa-f]{16,})', 1)) AS s_hex, upper(regexp_extract(end_offset, '([0-9A-Fa-f]{16,})', 1)) AS e_hex
-          FROM last l WHERE run_state = 'COMMITTED'),
-        spans AS (
-          SELECT r.shard, r.capture_mode, r.read_at,
-            CASE WHEN start_offset IS NULL THEN -1 WHEN r.capture_mode = 'CHANGE_STREAM' THEN s.ct.t * 4294967296 + s.ct.i
-                 WHEN start_offset LIKE '{%' THEN json_extract(start_offset, '$."$timestamp".t')::BIGINT * 4294967296 + json_extract(start_offset, '$."$timestamp".i')::BIGINT
-                 ELSE split_part(start_offset, ':', 1)::BIGINT * 4294967296 + split_part(start_offset, ':', 2)::BIGINT END AS lo,
-            CASE WHEN r.capture_mode = 'CHANGE_STREAM' THEN e.ct.t * 4294967296 + e.ct.i
-                 WHEN end_offset LIKE '{%' THEN json_extract(end_offset, '$."$timestamp".t')::BIGINT * 4294967296 + json_extract(end_offset, '$."$timestamp".i')::BIGINT
-                 ELSE split_part(end_offset, ':', 1)::BIGINT * 4294967296 + split_part(end_offset, ':', 2)::BIGINT END AS hi
-          FROM runs r LEFT JOIN token s ON s.hex = r.s_hex LEFT JOIN token e ON e.hex = r.e_hex)
-        SELECT shard, capture_mode, pos_t, pos_i FROM landed p
-        WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.shard = p.shard AND s.capture_mode = p.capture_mode AND p.at <= s.read_at
-                          AND p.pos_t * 4294967296 + p.pos_i > s.lo AND p.pos_t * 4294967296 + p.pos_i <= s.hi)""",
+    "p1_found": f"WITH {_P1} SELECT shard, capture_mode, pos_t, pos_i FROM pending",
+    "p1_next_run": f"""WITH {_P1},
+        limits AS (SELECT shard, capture_mode, epoch_us(max(landed.at)) AS limit_us, count(*) AS positions FROM landed GROUP BY ALL),
+        todo AS (SELECT shard, capture_mode, count(*) AS pending, min((pos_t, pos_i)) AS a, max((pos_t, pos_i)) AS b FROM pending GROUP BY ALL)
+        SELECT shard, capture_mode, limit_us, positions, coalesce(t.pending, 0) AS pending, a[1] AS first_t, a[2] AS first_i, b[1] AS last_t, b[2] AS last_i FROM limits LEFT JOIN todo t USING (shard, capture_mode)""",
     "p4_found": """
         WITH once AS (
           SELECT ts_t, ts_i, arg_min(after_doc, seq) AS doc FROM transfer_events
