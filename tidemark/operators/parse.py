@@ -256,3 +256,21 @@ def transit_value(value: Column) -> Column:
     date = F.get_json_object(value, "$.$date")
     ms = F.unix_millis(F.to_timestamp(date))
     return F.coalesce(F.when(date.isNotNull(), ms.cast("string")), F.get_json_object(value, "$.$oid"), F.get_json_object(value, "$.$numberDecimal"), F.get_json_object(value, "$.$numberLong"), value)
+
+
+def index_specs(oplog: DataFrame) -> DataFrame:
+    """One row per index that a log creates, in whatever form: its key and options.
+
+    (entry_id, ns, name, key, is_unique, sparse, expire_seconds, partial_filter, collation, hidden)
+    """
+    one = "struct<name:string,key:string,unique:string,sparse:string,expireAfterSeconds:string,partialFilterExpression:string,collation:string,hidden:string>"
+    many = F.from_json(F.get_json_object("o", "$.indexes"), f"array<{one}>")
+    single = F.array(F.from_json("o", one))
+    rows = oplog.where(is_index_insert() | ((F.col("op") == "c") & first_key("o").isin("createIndexes", "commitIndexBuild")))
+    coll = F.when(is_index_insert(), collection(F.get_json_object("o", "$.ns"))).otherwise(F.from_json("o", "map<string,string>")[first_key("o")])
+    spec = rows.select("entry_id", F.concat_ws(".", database("ns"), coll).alias("ns"), F.explode(F.coalesce(many, single)).alias("s"))
+    yes = lambda name: F.coalesce(F.lower(F.col(f"s.{name}")).isin("true", "1", "1.0"), F.lit(False))
+    return spec.select(
+        "entry_id", "ns", "s.name", "s.key", yes("unique").alias("is_unique"), yes("sparse").alias("sparse"), F.col("s.expireAfterSeconds").try_cast("double").cast("bigint").alias("expire_seconds"),
+        F.col("s.partialFilterExpression").alias("partial_filter"), F.get_json_object("s.collation", "$.locale").alias("collation"), yes("hidden").alias("hidden"),
+    )

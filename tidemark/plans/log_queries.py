@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import transit
 from tidemark.functions.positions import token_hex
 from tidemark.operators import ddl, namespace, parse, routing
 from tidemark.session import read_table
@@ -271,6 +272,18 @@ def index_plan(spark, sf_dir):
     return ddl.index_plan(wanted, rows.where("ddl_type = 'DROP_INDEXES'"))
 
 
+def index_specs(spark, sf_dir):
+    """Indexes that the log creates, with their options."""
+    return parse.index_specs(_oplog(spark, sf_dir)).select("entry_id", "ns", "name", "is_unique", "sparse", "expire_seconds", "hidden")
+
+
+def transit_documents(spark, sf_dir):
+    """Whole documents in the transit encoding."""
+    rows = transit.transit_documents(read_table(spark, sf_dir, "source_docs").select("ns", "_id", "id_type", "doc"))
+    field = lambda path: F.get_json_object("doc", path)
+    return rows.select("ns", "_id", "id_type", field("$.made").alias("made"), field("$.rate").alias("rate"), field("$.owner").alias("owner"), field("$.ship.city").alias("city"), field("$.updatedAt").alias("updated"))
+
+
 def has_unique(spark, sf_dir):
     """Namespaces with a unique index: here, one whose name begins with score."""
     rows = parse.log_ddl(_oplog(spark, sf_dir)).where("ddl_type = 'CREATE_INDEXES'")
@@ -317,7 +330,7 @@ QUERIES = {
         snapshot_scan, snapshot_envelope, id_type_bounds, id_range_split, range_scan_counts, range_doc_count, range_filter, oplog_window, oplog_ns_filter, oplog_bounds, history_lost, skip_migrate,
         user_pipeline_filter, ns_discover, topology_classify, version_gates, capture_resolve, capture_validate, oplog_kind, oplog_crud, strip_v, v1_index_normalize, diff_normalize, op_normalize,
         update_desc, event_time, cs_ddl, oplog_ddl, transit_types, ts_format, extract_id, token_digest, offset_path, progress_line, ns_system, ns_white, ns_black, rule_parse, ns_map, ns_invalidate,
-        is_patch, index_plan, has_unique, unique_timeline, ddl_segments, drop_resets, rename_chain, ddl_apply_catalog,
+        is_patch, index_plan, index_specs, transit_documents, has_unique, unique_timeline, ddl_segments, drop_resets, rename_chain, ddl_apply_catalog,
     )
 }
 
@@ -403,6 +416,14 @@ ORACLES = {
     "transit_types": """SELECT ns, _id, id_type,
         CASE WHEN json_type(doc, '$.made') = 'OBJECT' THEN CAST(epoch_ms(CAST(json_extract_string(doc, '$.made."$date"') AS TIMESTAMP)) AS VARCHAR) ELSE json_extract_string(doc, '$.made') END AS made,
         coalesce(json_extract_string(doc, '$.rate."$numberDecimal"'), json_extract_string(doc, '$.rate')) AS rate, coalesce(json_extract_string(doc, '$.owner."$oid"'), json_extract_string(doc, '$.owner')) AS owner FROM source_docs""",
+    "transit_documents": """WITH m AS (SELECT *, json_extract_string(doc, '$.made."$date"') AS d, json_extract_string(doc, '$.updatedAt."$date"') AS u FROM source_docs)
+        SELECT ns, _id, id_type, coalesce(CAST(epoch_ms(CAST(d AS TIMESTAMP)) AS VARCHAR), json_extract_string(doc, '$.made')) AS made,
+        coalesce(json_extract_string(doc, '$.rate."$numberDecimal"'), json_extract_string(doc, '$.rate')) AS rate, coalesce(json_extract_string(doc, '$.owner."$oid"'), json_extract_string(doc, '$.owner')) AS owner,
+        json_extract_string(doc, '$.ship.city') AS city, coalesce(CAST(epoch_ms(CAST(u AS TIMESTAMP)) AS VARCHAR), json_extract_string(doc, '$.updatedAt')) AS updated FROM m""",
+    "index_specs": f"""WITH {DDL}, s AS (SELECT m.entry_id, d.database || '.' || d.collection AS ns, unnest(CASE WHEN json_extract(o, '$.indexes') IS NULL THEN [o::JSON] ELSE CAST(json_extract(o, '$.indexes') AS JSON[]) END) AS s
+          FROM m JOIN ddl d USING (entry_id) WHERE d.ddl_type = 'CREATE_INDEXES')
+        SELECT entry_id, ns, json_extract_string(s, '$.name') AS name, coalesce(json_extract_string(s, '$.unique') IN ('true', '1'), FALSE) AS is_unique, coalesce(json_extract_string(s, '$.sparse') IN ('true', '1'), FALSE) AS sparse,
+          CAST(json_extract_string(s, '$.expireAfterSeconds') AS BIGINT) AS expire_seconds, coalesce(json_extract_string(s, '$.hidden') IN ('true', '1'), FALSE) AS hidden FROM s""",
     "ts_format": "SELECT entry_id, strftime(make_timestamp(ts.t * 1000000), '%Y-%m-%d %H:%M:%S') || '+0000' AS at FROM oplog_entries",
     "extract_id": "SELECT seq, coalesce(json_extract_string(after_doc, '$._id'), json_extract_string(before_doc, '$._id')) AS doc_id FROM transfer_events",
     "token_digest": f"SELECT delivery_id, CASE WHEN length(_id || _id || _id) > 120 THEN substr(_id || _id || _id, 1, 117) || '...' ELSE _id || _id || _id END AS digest, {_HEX} AS hex FROM change_stream",
