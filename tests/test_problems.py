@@ -21,7 +21,7 @@ def got(df):
 
 
 def pending(oplog, changes, runs, **kw):
-    return incremental.pending_positions(incremental.landed_positions(oplog, changes), incremental.committed_runs(runs, changes), **kw)
+    return incremental.pending_positions(incremental.landed_rows(oplog, changes), incremental.committed_runs(runs, changes), **kw)
 
 
 @pytest.mark.parametrize("width", [None, 7])
@@ -44,7 +44,7 @@ def test_offsets_that_cannot_be_read_cover_nothing(spark):
     schema = "run_id bigint, shard string, capture_mode string, run_state string, start_offset string, end_offset string, read_at timestamp_ntz, logged_at timestamp_ntz"
     for start, end, left in ((None, "5:1", {6}), ("nonsense", "9:9", {5, 6}), (None, None, {5, 6}), (None, '{"$timestamp": {"i": 1, "t": 6}}', set()), ("5:1", "6:1", {5})):
         runs = spark.createDataFrame([(1, "s", "OPLOG", "COMMITTED", start, end, later, later)], schema)
-        found = incremental.pending_positions(incremental.landed_positions(log, None), incremental.committed_runs(runs))
+        found = incremental.pending_positions(incremental.landed_rows(log, None), incremental.committed_runs(runs))
         assert {r["pos_t"] for r in found.collect()} == left
 
 
@@ -52,7 +52,7 @@ def test_tokens_of_another_form_are_looked_up(spark):
     at = datetime.datetime(2024, 1, 1)
     changes = spark.createDataFrame([("s", "AB01", (5, 1), at), ("s", "AB02", (6, 1), at)], "shard string, _id string, cluster_time struct<t:bigint,i:bigint>, landed_at timestamp_ntz")
     runs = spark.createDataFrame([(1, "s", "CHANGE_STREAM", "COMMITTED", None, '{"_data": "ab01"}', at, at)], "run_id bigint, shard string, capture_mode string, run_state string, start_offset string, end_offset string, read_at timestamp_ntz, logged_at timestamp_ntz")
-    found = incremental.pending_positions(incremental.landed_positions(None, changes), incremental.committed_runs(runs, changes))
+    found = incremental.pending_positions(incremental.landed_rows(None, changes), incremental.committed_runs(runs, changes))
     assert {r["pos_t"] for r in found.collect()} == {6}
 
 
@@ -278,3 +278,8 @@ def test_a_later_copy_is_held_back(spark):
     seen = dedup.SeenMessages(spark, work_path(spark, "seen"))
     assert {r["delivery_id"] for r in seen.admit(dedup.message_identifiers(first)).where("admitted").collect()} == {10, 11}
     assert {r["delivery_id"] for r in seen.admit(dedup.message_identifiers(second)).where("admitted").collect()} == {13}
+    # a token that a held-back copy alone bore is known, too
+    third = messages(spark, (20, "82AA", 5, '{"_id": 1}'))
+    fourth = messages(spark, (30, "82AA", None, None), (31, "82BB", None, None))
+    assert seen.admit(dedup.message_identifiers(third)).where("admitted").count() == 0
+    assert {r["delivery_id"] for r in seen.admit(dedup.message_identifiers(fourth)).where("admitted").collect()} == {31}

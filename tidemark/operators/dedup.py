@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.positions import token_hex
 from tidemark.session import materialise
@@ -48,9 +48,10 @@ def _least_codes(edges: DataFrame, spark: SparkSession) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = materialise(small, "links")
-        changed = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
+        # both are distinct, so as many links and none that is new are the same links
+        same = after.count() == edges.count() and not after.join(edges, ["u", "v"], "left_anti").limit(1).count()
         edges = after
-        if not changed:
+        if same:
             return edges.select(F.col("v").alias("code"), F.col("u").alias("root"))
 
 
@@ -66,55 +67,65 @@ class SeenMessages:
         top = self._jpath(f"{self.path}/batches")
         return sorted(s.getPath().toString() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
 
+    def _known(self, before: list[str]) -> DataFrame:
+        """(kind, id, old): identifiers of earlier batches with the code of their message."""
+        parts = []
+        for b in before:
+            links = self.spark.read.parquet(f"{b}/links")
+            parts.append(self.spark.read.parquet(f"{b}/dictionary").join(links, "code", "left").select("kind", "id", F.coalesce("root", "code").alias("old")))
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        return every.groupBy("kind", "id").agg(F.min("old").alias("old"))
+
     def admit(self, deliveries: DataFrame) -> DataFrame:
-        """Admit a batch of (delivery_id, id_a, id_b); returns (delivery_id, code, admitted) of every delivery in it."""
+        """Admit a batch of (delivery_id, id_a, id_b); returns (delivery_id, code, admitted) of every delivery in it.
+
+        Identifiers are shuffled twice, to be counted and to find the deliveries that share one; after that only
+        integers move. Identifiers that one delivery alone bears, nearly all, take no part in the second step.
+        """
         before = self._batches()
-        rows = deliveries.groupBy("delivery_id").agg(F.min("id_a").alias("id_a"), F.min("id_b").alias("id_b"))
-        rows = materialise(rows, "deliveries")
-        names = rows.select("delivery_id", F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.col("id_a").alias("id")), F.struct(F.lit("b").alias("kind"), F.col("id_b").alias("id")))).alias("x")).select("delivery_id", "x.*").where("id is not null")
+        at = f"{self.path}/open/{uuid.uuid4().hex}"
+        both = F.array(F.struct(F.lit("a").alias("kind"), F.col("id_a").alias("id")), F.struct(F.lit("b").alias("kind"), F.col("id_b").alias("id")))
+        names = deliveries.where("delivery_id is not null").select("delivery_id", F.explode(both).alias("x")).select("delivery_id", "x.*").where("id is not null")
         dictionary = names.groupBy("kind", "id").agg(F.min("delivery_id").alias("code"), F.count("*").alias("n"))
         if before:
-            known = self.spark.read.parquet(*(f"{b}/dictionary" for b in before)).groupBy("kind", "id").agg(F.min("code").alias("old"))
-            dictionary = dictionary.join(known, ["kind", "id"], "left").select("kind", "id", F.coalesce(F.col("old") + SEEN_SHIFT, "code").alias("code"), F.when(F.col("old").isNotNull(), 2).otherwise(F.col("n")).alias("n"))
-        dictionary = materialise(dictionary, "dictionary")
-        # an identifier that one delivery alone bears links nothing
-        shared = dictionary.where("n > 1")
-        coded = rows
-        for kind in ("a", "b"):
-            part = shared.where(F.col("kind") == kind).select(F.col("id").alias(f"id_{kind}"), F.col("code").alias(f"code_{kind}"))
-            coded = coded.join(part, f"id_{kind}", "left")
-        coded = coded.select("delivery_id", F.coalesce("code_a", "delivery_id").alias("a"), F.coalesce("code_b", "delivery_id").alias("b"))
-        coded = materialise(coded.select("delivery_id", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), "coded")
+            dictionary = dictionary.join(self._known(before), ["kind", "id"], "left").select("kind", "id", F.coalesce(F.col("old") + SEEN_SHIFT, "code").alias("code"), F.when(F.col("old").isNotNull(), 2).otherwise(F.col("n")).alias("n"))
+        dictionary.write.parquet(f"{at}/coded")
+        dictionary = self.spark.read.parquet(f"{at}/coded")
+        shared = dictionary.where("n > 1").select("kind", "id", "code")
+        coded = materialise(names.join(shared, ["kind", "id"]).groupBy("delivery_id").agg(F.min("code").alias("low"), F.max("code").alias("high")), "coded")
         roots = _least_codes(coded.where("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b")), self.spark)
-        messages = coded.join(roots, coded["low"] == roots["code"], "left").select("delivery_id", F.coalesce("root", "low").alias("root"))
-        # a root below SEEN_SHIFT / 2 stands for a message of an earlier batch
-        code = F.when(F.col("root") < SEEN_SHIFT // 2, F.col("root") - SEEN_SHIFT).otherwise(F.col("root"))
-        messages = messages.select("delivery_id", code.alias("code"))
+        # the code of every identifier of a delivery leads to the delivery's root, also of those that it alone bears
+        rooted = coded.join(roots, coded["low"] == roots["code"], "left").select("delivery_id", F.coalesce("root", "low").alias("root"))
+        messages = deliveries.where("delivery_id is not null").select("delivery_id").distinct().join(rooted, "delivery_id", "left")
+        messages = materialise(messages.select("delivery_id", _plain(F.coalesce("root", "delivery_id")).alias("code")), "messages")
         first = messages.groupBy("code").agg(F.min("delivery_id").alias("first"))
         if before:
             seen = self.spark.read.parquet(*(f"{b}/seen" for b in before)).groupBy("block").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
-            bit = F.expr("bitmap_bit_position(code + 1)")
             byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(code + 1) div 8 + 1 as int), 1)")), 16, 10).cast("int")
             is_set = F.expr("coalesce(b, 0) % cast(pow(2, w + 1) as int) >= cast(pow(2, w) as int)")
-            first = first.join(seen, F.expr("bitmap_bucket_number(code + 1)") == F.col("block"), "left").select("code", "first", byte.alias("b"), (bit % 8).alias("w")).where(~is_set).select("code", "first")
-        first = materialise(first, "first")
-        result = materialise(messages.join(first.withColumnRenamed("first", "f"), "code", "left").select("delivery_id", "code", F.coalesce(F.col("delivery_id") == F.col("f"), F.lit(False)).alias("admitted")), "admitted")
-        at = f"{self.path}/open/{uuid.uuid4().hex}"
-        self._write_dictionary(dictionary, roots, f"{at}/dictionary")
+            placed = first.join(seen, F.expr("bitmap_bucket_number(code + 1)") == F.col("block"), "left")
+            first = placed.select("code", "first", byte.alias("b"), (F.expr("bitmap_bit_position(code + 1)") % 8).alias("w")).where(~is_set).select("code", "first")
+        first.write.parquet(f"{at}/out")
+        first = self.spark.read.parquet(f"{at}/out")
         bits = first.groupBy(F.expr("bitmap_bucket_number(code + 1)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(code + 1))").alias("bits"))
         bits.write.parquet(f"{at}/seen")
-        result.where("admitted").write.parquet(f"{at}/out")
+        dictionary.select("kind", "id", _plain(F.col("code")).alias("code")).write.parquet(f"{at}/dictionary")
+        links = roots.unionByName(rooted.select(F.col("delivery_id").alias("code"), "root").where("code <> root"))
+        links.groupBy(_plain(F.col("code")).alias("code")).agg(F.min(_plain(F.col("root"))).alias("root")).write.parquet(f"{at}/links")
+        self._fs.delete(self._jpath(f"{at}/coded"), True)
         self._fs.mkdirs(self._jpath(f"{self.path}/batches"))
         target = self._jpath(f"{self.path}/batches/{len(before):08d}")
         if self._fs.exists(target) or not self._fs.rename(self._jpath(at), target):
             raise RuntimeError("another batch has been committed meanwhile")
-        return result
+        admitted = self.spark.read.parquet(f"{self.path}/batches/{len(before):08d}/out").select(F.col("first").alias("delivery_id"), F.lit(True).alias("admitted"))
+        return messages.join(admitted, "delivery_id", "left").select("delivery_id", "code", F.coalesce("admitted", F.lit(False)).alias("admitted"))
+
 
-    def _write_dictionary(self, dictionary: DataFrame, roots: DataFrame, path: str) -> None:
-        """New identifiers, with the code of their message."""
-        final = dictionary.join(roots, "code", "left").select("kind", "id", F.coalesce("root", "code").alias("code"))
-        code = F.when(F.col("code") < SEEN_SHIFT // 2, F.col("code") - SEEN_SHIFT).otherwise(F.col("code"))
-        final.withColumn("code", code).write.parquet(path)
+def _plain(code: Column) -> Column:
+    """A code without the shift that sorts those of earlier batches first."""
+    return F.when(code < SEEN_SHIFT // 2, code - SEEN_SHIFT).otherwise(code)
 
 
 def keep_first_entries(oplog: DataFrame) -> DataFrame:
