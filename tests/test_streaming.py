@@ -97,3 +97,27 @@ def test_retries_end(spark):
     with pytest.raises(OSError):
         apply.run_with_retry(start, fatal=lambda e: True, sleep=waits.append)
     assert len(calls) == 5
+
+
+def test_progress_and_counters(spark, captured, tmp_path):
+    import time
+
+    from tidemark.streaming import listener
+
+    folder, _ = captured
+    log_source.register(spark)
+    lines = []
+    watch = listener.ProgressLog(lines.append)
+    spark.streams.addListener(watch)
+    try:
+        entries = listener.counted(spark.readStream.format("tidemark_log").option("path", folder).load())
+        query = entries.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        for _ in range(50):
+            if any(x.startswith("ended") for x in lines):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(watch)
+    assert watch.totals["entries"] > watch.totals["changes"] > 0 and watch.totals["dropped"] >= 1
+    assert lines[0].startswith("started") and any(x.startswith("progress batch=0") for x in lines)

@@ -83,6 +83,19 @@ def history_lost(spark, sf_dir):
     return feeds.history_lost(_oplog(spark, sf_dir), starts)
 
 
+RESUME = '{"_data": "826553f3b7000000012b0200add0b090a4c1a81b"}'
+
+
+def cs_resume(spark, sf_dir):
+    """Messages after a resume token, by operation."""
+    return feeds.stream_after(_changes(spark, sf_dir), RESUME).groupBy("operation_type").agg(F.count("*").alias("messages"))
+
+
+def cs_start_time(spark, sf_dir):
+    """Messages from an operation time on, by operation."""
+    return feeds.stream_after(_changes(spark, sf_dir), operation_time=(1700000695, 1)).groupBy("operation_type").agg(F.count("*").alias("messages"))
+
+
 def skip_migrate(spark, sf_dir):
     """Entries by operation, without those that a balancer wrote."""
     return feeds.without_migrations(_oplog(spark, sf_dir)).groupBy("shard", "op").agg(F.count("*").alias("entries"))
@@ -327,7 +340,7 @@ def ddl_apply_catalog(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        snapshot_scan, snapshot_envelope, id_type_bounds, id_range_split, range_scan_counts, range_doc_count, range_filter, oplog_window, oplog_ns_filter, oplog_bounds, history_lost, skip_migrate,
+        snapshot_scan, snapshot_envelope, id_type_bounds, id_range_split, range_scan_counts, range_doc_count, range_filter, oplog_window, oplog_ns_filter, oplog_bounds, history_lost, cs_resume, cs_start_time, skip_migrate,
         user_pipeline_filter, ns_discover, topology_classify, version_gates, capture_resolve, capture_validate, oplog_kind, oplog_crud, strip_v, v1_index_normalize, diff_normalize, op_normalize,
         update_desc, event_time, cs_ddl, oplog_ddl, transit_types, ts_format, extract_id, token_digest, offset_path, progress_line, ns_system, ns_white, ns_black, rule_parse, ns_map, ns_invalidate,
         is_patch, index_plan, index_specs, transit_documents, has_unique, unique_timeline, ddl_segments, drop_resets, rename_chain, ddl_apply_catalog,
@@ -373,6 +386,8 @@ _RANGES = """
     b AS (SELECT ns, id_type, piece, min(_id) AS min_id, max(_id) AS max_id, count(*) AS docs FROM n GROUP BY ALL),
     ranges AS (SELECT ns, id_type, CAST(piece AS BIGINT) AS piece, min_id, coalesce(lead(min_id) OVER w, max_id) AS end_id, lead(min_id) OVER w IS NULL AS closed, docs FROM b WINDOW w AS (PARTITION BY ns, id_type ORDER BY piece))"""
 _HEX = "upper(CASE WHEN _id LIKE '{%' THEN json_extract_string(_id, '$._data') ELSE _id END)"
+#: Messages with their position, from the cluster time or the token.
+_AT = f"p AS (SELECT operation_type, coalesce(cluster_time.t * 4294967296 + cluster_time.i, CASE WHEN {_HEX} LIKE '82%' THEN CAST('0x' || substr({_HEX}, 3, 8) AS BIGINT) * 4294967296 + CAST('0x' || substr({_HEX}, 11, 8) AS BIGINT) END) AS pos FROM change_stream)"
 
 ORACLES = {
     "snapshot_scan": "SELECT 'shop.customer' AS ns, CAST(c_custkey AS VARCHAR) AS _id, 'r' AS op, c_name, c_acctbal FROM customer",
@@ -387,6 +402,8 @@ ORACLES = {
     "oplog_bounds": "SELECT shard, min(ts).t AS first_t, min(ts).i AS first_i, max(ts).t AS last_t, max(ts).i AS last_i FROM oplog_entries GROUP BY shard",
     "history_lost": """WITH b AS (SELECT shard, min(ts) AS a FROM oplog_entries GROUP BY shard)
         SELECT shard, CAST(t AS BIGINT) AS start_t, CAST(i AS BIGINT) AS start_i, t > 0 AND (t, i) < (a.t, a.i) AS lost FROM b, (VALUES (0, 0), (1600000000, 1), (1700000500, 1)) s(t, i)""",
+    "cs_resume": f"WITH {_AT} SELECT operation_type, count(*) AS messages FROM p WHERE pos > 1700000695 * 4294967296 + 1 GROUP BY ALL",
+    "cs_start_time": f"WITH {_AT} SELECT operation_type, count(*) AS messages FROM p WHERE pos >= 1700000695 * 4294967296 + 1 GROUP BY ALL",
     "skip_migrate": "SELECT shard, op, count(*) AS entries FROM oplog_entries WHERE NOT coalesce(from_migrate, FALSE) GROUP BY ALL",
     "user_pipeline_filter": "SELECT delivery_id, ns FROM change_stream WHERE operation_type = 'insert' AND TRY_CAST(json_extract_string(full_document, '$.qty') AS INTEGER) > 50",
     "ns_discover": f"""WITH a AS (SELECT ns FROM source_docs UNION SELECT ns FROM oplog_entries WHERE ns <> '')

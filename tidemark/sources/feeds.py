@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.positions import token_hex, token_position
+
 #: Order of changes: the snapshot before the log, then log position, then arrival.
 ORDER = ["phase", "ts_t", "ts_i", "seq"]
 
@@ -140,6 +142,21 @@ def history_lost(oplog: DataFrame, starts: DataFrame) -> DataFrame:
     return starts.join(bounds, "shard").select("shard", "start_t", "start_i", ((F.col("start_t") > 0) & early).alias("lost"))
 
 
+def stream_after(changes: DataFrame, token: str | None = None, operation_time: tuple[int, int] | None = None) -> DataFrame:
+    """Messages from a start on: after the position of a resume token; else from an operation time, inclusive; else all.
+
+    A message without a cluster time has the position in its token, if that carries one, and is left out otherwise.
+    """
+    own = F.struct(F.col("cluster_time.t").alias("t"), F.col("cluster_time.i").alias("i"))
+    at = F.when(F.col("cluster_time").isNotNull(), own).otherwise(token_position(token_hex(F.col("_id"))))
+    rows = changes.withColumn("_at", at).where("_at is not null")
+    if token is not None:
+        rows = rows.where(F.col("_at") > token_position(token_hex(F.lit(token))))
+    elif operation_time is not None:
+        rows = rows.where(F.col("_at") >= F.struct(F.lit(operation_time[0]).cast("bigint").alias("t"), F.lit(operation_time[1]).cast("bigint").alias("i")))
+    return rows.drop("_at")
+
+
 def without_migrations(oplog: DataFrame) -> DataFrame:
     """Entries that a balancer wrote while moving data are not changes."""
     return oplog.where(~F.coalesce("from_migrate", F.lit(False)))
