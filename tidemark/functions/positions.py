@@ -28,8 +28,8 @@ def offset_position(offset: Column) -> Column:
     return F.when(
         short != "",
         F.struct(
-            short.cast("long").alias("t"),
-            F.regexp_extract(offset, r":\s*(\d+)\s*$", 1).cast("long").alias("i"),
+            short.try_cast("long").alias("t"),
+            F.regexp_extract(offset, r":\s*(\d+)\s*$", 1).try_cast("long").alias("i"),
         ),
     ).otherwise(F.when(tagged.getField("t").isNotNull() & tagged.getField("i").isNotNull(), tagged))
 

@@ -8,15 +8,16 @@ from tidemark.operators.parse import collection, database
 
 
 def segments(events: DataFrame, ddl: DataFrame) -> DataFrame:
-    """Add ``segment`` to events of (ns, ts_t, ts_i): how many schema changes of its namespace come before it.
+    """Add ``segment`` to events of (ns, ts_t, ts_i): how many schema changes of its namespace come before it or at its position.
 
-    Events and changes are united and counted in one window by namespace and hour-free position, so no event is paired
-    with the changes of its namespace.
+    A namespace's few schema changes come to its events as one sorted array, so a namespace with most of the events isn't
+    sorted in one task; Spark broadcasts the arrays or splits the join by their size.
     """
-    marks = ddl.select(F.concat_ws(".", "database", "collection").alias("ns"), "ts_t", "ts_i").withColumn("_ddl", F.lit(1))
-    rows = events.withColumn("_ddl", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy("ns").orderBy("ts_t", "ts_i", F.desc("_ddl")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("segment", F.sum("_ddl").over(w)).where("_ddl = 0").drop("_ddl")
+    at = F.struct(F.col("ts_t").alias("t"), F.col("ts_i").alias("i"))
+    marks = ddl.groupBy(F.concat_ws(".", "database", "collection").alias("_ns")).agg(F.sort_array(F.collect_list(at)).alias("_marks"))
+    joined = events.join(marks, events["ns"] == F.col("_ns"), "left")
+    before = F.size(F.filter("_marks", lambda m: m <= at)).cast("bigint")
+    return joined.withColumn("segment", F.when(F.col("_marks").isNull(), F.lit(0).cast("bigint")).otherwise(before)).drop("_ns", "_marks")
 
 
 def drop_resets(events: DataFrame, ddl: DataFrame) -> DataFrame:

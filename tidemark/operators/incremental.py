@@ -68,7 +68,7 @@ def committed_runs(journal: DataFrame, changes: DataFrame | None = None) -> Data
         last = last.withColumn(f"{side}_pos", F.when(F.col("capture_mode") == "CHANGE_STREAM", token_position(F.col(f"{side}_token"))).otherwise(offset_position(offset)))
     if changes is not None:
         last = _look_up_tokens(last, changes)
-    ok = "end_pos is not null and (start_offset is null or start_pos is not null)"
+    ok = "end_pos.t is not null and end_pos.i is not null and (start_offset is null or (start_pos.t is not null and start_pos.i is not null))"
     low = F.lit(-1).cast("long")
     return last.where(ok).select(
         *KEYS,

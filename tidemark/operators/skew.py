@@ -1,7 +1,7 @@
 """A few keys holding most records.
 
 Heavy keys are found by a frequent-items sketch, merged map-side. Their rows are cut into slices of the order column
-by a broadcast join with the slice bounds (at most MAX_HEAVY keys times MAX_SLICES bounds, whatever the data); the
+by a broadcast join with the slice bounds (at most MAX_HEAVY keys times MAX_SLICES numbers, 4 MB, whatever the data); the
 rest takes an ordinary shuffle on the key. Both are united. Each slice's first row then takes its predecessor from the
 last row of the slice before, so that results are those of the whole key.
 
@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: Bounds of what is broadcast: heavy keys, and slices of each.
-MAX_HEAVY, MAX_SLICES = 64, 64
+MAX_HEAVY, MAX_SLICES = 512, 1024
 #: Counters that the sketch keeps; it finds every key with more than about 1 / SKETCH_ITEMS of the rows.
-SKETCH_ITEMS = 4096
+SKETCH_ITEMS = 8192
 #: A key is heavy with more than this share of the rows.
-HEAVY_SHARE = 1 / 64
+HEAVY_SHARE = 1 / MAX_HEAVY
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, limit: int = MAX_HEAVY) -> dict[str, int]:
@@ -35,16 +35,24 @@ def slice_heavy(df: DataFrame, key: str, order: str, heavy: dict[str, int], rows
         return df.withColumn("slice", F.lit(0))
     spark = df.sparkSession
     most = min(MAX_SLICES, max(2, -(-max(heavy.values()) // rows_per_slice)))
-    cuts = [k / most for k in range(1, most)]
+    grid = [k / most for k in range(1, most)]
     bounds = (
         df.where(F.col(key).isin(list(heavy)))
         .groupBy(key)
-        .agg(F.percentile_approx(order, F.array(*map(F.lit, cuts)), 1000).alias("cuts"))
+        .agg(F.percentile_approx(order, F.array(*map(F.lit, grid)), 10 * most).alias("cuts"))
         .collect()
     )  # at most MAX_HEAVY rows of MAX_SLICES numbers
-    small = spark.createDataFrame([(r[key], sorted(set(r["cuts"]))) for r in bounds], "heavy_key string, cuts array<bigint>")
+    rows = []
+    for r in bounds:  # a key gets as many slices as its rows need
+        stride = max(1, most // max(2, -(-heavy[r[key]] // rows_per_slice)))
+        rows.append((r[key], sorted(set(r["cuts"][stride - 1 :: stride]))))
+    small = spark.createDataFrame(rows, "heavy_key string, cuts array<bigint>")
     joined = df.join(F.broadcast(small), F.col(key) == F.col("heavy_key"), "left")
-    place = F.size(F.filter("cuts", lambda c: c < F.col(order)))
+    # how many bounds lie below: first among the last ones of each block, then within one block
+    block = max(1, int(most**0.5))
+    lasts = F.filter("cuts", lambda c, i: (i % block == block - 1) & (c < F.col(order)))
+    inside = F.filter(F.slice("cuts", F.size(lasts) * block + 1, F.lit(block)), lambda c: c < F.col(order))
+    place = F.size(lasts) * block + F.size(inside)
     return joined.withColumn("slice", F.when(F.col("cuts").isNull(), 0).otherwise(place)).drop("heavy_key", "cuts")
 
 

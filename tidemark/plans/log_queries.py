@@ -103,7 +103,7 @@ def skip_migrate(spark, sf_dir):
 
 def user_pipeline_filter(spark, sf_dir):
     """A user's predicate on messages."""
-    rows = _changes(spark, sf_dir).where((F.col("operation_type") == "insert") & (F.get_json_object("full_document", "$.qty").cast("int") > 50))
+    rows = _changes(spark, sf_dir).where((F.col("operation_type") == "insert") & (F.get_json_object("full_document", "$.qty").try_cast("int") > 50))
     return rows.select("delivery_id", "ns")
 
 

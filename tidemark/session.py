@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     It is the cluster's ``spark.checkpoint.dir``. Only a local master, whose executors share this machine's disk, may
     go without; on a cluster a missing setting is an error, since a machine-local folder would lose data.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")

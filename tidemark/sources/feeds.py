@@ -23,7 +23,7 @@ def user_feed(events: DataFrame) -> DataFrame:
         op.alias("op"),
         F.col("event_type").isin("click", "view").alias("is_patch"),
         "value",
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+        F.get_json_object("props", "$.k").try_cast("bigint").alias("k"),
         "event_type",
         F.lit(1).alias("phase"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_t"),
