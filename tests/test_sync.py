@@ -58,10 +58,10 @@ def test_error_texts_and_codes(spark):
     assert [r[0] for r in df.select(namespace.is_history_lost("c")).collect()] == [True, False, None]
 
 
-def test_schema_changes_in_the_catalog(spark):
+def test_schema_changes_in_the_catalog(spark, tmp_path):
     rows = [("CREATE_COLLECTION", "tmt_a", "x", None, 1), ("CREATE_COLLECTION", "tmt_a", "y", None, 2), ("RENAME_COLLECTION", "tmt_a", "x", "tmt_a.z", 3), ("RENAME_COLLECTION", "tmt_a", "y", "tmt_b.y", 4), ("DROP_COLLECTION", "tmt_a", "z", None, 5), ("CREATE_INDEXES", "tmt_a", "z", None, 6)]
     changes = spark.createDataFrame([(*r, 1) for r in rows], "ddl_type string, database string, collection string, target string, ts_t bigint, ts_i bigint")
-    ddl.apply_to_catalog(spark, changes)
+    ddl.apply_to_catalog(spark, changes, f"file://{tmp_path}")
     tables = lambda db: [t.name for t in spark.catalog.listTables(db) if not t.isTemporary]
     assert not tables("tmt_a") and tables("tmt_b") == ["y"]
     gone = changes.limit(1).withColumn("ddl_type", F.lit("DROP_DATABASE"))

@@ -52,27 +52,30 @@ def index_plan(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     return todo.join(existing.select("ns", "name").distinct(), ["ns", "name"], "left_anti")
 
 
-def apply_to_catalog(spark, changes: DataFrame) -> list[str]:
+def apply_to_catalog(spark, changes: DataFrame, location: str | None = None) -> list[str]:
     """Apply schema changes, in order, to Spark's catalog: databases and tables; indexes have no counterpart there.
 
-    Returns the statements run. The changes are schema changes, so there are few; they come to the driver in order.
+    New databases lie under ``location``, by default in the session's warehouse. Returns the statements run. The changes are schema changes, so there are few; they come to the driver in order.
     """
     done = []
 
     def name(db: str, coll: str) -> str:
         return f"`{db}`.`{coll}`"
 
+    def database_of(db: str) -> str:
+        return f"CREATE DATABASE IF NOT EXISTS `{db}`" + (f" LOCATION '{location}/{db}'" if location else "")
+
     for r in changes.orderBy("ts_t", "ts_i").toLocalIterator():
         kind, db, coll = r["ddl_type"], r["database"], r["collection"]
         if kind == "CREATE_COLLECTION":
-            todo = [f"CREATE DATABASE IF NOT EXISTS `{db}`", f"CREATE TABLE IF NOT EXISTS {name(db, coll)} (_id STRING, doc STRING) USING parquet"]
+            todo = [database_of(db), f"CREATE TABLE IF NOT EXISTS {name(db, coll)} (_id STRING, doc STRING) USING parquet"]
         elif kind == "DROP_COLLECTION":
             todo = [f"DROP TABLE IF EXISTS {name(db, coll)}"]
         elif kind == "DROP_DATABASE":
             todo = [f"DROP DATABASE IF EXISTS `{db}` CASCADE"]
         elif kind == "RENAME_COLLECTION" and spark.catalog.tableExists(f"{db}.{coll}"):
             to_db, to_coll = r["target"].split(".", 1)
-            todo = [f"CREATE DATABASE IF NOT EXISTS `{to_db}`", f"DROP TABLE IF EXISTS {name(to_db, to_coll)}", f"ALTER TABLE {name(db, coll)} RENAME TO {name(to_db, to_coll)}"]
+            todo = [database_of(to_db), f"DROP TABLE IF EXISTS {name(to_db, to_coll)}", f"ALTER TABLE {name(db, coll)} RENAME TO {name(to_db, to_coll)}"]
             if to_db != db:  # the catalog renames within a database only
                 todo[2:] = [f"CREATE TABLE {name(to_db, to_coll)} USING parquet AS SELECT * FROM {name(db, coll)}", f"DROP TABLE {name(db, coll)}"]
         else:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import transit
 from tidemark.functions.positions import token_hex
 from tidemark.operators import ddl, namespace, parse, routing
-from tidemark.session import read_table
+from tidemark.session import read_table, work_path
 from tidemark.sources import capability, feeds
 
 #: The namespace that single-namespace queries watch, and the time of a snapshot or batch.
@@ -333,7 +333,10 @@ def ddl_apply_catalog(spark, sf_dir):
     """Schema changes of the log applied to the catalog, as statements."""
     rows = parse.log_ddl(_oplog(spark, sf_dir)).where("ddl_type in ('CREATE_COLLECTION', 'DROP_COLLECTION', 'RENAME_COLLECTION')").withColumn("database", F.concat(F.lit("tm_"), "database")).withColumn("target", F.concat(F.lit("tm_"), "target"))
     once = rows.groupBy("ddl_type", "database", "collection", "target").agg(F.min("ts_t").alias("ts_t"), F.min("ts_i").alias("ts_i"))
-    done = ddl.apply_to_catalog(spark, once)
+    done = ddl.apply_to_catalog(spark, once, work_path(spark, "warehouse"))
+    for r in once.select("database").distinct().collect():
+        spark.sql(f"DROP DATABASE IF EXISTS `{r['database']}` CASCADE")
+    done = [s for s in done if not s.startswith("CREATE DATABASE")]
     return spark.createDataFrame([(k, s) for k, s in enumerate(done)], "step int, statement string")
 
 
