@@ -79,7 +79,8 @@ def oplog_bounds(spark, sf_dir):
 
 def history_lost(spark, sf_dir):
     """Which start positions lie before what the log still has."""
-    starts = _oplog(spark, sf_dir).select("shard").distinct().crossJoin(spark.createDataFrame([(0, 0), (1600000000, 1), (1700000500, 1)], "start_t bigint, start_i bigint"))  # three rows
+    at = F.array(*(F.struct(F.lit(t).cast("bigint").alias("start_t"), F.lit(i).cast("bigint").alias("start_i")) for t, i in ((0, 0), (1600000000, 1), (1700000500, 1))))
+    starts = _oplog(spark, sf_dir).select("shard").distinct().select("shard", F.explode(at).alias("at")).select("shard", "at.*")
     return feeds.history_lost(_oplog(spark, sf_dir), starts)
 
 
