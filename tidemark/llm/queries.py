@@ -51,7 +51,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by area."""
-    return subjects.composition(p9_found(spark, sf_dir), read_table(spark, sf_dir, "documents"))
+    return subjects.composition(p9_found(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (p7_ids, p8_mix, p8_curriculum, p8_shares, p8_reachable, p9_found, p9_composition)}

@@ -249,8 +249,9 @@ def subject_areas(documents: DataFrame, terms: DataFrame, labels: DataFrame) ->
     return documents.where("text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, area string").distinct()
 
 
-def composition(areas: DataFrame, documents: DataFrame) -> DataFrame:
+def composition(areas: DataFrame) -> DataFrame:
     """(area, documents, share): how many documents have each area, and their share of all documents with an area."""
-    known = areas.agg(F.countDistinct("doc_id").alias("n"))
+    areas = materialise(areas, "areas")
+    known = areas.agg(F.countDistinct("doc_id")).first()[0]  # one number
     counts = areas.groupBy("area").agg(F.countDistinct("doc_id").alias("documents"))
-    return counts.crossJoin(F.broadcast(known)).select("area", "documents", F.round(F.col("documents") / F.col("n"), 6).alias("share"))  # one row
+    return counts.select("area", "documents", F.round(F.col("documents") / known, 6).alias("share"))
