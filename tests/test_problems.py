@@ -162,18 +162,145 @@ def test_patches_in_any_order_of_arrival(spark, order):
     assert got(mor_table.scalar_fields(one.read())) == want == got(mor_table.scalar_fields(each.read()))
 
 
+def test_unset_below_a_scalar_that_a_set_removed(spark):
+    rows = [("n", "c", None, {"_id": 1, "a": 5}, 1, 1, 1), ("n", "u", {"_id": 1}, {"$set": {"a.b": 1}}, 1, 2, 1), ("n", "u", {"_id": 1}, {"$unset": {"a.b": 1}}, 1, 3, 1)]
+    for batches in ([rows], [rows[:1], rows[1:2], rows[2:]], [rows[2:], rows[1:2], rows[:1]], [rows[::2], rows[1:2]]):
+        table = current(spark, *(events(spark, *b) for b in batches))
+        assert [r["fields"] for r in table.read().collect()] == [{}]
+
+
+PATHS = ("a", "a.b", "a.b.c", "a.d", "e")
+
+
+def random_changes(rng, n):
+    """Changes of one document, its paths lying above and below each other."""
+    out = []
+    for t in range(1, n + 1):
+        kind = rng.random()
+        value = lambda: rng.choice([1, "x", None, {"b": 2}, {"b": {"c": 3}}, {}, [1]])
+        if kind < 0.1:
+            out.append(("d", t, None))
+        elif kind < 0.25:
+            out.append(("c", t, {"_id": 1, "a": value(), "e": value()}))
+        else:
+            sets = rng.sample(PATHS, rng.randint(0, 1))
+            unsets = [p for p in rng.sample(PATHS, rng.randint(0, 1)) if p not in sets]
+            out.append(("u", t, {"$set": {p: value() for p in sets}, "$unset": {p: True for p in unsets}}))
+    return out
+
+
+def test_any_batching_of_patches_on_scalar_parents():
+    """The fold of random changes in random batches and orders of arrival, through the text form of images, is the sequential one."""
+    import random
+
+    rng = random.Random(7)
+    for _ in range(1500):
+        changes = random_changes(rng, rng.randint(1, 8))
+        rows = [{"seq": t, "ns": "n", "op": op, "before_doc": '{"_id":1}', "after_doc": doc and json.dumps(doc), "phase": 1, "ts_t": t, "ts_i": 1} for op, t, doc in changes]
+        want = {f[2:] for f in brute.current(rows)}
+        arrival = changes + rng.sample(changes, rng.randint(0, len(changes)))
+        rng.shuffle(arrival)
+        image, at = [], 0
+        while at < len(arrival):
+            size = rng.randint(1, 4)
+            state = mor_table.State()
+            for op, t, doc in arrival[at : at + size]:
+                mor_table.apply_change(state, op, (1, t, 1), mor_table.parse_raw(json.dumps(doc)) if doc else None)
+            at += size
+            if state.reset is not None or state.ops:
+                image.append(mor_table._row(("n", "1"), state))
+            image = [tuple(c[0] for c in b.to_pydict().values()) for b in mor_table._fold_by_key(iter([mor_table._images(image)])) if b.num_rows]
+        fields = json.loads(image[0][3]) if image and image[0][2] else {}
+        got_fields = {(p, json.loads(v) if v[0] == '"' else v) for p, v in fields.items() if v[0] not in "[{"}
+        assert got_fields == want, (arrival, got_fields, want)
+
+
 def test_delete_vectors_hide_superseded_rows(spark):
     table = current(spark, events(spark, *[("n", "c", None, {"_id": k, "v": 1}, 1, k, 1) for k in range(50)]))
     table.apply(events(spark, *[("n", "u", {"_id": k}, {"_id": k, "v": 2}, 1, 100 + k, 1) for k in range(0, 50, 2)]))
-    assert table._data(table._manifest()).count() == 75 and len(table._manifest()["deleted"]) == 1
+    manifest = table._manifest()
+    assert table._placed(*(n for n, _ in manifest["data"])).count() == 75 and len(manifest["deleted"]) == 1
     assert {r["fields"]["v"] for r in table.read().where("doc_key % 2 = 0").collect()} == {"2"} and table.read().count() == 50
 
 
-def test_replayed_batch_is_skipped(spark):
+def test_a_small_batch_moves_little(spark):
+    """The index finds the few files and images that a batch supersedes; the rest of the table is neither shuffled nor rewritten."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    table = current(spark, events(spark, *[("n", "c", None, {"_id": k, "v": "x" * 50}, 1, k, 1) for k in range(4000)]))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([n for n in table.store.names(table._manifest()["data"][0][0]) if n.startswith("part")]) == 4
+    table.apply(events(spark, ("n", "u", {"_id": 7}, {"$set": {"v": 2}}, 1, 9000, 1), ("n", "c", None, {"_id": "new"}, 1, 9001, 1)))
+    manifest = table._manifest()
+    assert [rows for _, rows in manifest["data"]] == [4000, 2]
+    marks = table._read(mor_table.VECTORS, manifest["deleted"][0][0])
+    assert marks.agg(F.sum(F.expr("bitmap_count(bits)"))).first()[0] == 1
+    before = dict(manifest, data=manifest["data"][:1], deleted=[])
+    fetch = table._superseded(before, marks, 1)
+    assert len([f for f in fetch.inputFiles() if "/data-" in f]) == 1 and fetch.count() == 1
+    assert "Exchange hashpartitioning" not in fetch._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compaction_and_vacuum_keep_the_documents(spark, small, rows, monkeypatch):
+    monkeypatch.setattr(mor_table, "MOST_SEGMENTS", 2)
+    e = read_table(spark, small, "transfer_events")
+    parts = [e.where(F.pmod(F.xxhash64("seq"), F.lit(5)) == k) for k in range(5)]
+    table = current(spark, *parts[:4])
+    assert len(table._manifest()["index"]) < 4 and len(table._manifest()["deleted"]) <= 2
+    table.compact(0.1)
+    assert len(table._manifest()["data"]) < 4
+    table.apply(parts[4]).compact(0.0)
+    gone = table.vacuum()
+    assert gone and len(table._manifest()["data"]) == 1 and not table._manifest()["deleted"]
+    assert got(mor_table.scalar_fields(table.read())) == brute.current(rows("transfer_events"))
+
+
+def test_replayed_batch_is_skipped_within_its_stream(spark):
     table = mor_table.MorTable(spark, work_path(spark, "mor"))
     batch = events(spark, ("n", "c", None, {"_id": 1, "v": 1}, 1, 1, 1))
-    table.apply(batch, 0).apply(batch, 0)
+    table.apply(batch, 5, "a").apply(batch, 5, "a")
     assert table._manifest()["version"] == 1
+    table.apply(events(spark, ("n", "c", None, {"_id": 2, "v": 1}, 1, 1, 1)), 0, "b")
+    assert table.read().count() == 2
+
+
+def test_one_of_two_writers_commits(spark):
+    table = mor_table.MorTable(spark, work_path(spark, "mor"))
+    batch = events(spark, ("n", "c", None, {"_id": 1, "v": 1}, 1, 1, 1))
+    old = table._manifest()
+    table.apply(batch)
+    with pytest.raises(RuntimeError):
+        table._commit(dict(old))
+
+
+def dropped(spark, *rows):
+    return spark.createDataFrame(rows, "database string, collection string, ts_t bigint, ts_i bigint")
+
+
+def test_drops_and_renames(spark):
+    c = lambda ns, k, t, v=1: (ns, "c", None, {"_id": k, "v": v}, 1, t, 1)
+    table = current(spark, events(spark, c("d.a", 1, 1), c("d.a", 2, 9), c("d.b", 1, 1), c("e.a", 1, 1)))
+    table.apply(events(spark, c("d.a", 3, 4), c("d.a", 4, 6)), drops=dropped(spark, ("d", "a", 5, 1)))
+    keys = lambda: {(r["ns"], r["doc_key"]) for r in table.read().collect()}
+    assert keys() == {("d.a", "2"), ("d.a", "4"), ("d.b", "1"), ("e.a", "1")}
+    table.apply(events(spark, c("d.a", 5, 3), c("d.a", 6, 7)))  # a late change from before the drop
+    assert keys() == {("d.a", "2"), ("d.a", "4"), ("d.a", "6"), ("d.b", "1"), ("e.a", "1")}
+    table.rename("d.a", "d.b", 10, 1)
+    assert keys() == {("d.b", "2"), ("d.b", "4"), ("d.b", "6"), ("e.a", "1")}
+    table.apply(events(spark, ("d.b", "u", {"_id": 2}, {"$set": {"w": 2}}, 1, 11, 1), c("d.a", 7, 12)), drops=dropped(spark, ("e", None, 20, 1)))
+    assert {(r["ns"], r["doc_key"], *sorted(r["fields"].items())) for r in table.read().where("doc_key in ('2', '7')").collect()} == {("d.b", "2", ("v", "1"), ("w", "2")), ("d.a", "7", ("v", "1"))}
+    assert ("e.a", "1") not in keys()
+
+
+def test_unusable_changes_are_named(spark):
+    rows = [("n", "c", None, {"_id": 1}, 1, 1, 1), (None, "c", None, {"_id": 1}, 1, 1, 1), ("n", "c", None, {"_id": 1}, 1, None, 1), ("n", "x", None, {"_id": 1}, 1, 1, 1), ("n", "c", None, [1], 1, 1, 1), ("n", "c", None, {"v": 1}, 1, 1, 1), ("n", "d", {"_id": 1}, None, 1, 1, 1), ("n", None, None, None, 1, 1, 1)]
+    found = [r[0] for r in events(spark, *rows).orderBy("seq").select(mor_table.unusable()).collect()]
+    assert found == [None, "no namespace", "no position", "unknown op", "broken document", "no key", None, "unknown op"]
+
+
+def test_texts_that_utf8_cannot_hold(spark):
+    row = ("n", "c", None, '{"_id": "k\\ud800", "v": "x\\ud800", "deep": ' + "[" * 40 + "]" * 40 + "}", 1, 1, 1)
+    df = spark.createDataFrame([row[:3] + row[3:]], "ns string, op string, before_doc string, after_doc string, phase int, ts_t bigint, ts_i bigint")
+    assert current(spark, df).read().count() == 1
 
 
 # p4

@@ -31,12 +31,12 @@ _raw_decoder = json.JSONDecoder(parse_int=Raw, parse_float=Raw, parse_constant=R
 
 
 def parse(text: str | None):
-    """The value of a JSON text; None where it is null or broken."""
+    """The value of a JSON text; None where it is null, broken, or nested beyond what the parser takes."""
     if text is None:
         return None
     try:
         return json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -46,7 +46,7 @@ def parse_raw(text: str | None):
         return None
     try:
         return _raw_decoder.decode(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
