@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import compare, dedup, drift, incremental, mor_table, skew
+from tidemark.operators import compare, dedup, drift, incremental, mor_table, skew, slices
 from tidemark.session import read_table, work_path
 
 
@@ -306,13 +306,38 @@ def test_texts_that_utf8_cannot_hold(spark):
 # p4
 
 
-@pytest.mark.parametrize("per_slice,share", [(500_000, 1 / 64), (10, 1 / 64), (3, 0.0001)])
-def test_repeated_quantities(spark, small, rows, per_slice, share):
+@pytest.mark.parametrize("per_slice", [None, 10, 1])
+def test_repeated_quantities(spark, small, rows, per_slice):
     changes = skew.account_changes(read_table(spark, small, "transfer_events")).cache()
-    found = skew.with_previous(changes, "acct", ["ts_t", "ts_i"], "qty", per_slice, share)
+    found = skew.with_previous(changes, "acct", ("ts_t", "ts_i"), "qty", per_slice)
     assert got(found.where("previous.any and qty = previous.value").select("acct", "ts_t", "ts_i")) == brute.repeats(rows("transfer_events"))
 
 
+def test_a_key_of_a_thousandth_is_split_when_large(spark):
+    """Heavy is counted in rows of a task, and one second's burst is cut by its steps."""
+    n = 100_000
+    changes = spark.range(n).select(F.when(F.col("id") % 1000 == 0, "burst").when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("acct"), F.lit(7).cast("bigint").alias("ts_t"), F.col("id").alias("ts_i"), (F.col("id") % 2000 < 1000).cast("double").alias("qty")).cache()
+    assert set(skew.heavy_keys(changes, "acct", 50, n)) == {"burst", "hot"}
+    hot = changes.where("acct in ('burst', 'hot')").withColumn("_at", slices.ordinal("ts_t", "ts_i"))
+    sizes = slices.with_slice(hot, slices.find_cuts(hot, ["acct"], "_at", n, 50), ["acct"], F.col("_at")).groupBy("acct", "slice").count()
+    most = {r["acct"]: (r["n"], r["m"]) for r in sizes.groupBy("acct").agg(F.count("*").alias("n"), F.max("count").alias("m")).collect()}
+    assert most["burst"][0] >= 2 and most["hot"][0] >= 300 and max(m for _, m in most.values()) < 250
+    found = skew.with_previous(changes, "acct", ("ts_t", "ts_i"), "qty", 50).where("previous.any").groupBy("acct").agg(F.count("*").alias("n"), F.count_if(F.col("qty") == F.col("previous.value")).alias("same"))
+    assert {tuple(r) for r in found.collect()} == {("burst", 99, 0), ("hot", 33299, found.where("acct = 'hot'").first()["same"])}
+
+
+def test_heavy_rows_follow_the_tasks():
+    assert skew.heavy_rows(400_000, 10) == 10_000 and skew.heavy_rows(10**10, 20_000) < skew.MOST_ROWS
+    assert skew.heavy_rows(10**9, 10) == skew.MOST_ROWS and skew.heavy_rows(0, 8) == 1
+
+
+def test_places_among_cuts(spark):
+    for cuts in ([], [5], [1, 2, 3], list(range(0, 200, 3))):
+        df = spark.range(-2, 205).select("id", F.array(*(F.lit(c).cast("bigint") for c in cuts)).cast("array<bigint>").alias("cuts"))
+        got_places = {r["id"]: r["n"] for r in df.where(F.lit(bool(cuts))).select("id", slices.cuts_below(F.col("cuts"), F.col("id")).alias("n")).collect()}
+        assert all(n == sum(c < k for c in cuts) for k, n in got_places.items())
+
+
 def test_repeated_quantities_of_unusual_tables(spark, small, rows, shape):
     name, change = shape
     found = got(skew.repeated_quantities(change(read_table(spark, small, "transfer_events")), 20))

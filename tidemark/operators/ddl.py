@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.operators.parse import collection, database
+from tidemark.operators.slices import find_cuts, ordinal, with_slice
+from tidemark.session import materialise
 
 
 def segments(events: DataFrame, ddl: DataFrame) -> DataFrame:
     """Add ``segment`` to events of (ns, ts_t, ts_i): how many schema changes of its namespace come before it or at its position.
 
-    A namespace's few schema changes come to its events as one sorted array, so a namespace with most of the events isn't
-    sorted in one task; Spark broadcasts the arrays or splits the join by their size.
+    Events and schema changes of a namespace are cut into the same slices of their order; within a slice they are sorted
+    together and the schema changes counted as they pass, and those of the slices before are added. A namespace with
+    most of the events spreads over as many tasks as it has slices, and work grows as n log n.
     """
-    at = F.struct(F.col("ts_t").alias("t"), F.col("ts_i").alias("i"))
-    marks = ddl.groupBy(F.concat_ws(".", "database", "collection").alias("_ns")).agg(F.sort_array(F.collect_list(at)).alias("_marks"))
-    joined = events.join(marks, events["ns"] == F.col("_ns"), "left")
-    before = F.size(F.filter("_marks", lambda m: m <= at)).cast("bigint")
-    return joined.withColumn("segment", F.when(F.col("_marks").isNull(), F.lit(0).cast("bigint")).otherwise(before)).drop("_ns", "_marks")
+    from tidemark.operators.skew import heavy_rows
+
+    columns = events.columns
+    name = F.when(F.col("collection").isNull(), F.col("database")).otherwise(F.concat_ws(".", "database", "collection"))
+    marks = ddl.select(name.alias("ns"), F.col("ts_t").cast("bigint").alias("_t"), F.col("ts_i").cast("bigint").alias("_i"), F.lit(1).alias("_mark"), F.lit(None).alias("_row"))
+    rows = events.select("ns", F.col("ts_t").cast("bigint").alias("_t"), F.col("ts_i").cast("bigint").alias("_i"), F.lit(0).alias("_mark"), F.struct(*columns).alias("_row"))
+    both = materialise(marks.withColumn("_row", F.col("_row").cast(rows.schema["_row"].dataType)).unionByName(rows).withColumn("_at", ordinal("_t", "_i")), "marked-events")
+    count = both.count()
+    per_slice = heavy_rows(count, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sliced = with_slice(both, materialise(find_cuts(both, ["ns"], "_at", count, per_slice), "cuts"), ["ns"], F.col("_at"), "_slice")
+    passed = F.sum("_mark").over(Window.partitionBy("ns", "_slice").orderBy("_t", "_i").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    per = sliced.groupBy("ns", "_slice").agg(F.sum("_mark").alias("_n"))  # one row per namespace and slice
+    before = per.select(F.col("ns").alias("_ns"), F.col("_slice").alias("_s"), (F.sum("_n").over(Window.partitionBy("ns").orderBy("_slice")) - F.col("_n")).alias("_before"))
+    counted = sliced.withColumn("_passed", passed).where("_mark = 0")
+    joined = counted.join(before, F.col("ns").eqNullSafe(F.col("_ns")) & (F.col("_slice") == F.col("_s")), "left")
+    return joined.select(*(F.col(f"_row.{c}").alias(c) for c in columns), (F.col("_passed") + F.coalesce("_before", F.lit(0))).cast("bigint").alias("segment"))
 
 
 def drop_resets(events: DataFrame, ddl: DataFrame) -> DataFrame:
@@ -34,8 +48,6 @@ def drop_resets(events: DataFrame, ddl: DataFrame) -> DataFrame:
 
 def rename_chain(renames: DataFrame, rounds: int = 32) -> DataFrame:
     """(source, final) of (source, target): follows chains of renames by pointer doubling; a cycle ends after ``rounds``."""
-    from tidemark.session import materialise
-
     chain = renames.groupBy("source").agg(F.min("target").alias("final"))
     for _ in range(rounds):
         step = chain.select(F.col("source").alias("_s"), F.col("final").alias("_f"))

@@ -1,9 +1,13 @@
 """A few keys holding most records.
 
-Heavy keys are found by a frequent-items sketch, merged map-side. Their rows are cut into slices of the order column
-by a broadcast join with the slice bounds (at most MAX_HEAVY keys times MAX_SLICES numbers, 4 MB, whatever the data); the
-rest takes an ordinary shuffle on the key. Both are united. Each slice's first row then takes its predecessor from the
-last row of the slice before, so that results are those of the whole key.
+A frequent-items sketch, merged map-side, finds every key with more rows than a task should get: more than a quarter of
+the mean of the tasks, or a million. Their rows are cut into slices of the order (all of it, so a burst at one second is
+cut, too) by a broadcast join with the cuts; the rest takes an ordinary shuffle on the key. Both are united. Each slice's
+first row then takes its predecessor from the last row of the slice before, so that results are those of the whole key.
+
+What is broadcast or comes to the driver are heavy keys, cuts and slice edges: rows divided by the rows of a slice, and at
+most MOST_SLICES, whatever the data. The sketch has SKETCH_ITEMS counters, so with more than about 1.5e11 rows the
+threshold grows with them.
 
 Defined cases: rows with a null key or a null position take no part; a position counts once for each key; a value that
 is null or no number equals nothing; other columns are ignored.
@@ -13,64 +17,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Bounds of what is broadcast: heavy keys, and slices of each.
-MAX_HEAVY, MAX_SLICES = 512, 1024
-#: Counters that the sketch keeps; it finds every key with more than about 1 / SKETCH_ITEMS of the rows.
-SKETCH_ITEMS = 8192
-#: A key is heavy with more than this share of the rows.
-HEAVY_SHARE = 1 / MAX_HEAVY
+from tidemark.operators.slices import find_cuts, ordinal, with_slice
+from tidemark.session import materialise
+
+#: Counters that the sketch may use; it finds every key with more than 3.5 / SKETCH_ITEMS of the rows, and as it needs only
+#: as many as there are keys near the threshold, fewer are taken for smaller data.
+SKETCH_ITEMS, LEAST_ITEMS, MOST_HEAVY = 1 << 19, 1 << 13, 1 << 16
+#: Most rows of one key that an ordinary task sorts.
+MOST_ROWS = 1_000_000
+
+
+def heavy_rows(count: int, tasks: int) -> int:
+    """Rows from which a key is heavy: a quarter of the mean of the tasks, at most MOST_ROWS, at least what the sketch resolves."""
+    return max(1, min(MOST_ROWS, count // (4 * tasks)), -(-7 * count // SKETCH_ITEMS), -(-count // (MOST_HEAVY - 1)))
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, limit: int = MAX_HEAVY) -> dict[str, int]:
-    """Estimated counts of the keys with more than ``share`` of the rows; a share above 1 / limit makes them at most ``limit``."""
-    found = df.where(F.col(key).isNotNull()).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {limit}, {SKETCH_ITEMS})").alias("top")).first()
-    if not found or not found["n"]:
+def heavy_keys(df: DataFrame, key: str, rows: int, count: int) -> dict[str, int]:
+    """Counts, never too low, of all keys with more than ``rows`` of the ``count`` rows: fewer than count / rows keys and some near it."""
+    if not count:
         return {}
-    return {x["item"]: x["count"] for x in found["top"] if x["count"] > share * found["n"]}
+    items = min(SKETCH_ITEMS, max(LEAST_ITEMS, 1 << (7 * count // rows).bit_length()))
+    limit = min(MOST_HEAVY, max(1, 2 * count // rows), items)
+    top = df.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {limit}, {items})").alias("top")).first()["top"] or []
+    return {x["item"]: x["count"] for x in top if x["count"] > rows}
 
 
-def slice_heavy(df: DataFrame, key: str, order: str, heavy: dict[str, int], rows_per_slice: int) -> DataFrame:
-    """Add ``slice``: 0 for light keys; for heavy ones the number of the slice of ``order`` that the row lies in."""
-    if not heavy:
-        return df.withColumn("slice", F.lit(0))
-    spark = df.sparkSession
-    most = min(MAX_SLICES, max(2, -(-max(heavy.values()) // rows_per_slice)))
-    grid = [k / most for k in range(1, most)]
-    bounds = (
-        df.where(F.col(key).isin(list(heavy)))
-        .groupBy(key)
-        .agg(F.percentile_approx(order, F.array(*map(F.lit, grid)), 10 * most).alias("cuts"))
-        .collect()
-    )  # at most MAX_HEAVY rows of MAX_SLICES numbers
-    rows = []
-    for r in bounds:  # a key gets as many slices as its rows need
-        stride = max(1, most // max(2, -(-heavy[r[key]] // rows_per_slice)))
-        rows.append((r[key], sorted(set(r["cuts"][stride - 1 :: stride]))))
-    small = spark.createDataFrame(rows, "heavy_key string, cuts array<bigint>")
-    joined = df.join(F.broadcast(small), F.col(key) == F.col("heavy_key"), "left")
-    # how many bounds lie below: first among the last ones of each block, then within one block
-    block = max(1, int(most**0.5))
-    lasts = F.filter("cuts", lambda c, i: (i % block == block - 1) & (c < F.col(order)))
-    inside = F.filter(F.slice("cuts", F.size(lasts) * block + 1, F.lit(block)), lambda c: c < F.col(order))
-    place = F.size(lasts) * block + F.size(inside)
-    return joined.withColumn("slice", F.when(F.col("cuts").isNull(), 0).otherwise(place)).drop("heavy_key", "cuts")
-
-
-def with_previous(df: DataFrame, key: str, order: list[str], value: str, rows_per_slice: int = 500_000, share: float = HEAVY_SHARE) -> DataFrame:
-    """Add ``previous``: (position, value) of the row just before in the key's order; df has each (key, *order) once."""
-    heavy = heavy_keys(df, key, share)
-    light_rows = df.where(~F.col(key).isin(list(heavy))) if heavy else df
+def with_previous(df: DataFrame, key: str, order: tuple[str, str], value: str, rows_per_slice: int | None = None) -> DataFrame:
+    """Add ``previous``: (any, value) of the row just before in the key's order; df has each (key, *order) once.
+
+    ``df`` is read several times, so it should be a written table.
+    """
+    count = df.count()
+    rows = rows_per_slice or heavy_rows(count, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heavy = heavy_keys(df, key, rows, count)
     here = F.struct(F.lit(True).alias("any"), F.col(value).alias("value"))
-    light = light_rows.withColumn("previous", F.lag(here).over(Window.partitionBy(key).orderBy(*order)))
     if not heavy:
-        return light
-    sliced = slice_heavy(df.where(F.col(key).isin(list(heavy))), key, order[0], heavy, rows_per_slice)
-    within = sliced.withColumn("previous", F.lag(here).over(Window.partitionBy(key, "slice").orderBy(*order)))
-    # one row per heavy key and slice, so this is bounded by MAX_HEAVY * MAX_SLICES
-    edge = sliced.groupBy(key, "slice").agg(F.max_by(here, F.struct(*order)).alias("last"))
-    before = edge.withColumn("before", F.lag("last").over(Window.partitionBy(key).orderBy("slice"))).select(F.col(key).alias("_k"), F.col("slice").alias("_s"), "before")
-    joined = within.join(F.broadcast(before), (F.col(key) == F.col("_k")) & (F.col("slice") == F.col("_s")), "left")
-    joined = joined.withColumn("previous", F.coalesce("previous", "before")).drop("_k", "_s", "before", "slice")
+        return df.withColumn("previous", F.lag(here).over(Window.partitionBy(key).orderBy(*order)))
+    named = df.sparkSession.createDataFrame([(k,) for k in sorted(heavy)], "heavy_key string")
+    is_heavy = F.col(key) == F.col("heavy_key")  # fewer than MOST_HEAVY keys
+    light = df.join(F.broadcast(named), is_heavy, "left_anti").withColumn("previous", F.lag(here).over(Window.partitionBy(key).orderBy(*order)))
+    hot = df.join(F.broadcast(named), is_heavy, "left_semi").withColumn("_at", ordinal(*order))
+    cuts = materialise(find_cuts(hot, [key], "_at", sum(heavy.values()), rows), "cuts")
+    sliced = with_slice(hot, cuts, [key], F.col("_at"), "_slice")
+    within = sliced.withColumn("previous", F.lag(here).over(Window.partitionBy(key, "_slice").orderBy(*order)))
+    # one row per slice
+    edge = sliced.groupBy(key, "_slice").agg(F.max_by(here, F.struct(*order)).alias("last"))
+    before = edge.withColumn("before", F.lag("last").over(Window.partitionBy(key).orderBy("_slice"))).select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), "before")
+    joined = within.join(F.broadcast(before), (F.col(key) == F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
+    joined = joined.withColumn("previous", F.coalesce("previous", "before")).drop("_k", "_s", "before", "_slice", "_at")
     return light.unionByName(joined)
 
 
@@ -91,10 +85,8 @@ def account_changes(events: DataFrame) -> DataFrame:
     return rows.groupBy("ts_t", "ts_i").agg(F.min(F.struct("seq", "acct", "qty")).alias("r")).select("ts_t", "ts_i", "r.acct", "r.qty")
 
 
-def repeated_quantities(events: DataFrame, rows_per_slice: int = 500_000) -> DataFrame:
+def repeated_quantities(events: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
     """(acct, ts_t, ts_i) of the changes whose qty equals that of the account's change just before."""
-    from tidemark.session import materialise
-
-    changes = materialise(account_changes(events), "account-changes")  # read three times: sketch, bounds and window
-    found = with_previous(changes, "acct", ["ts_t", "ts_i"], "qty", rows_per_slice)
+    changes = materialise(account_changes(events), "account-changes")  # read by the sketch, the cuts and the windows
+    found = with_previous(changes, "acct", ("ts_t", "ts_i"), "qty", rows_per_slice)
     return found.where("previous.any and qty = previous.value").select("acct", "ts_t", "ts_i")
