@@ -21,20 +21,55 @@ def got(df):
 
 
 def pending(oplog, changes, runs, **kw):
-    return incremental.pending_positions(incremental.landed_rows(oplog, changes), incremental.committed_runs(runs, changes), **kw)
+    return incremental.pending_positions(incremental.landed_positions(incremental.landed_rows(oplog, changes)), incremental.committed_runs(runs, changes), **kw)
 
 
-@pytest.mark.parametrize("width", [None, 7])
-def test_pending_positions(spark, small, rows, width):
+@pytest.mark.parametrize("per_slice", [incremental.SLICE_ROWS, 7])
+def test_pending_positions(spark, small, rows, per_slice):
     o, c, r = (read_table(spark, small, t) for t in ("oplog_entries", "change_stream", "sync_runs"))
-    assert got(pending(o, c, r, slice_seconds=width)) == brute.pending(rows("oplog_entries"), rows("change_stream"), rows("sync_runs"))
+    assert got(pending(o, c, r, rows_per_slice=per_slice)) == brute.pending(rows("oplog_entries"), rows("change_stream"), rows("sync_runs"))
 
 
-def test_pending_positions_of_unusual_tables(spark, small, rows, shape):
+def test_a_run_takes_the_pending_positions(spark, small, rows, shape):
     name, change = shape
     o, c, r = (change(read_table(spark, small, t)) for t in ("oplog_entries", "change_stream", "sync_runs"))
     want = set() if name == "empty" else brute.pending(rows("oplog_entries"), rows("change_stream"), rows("sync_runs"))
-    assert got(pending(o, c, r)) == want
+    runner = incremental.IncrementalRunner(spark, work_path(spark, "runs"))
+    landed, journal = incremental.landed_rows(o, c), incremental.committed_runs(r, c)
+    limit = runner.take(landed, journal)
+    assert (got(runner.output()) == want) if limit is not None else not want
+    assert runner.take(landed, journal) is None
+
+
+def at_hour(h):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+
+
+def test_a_broken_run_is_taken_again_and_later_rows_by_the_next_run(spark):
+    schema = "shard string, ts struct<t:bigint,i:bigint>, landed_at timestamp_ntz"
+    first = [("s", (t, 1), at_hour(0)) for t in range(1, 6)]
+    second = first + [("s", (3, 1), at_hour(1)), ("s", (2, 5), at_hour(1)), ("s", (9, 1), at_hour(1))]
+    landed = lambda rows: incremental.landed_rows(spark.createDataFrame(rows, schema), None)
+    journal = spark.createDataFrame([], incremental._JOURNAL)
+    runner = incremental.IncrementalRunner(spark, work_path(spark, "runs"))
+
+    def broken():
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        runner.take(landed(first), journal, broken)
+    assert runner.output() is None and runner.watermark() is None
+    runner.take(landed(first), journal)
+    runner.take(landed(second), journal)
+    assert sorted((r["pos_t"], r["pos_i"]) for r in runner.output().collect()) == [(1, 1), (2, 1), (2, 5), (3, 1), (4, 1), (5, 1), (9, 1)]
+
+
+def test_outliers_and_bursts_are_cut(spark):
+    """An entry at position 1 far from the rest, and a burst within one second, leave slices of about the same size."""
+    rows = spark.range(20_000).select(F.lit("s").alias("shard"), F.lit("OPLOG").alias("capture_mode"), F.when(F.col("id") == 0, 1).when(F.col("id") < 8000, 1_700_000_000).otherwise(1_700_000_000 + F.col("id")).cast("bigint").alias("pos_t"), F.col("id").alias("pos_i")).withColumn("_at", slices.ordinal("pos_t", "pos_i"))
+    cuts = slices.find_cuts(rows, incremental.KEYS, "_at", 20_000, 1000)
+    sizes = [r["count"] for r in slices.with_slice(rows, cuts, incremental.KEYS, F.col("_at")).groupBy("slice").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 2500
 
 
 def test_offsets_that_cannot_be_read_cover_nothing(spark):
@@ -44,7 +79,7 @@ def test_offsets_that_cannot_be_read_cover_nothing(spark):
     schema = "run_id bigint, shard string, capture_mode string, run_state string, start_offset string, end_offset string, read_at timestamp_ntz, logged_at timestamp_ntz"
     for start, end, left in ((None, "5:1", {6}), ("nonsense", "9:9", {5, 6}), (None, None, {5, 6}), (None, '{"$timestamp": {"i": 1, "t": 6}}', set()), ("5:1", "6:1", {5})):
         runs = spark.createDataFrame([(1, "s", "OPLOG", "COMMITTED", start, end, later, later)], schema)
-        found = incremental.pending_positions(incremental.landed_rows(log, None), incremental.committed_runs(runs))
+        found = incremental.pending_positions(incremental.landed_positions(incremental.landed_rows(log, None)), incremental.committed_runs(runs))
         assert {r["pos_t"] for r in found.collect()} == left
 
 
@@ -52,29 +87,47 @@ def test_tokens_of_another_form_are_looked_up(spark):
     at = datetime.datetime(2024, 1, 1)
     changes = spark.createDataFrame([("s", "AB01", (5, 1), at), ("s", "AB02", (6, 1), at)], "shard string, _id string, cluster_time struct<t:bigint,i:bigint>, landed_at timestamp_ntz")
     runs = spark.createDataFrame([(1, "s", "CHANGE_STREAM", "COMMITTED", None, '{"_data": "ab01"}', at, at)], "run_id bigint, shard string, capture_mode string, run_state string, start_offset string, end_offset string, read_at timestamp_ntz, logged_at timestamp_ntz")
-    found = incremental.pending_positions(incremental.landed_rows(None, changes), incremental.committed_runs(runs, changes))
+    found = incremental.pending_positions(incremental.landed_positions(incremental.landed_rows(None, changes)), incremental.committed_runs(runs, changes))
     assert {r["pos_t"] for r in found.collect()} == {6}
 
 
 def test_runner_neither_skips_nor_repeats(spark, small):
-    log = read_table(spark, small, "oplog_entries").select("entry_id", "shard", "ts", "landed_at")
+    table = read_table(spark, small, "oplog_entries").select("entry_id", "shard", "ts", "landed_at")
+    log = incremental.CommitLog(spark, work_path(spark, "log"))
     runner = incremental.IncrementalRunner(spark, work_path(spark, "runs"))
-    cut = log.agg(F.percentile_approx(F.unix_micros(F.col("landed_at").cast("timestamp")), 0.5)).first()[0]
-    early = log.where(F.unix_micros(F.col("landed_at").cast("timestamp")) <= cut)
+    assert runner.run(log, lambda df: df) is None
+    part = lambda k: table.where(F.pmod(F.xxhash64("entry_id"), F.lit(3)) == k)
 
     def broken():
         raise OSError("lost")
 
+    assert log.append(part(0)) == 1
     with pytest.raises(OSError):
-        runner.run(early, lambda df: df, before_commit=broken)
+        runner.run(log, lambda df: df, before_commit=broken)
     assert runner.output() is None and runner.watermark() is None
-    assert runner.run(early, lambda df: df) is not None
+    assert runner.run(log, lambda df: df) == 1
+    log.append(part(1))
+    log.append(part(2))
     with pytest.raises(OSError):
         runner.run(log, lambda df: df, before_commit=broken)
-    assert runner.run(log, lambda df: df) is not None
+    assert runner.run(log, lambda df: df) == 3
     assert runner.run(log, lambda df: df) is None
     out = runner.output()
-    assert out.count() == out.select("shard", "ts").distinct().count() == log.select("shard", "ts").distinct().count()
+    assert out.count() == out.select("shard", "ts").distinct().count() == table.select("shard", "ts").distinct().count()
+
+
+def test_what_becomes_visible_later_is_never_skipped(spark):
+    """A row with the oldest landing and position of all, appended after a run, is processed by the next; only new commits are read."""
+    schema = "shard string, ts struct<t:bigint,i:bigint>, landed_at timestamp_ntz"
+    log = incremental.CommitLog(spark, work_path(spark, "log"))
+    runner = incremental.IncrementalRunner(spark, work_path(spark, "runs"))
+    log.append(spark.createDataFrame([("s", (5, 1), at_hour(5)), ("s", (6, 1), at_hour(6))], schema))
+    runner.run(log, lambda df: df)
+    log.append(spark.createDataFrame([("s", (1, 1), at_hour(0)), ("s", (5, 1), at_hour(9)), (None, (1, 1), at_hour(0)), ("s", None, at_hour(0))], schema))
+    read = []
+    runner.run(log, lambda df: read.append(sorted(r["ts"]["t"] for r in df.collect())) or df)
+    assert read == [[1]] and sorted(r["ts"]["t"] for r in runner.output().collect()) == [1, 5, 6]
+    assert len(log.read(1, 2).inputFiles()) < len(log.read(0, 2).inputFiles())
 
 
 # p2
@@ -393,14 +446,54 @@ def test_consistent_table(spark):
 
 def copies(spark, df, batches=1):
     seen = dedup.SeenMessages(spark, work_path(spark, "seen"))
-    out = [seen.admit(dedup.message_identifiers(df if batches == 1 else df.where(F.col("delivery_id") % batches == k))) for k in range(batches)]
+    out = [seen.admit(dedup.message_identifiers(df if batches == 1 else df.where(F.pmod(F.xxhash64("delivery_id"), F.lit(batches)) == k))) for k in range(batches)]
     return seen, out
 
 
 def test_copies(spark, small, rows, shape):
     name, change = shape
-    _, (result,) = copies(spark, change(read_table(spark, small, "change_stream")))
-    assert got(result.where("not admitted").select("delivery_id")) == (set() if name == "empty" else {(d,) for d in brute.copies(rows("change_stream"))})
+    seen, (result,) = copies(spark, change(read_table(spark, small, "change_stream")))
+    want = set() if name == "empty" else {(d,) for d in brute.copies(rows("change_stream"))}
+    assert got(result.where("not admitted").select("delivery_id")) == want == got(seen.copies())
+
+
+def test_copies_by_batches_in_order(spark, small, rows, monkeypatch):
+    monkeypatch.setattr(dedup, "MOST_SEGMENTS", 2)
+    seen = dedup.SeenMessages(spark, work_path(spark, "seen"))
+    for batch in dedup.in_order(dedup.message_identifiers(read_table(spark, small, "change_stream"), "batch_no"), 4):
+        seen.admit(batch)
+    want = {(d,) for d in brute.copies(rows("change_stream"))}
+    assert got(seen.copies()) == want and len(seen._manifest()["bits"]) <= 2
+    assert seen.admitted().count() == len(rows("change_stream")) - len(want)
+    codes = seen.dictionary().agg(F.count("*"), F.countDistinct("code"), F.countDistinct("kind", "id"), F.min("code"), F.max("code")).first()
+    assert codes[0] == codes[1] == codes[2] == codes[4] + 1 and codes[3] == 0  # dense, each once
+
+
+def test_copies_in_any_batches_are_settled(spark, small, rows):
+    """Batches in no order: messages admitted apart and linked later are settled by copies()."""
+    seen, out = copies(spark, read_table(spark, small, "change_stream"), 3)
+    assert got(seen.copies()) == {(d,) for d in brute.copies(rows("change_stream"))}
+    again = seen.admit(dedup.message_identifiers(read_table(spark, small, "change_stream")))
+    assert again.where("admitted").count() == 0
+
+
+def test_sparse_identifiers_take_dense_bits(spark):
+    far = messages(spark, *[(k * 10**12, f"82{k:06X}", None, None) for k in range(1, 500)])
+    seen, _ = copies(spark, far)
+    bits = seen._read(dedup._BITS, seen._manifest()["bits"])
+    assert bits.count() == 1 and seen._manifest()["codes"] == 499
+    assert seen.admit(dedup.message_identifiers(far)).where("admitted").count() == 0
+
+
+def test_a_batch_that_breaks_after_its_dictionary_is_admitted_again(spark, monkeypatch):
+    batch = dedup.message_identifiers(messages(spark, (1, "8201", None, None), (2, "8201", None, None), (3, "8202", None, None)))
+    seen = dedup.SeenMessages(spark, work_path(spark, "seen"))
+    monkeypatch.setattr(dedup, "least_codes", lambda edges: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        seen.admit(batch)
+    monkeypatch.undo()
+    assert seen._manifest()["codes"] == 2 and not seen._manifest()["bits"]
+    assert {r["delivery_id"] for r in seen.admit(batch).where("admitted").collect()} == {1, 3}
 
 
 def messages(spark, *rows):
@@ -414,16 +507,6 @@ def test_copies_of_copies(spark):
     assert got(result.where("not admitted").select("delivery_id")) == {(k,) for k in [*range(2, 60), 73, 75]}
 
 
-def test_batches_keep_one_copy_each(spark, small, rows):
-    found = brute.copies(rows("change_stream"))
-    seen, out = copies(spark, read_table(spark, small, "change_stream"), 3)
-    kept = [r["delivery_id"] for df in out for r in df.where("admitted").collect()]
-    # a copy that links two messages only in a later batch comes too late to hold the second back
-    assert len(kept) == len(set(kept)) and len(kept) >= len(rows("change_stream")) - len(found)
-    again = seen.admit(dedup.message_identifiers(read_table(spark, small, "change_stream")))
-    assert again.where("admitted").count() == 0
-
-
 def test_a_later_copy_is_held_back(spark):
     first = messages(spark, (10, "8201", 5, '{"_id": 1}'), (11, "8202", 6, '{"_id": 2}'))
     second = messages(spark, (1, "8201", None, None), (12, None, 6, '{"_id":2}'), (13, "8203", 7, '{"_id": 3}'), (14, "8203", 7, '{"_id": 3}'))

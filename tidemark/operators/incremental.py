@@ -1,13 +1,18 @@
 """Processing only new or changed records.
 
-A reader of a log may be behind, may break, and may be overtaken by entries that land late at old positions. So the
-high-watermark is kept on the landing sequence, position by position: a committed run read everything that had landed
-up to its ``read_at`` (its upper limit, fixed when it began) between its start and end positions. The watermark of a
-position is the largest ``read_at`` of the committed runs that span it, and a position is pending while it landed after
-its watermark. Nothing is skipped (a late entry lies above the watermark of its position) and nothing repeated (a
-broken run adds no watermark).
-
-:class:`IncrementalRunner` commits a run's output and its journal row in one rename, so both appear or neither does.
+**Log with a commit sequence.** :class:`CommitLog` numbers the arrivals of a log: what a writer appends becomes visible
+as commit n, by one manifest put where there is none, so whatever becomes visible later has a larger number, however old
+its own times are. :class:`IncrementalRunner` keeps its high-watermark on that sequence. A run fixes its upper limit when
+it begins, reads the commits between watermark and limit and no others, leaves out entries that have the position of an
+entry of an earlier run (their narrow key files are read for the positions in question only), and puts one manifest that
+holds output, keys and watermark together: all appear or none.
+
+**Tables with a journal.** Where readers of a log have left a journal of runs, a committed run read everything that had
+landed up to its ``read_at`` between its start and end positions. So the high-watermark is kept on the landing sequence
+position by position: the largest ``read_at`` of the committed runs that span it, and a position is pending while it
+landed after its watermark. Nothing is skipped (a late entry lies above the watermark of its position) and nothing
+repeated (a broken run adds no watermark). :meth:`IncrementalRunner.take` fixes the limit, takes the pending positions
+that landed up to it, and commits them with its own journal rows, which the next run reads beside the others.
 
 Defined cases: rows with a null shard, position or landing time name no position; a committed run with a null or
 unreadable end, or a null ``read_at``, covers nothing; a null start lies before everything; an unreadable start that
@@ -16,7 +21,6 @@ is not null covers nothing; empty tables give empty results; other columns are i
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -25,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.positions import micros, offset_position, token_hex, token_position
-from tidemark.session import ship
+from tidemark.operators.slices import cuts_below, find_cuts, ordinal, with_slice
+from tidemark.session import materialise, ship
+from tidemark.store import Store, Versions
 
 KEYS = ["shard", "capture_mode"]
-#: Positions that one slice of a shard should hold, at the density of the densest shard.
+#: Positions that one slice of a shard should hold.
 SLICE_ROWS = 200_000
-
+_JOURNAL = "shard string, capture_mode string, lo_t bigint, lo_i bigint, hi_t bigint, hi_i bigint, read_to bigint"
+_POSITIONS = "shard string, capture_mode string, pos_t bigint, pos_i bigint"
 
 def landed_rows(oplog: DataFrame | None, changes: DataFrame | None) -> DataFrame:
     """(shard, capture_mode, pos_t, pos_i, landed) of every row that has a position, in microseconds."""
@@ -99,19 +106,6 @@ def _look_up_tokens(runs: DataFrame, changes: DataFrame) -> DataFrame:
     return runs
 
 
-def _time_slices(rows: DataFrame) -> tuple[int, int, int]:
-    """(width, first, last): the width at which the densest shard has about SLICE_ROWS rows a slice, and the slices there are.
-
-    A scan of four columns that brings one row back.
-    """
-    per_shard = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("pos_t").alias("a"), F.max("pos_t").alias("b"))
-    r = per_shard.agg(F.max(F.col("n") / (F.col("b") - F.col("a") + 1)).alias("density"), F.min("a").alias("a"), F.max("b").alias("b")).first()
-    if r["density"] is None:
-        return 1, 0, 0
-    width = max(1, int(SLICE_ROWS / r["density"]))
-    return width, r["a"] // width, r["b"] // width
-
-
 def _uncovered(key, positions: pa.Table, runs: pa.Table) -> pa.Table:
     """Positions of one slice above their watermark. Runs are applied in order of read_to, so the largest stays."""
     t, i = positions["pos_t"].to_numpy(), positions["pos_i"].to_numpy()
@@ -120,8 +114,6 @@ def _uncovered(key, positions: pa.Table, runs: pa.Table) -> pa.Table:
     landed = positions["landed"].to_numpy()[order]
     mark = np.full(len(t), np.iinfo(np.int64).min)
     if runs.num_rows and len(t):
-        at = np.empty(len(t), dtype=[("t", "i8"), ("i", "i8")])
-        at["t"], at["i"] = t, i
 
         def place(tt, ii):
             # index of the first position after (tt, ii)
@@ -145,77 +137,131 @@ def _uncovered(key, positions: pa.Table, runs: pa.Table) -> pa.Table:
     )
 
 
-def pending_positions(rows: DataFrame, runs: DataFrame, slice_seconds: int | None = None) -> DataFrame:
-    """(shard, capture_mode, pos_t, pos_i) of the positions of :func:`landed_rows` above their watermark.
+def pending_positions(positions: DataFrame, runs: DataFrame, rows_per_slice: int = SLICE_ROWS) -> DataFrame:
+    """(shard, capture_mode, pos_t, pos_i) of the :func:`landed_positions` above their watermark.
 
-    Both sides are cut into time slices, so a shard with a third of all positions spreads over many tasks; a run goes
-    to each slice that it spans (there are about rows / SLICE_ROWS slices), never to each position.
+    ``positions`` is read several times, so it should be a written table. A shard with more positions than a slice holds
+    is cut at quantiles of its own positions, so neither an outlier nor a burst, even within one second, puts much of it
+    into one slice. A run goes to each slice that it spans, never to each position.
     """
-    ship(rows.sparkSession)
-    width, first, last = _time_slices(rows)
-    if slice_seconds:
-        first, last, width = first * width // slice_seconds, ((last + 1) * width) // slice_seconds, slice_seconds
-    cut_positions = landed_positions(rows).withColumn("slice", F.floor(F.col("pos_t") / width))
-    cut_runs = (
-        runs.withColumn("a", F.greatest(F.floor(F.col("lo_t") / width), F.lit(first)))
-        .withColumn("b", F.least(F.floor(F.col("hi_t") / width), F.lit(last)))
-        .where("a <= b")
-        .withColumn("slice", F.explode(F.sequence("a", "b")))
-        .select(*KEYS, "slice", "lo_t", "lo_i", "hi_t", "hi_i", "read_to")
-    )
+    ship(positions.sparkSession)
+    placed = positions.withColumn("_at", ordinal("pos_t", "pos_i"))
+    cuts = materialise(find_cuts(placed, KEYS, "_at", positions.count(), rows_per_slice), "cuts")
+    cut_positions = with_slice(placed, cuts, KEYS, F.col("_at")).drop("_at")
+    named = cuts.select(F.col("shard").alias("_shard"), F.col("capture_mode").alias("_mode"), "cuts")
+    low, high = cuts_below(F.col("cuts"), ordinal("lo_t", "lo_i")), cuts_below(F.col("cuts"), ordinal("hi_t", "hi_i"))
+    span = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(low, F.greatest(low, high)))
+    joined = runs.join(F.broadcast(named), (F.col("shard") == F.col("_shard")) & (F.col("capture_mode") == F.col("_mode")), "left")  # as many numbers as slices
+    cut_runs = joined.withColumn("slice", F.explode(span)).select(*KEYS, "slice", "lo_t", "lo_i", "hi_t", "hi_i", "read_to")
     keys = [*KEYS, "slice"]
-    return cut_positions.groupBy(*keys).cogroup(cut_runs.groupBy(*keys)).applyInArrow(_uncovered, "shard string, capture_mode string, pos_t bigint, pos_i bigint")
+    return cut_positions.groupBy(*keys).cogroup(cut_runs.groupBy(*keys)).applyInArrow(_uncovered, _POSITIONS)
+
+
+class CommitLog:
+    """A log in numbered commits, in a folder of the shared file system."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.store = Store(spark, self.path)
+        self._commits = Versions(self.store, "commits")
+
+    def head(self) -> int:
+        """The number of the last commit; 0 if there is none."""
+        names = self.store.names("commits")
+        return int(names[-1][1:]) if names else 0
+
+    def append(self, rows: DataFrame) -> int:
+        """Write rows, then make them visible as the next commit; returns its number. Of writers at the same time each gets one."""
+        name = f"rows-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        number = self.head() + 1
+        while not self.store.put_new(f"commits/v{number:010d}", f'{{"rows": "{name}"}}'):
+            number += 1
+        return number
+
+    def read(self, after: int, until: int) -> DataFrame | None:
+        """The rows of commits after one number and up to another; no other file is opened. None if there are no such commits."""
+        import json
+
+        wanted = [n for n in self.store.names("commits") if after < int(n[1:]) <= until]
+        folders = [json.loads(self.store.read(f"commits/{n}"))["rows"] for n in wanted]
+        return self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders)) if folders else None
 
 
 class IncrementalRunner:
-    """Runs a function over the pending records of a log, each exactly once, across failures.
+    """Processes the new records of a log, each exactly once, across failures.
 
-    A run's folder ``runs/<id>`` holds its output and its journal row; it is written under ``open/<id>`` and becomes
-    part of the table by one rename, which is the commit. What a broken run leaves under ``open`` is never read.
+    What a run writes becomes part of the result by one manifest, which also moves the watermark. What a broken run
+    leaves is never read.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._hadoop = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.store = Store(spark, self.path)
+        self._versions = Versions(self.store)
 
-    def _dirs(self) -> list[str]:
-        top = self._hadoop(f"{self.path}/runs")
-        return sorted(s.getPath().toString() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+    def _runs(self) -> list[dict]:
+        return self._versions.all()
 
     def watermark(self) -> int | None:
-        """The upper limit (microseconds of landing) of the last committed run."""
-        marks = [int(d.rsplit("=", 1)[1]) for d in self._dirs()]
-        return max(marks) if marks else None
+        """The upper limit of the last committed run."""
+        newest = self._versions.newest()
+        return newest["to"] if newest else None
 
     def output(self) -> DataFrame | None:
-        dirs = [f"{d}/out" for d in self._dirs()]
-        return self.spark.read.parquet(*dirs) if dirs else None
+        """What all committed runs have written."""
+        folders = [f"{self.path}/{r['out']}" for r in self._runs()]
+        return self.spark.read.parquet(*folders) if folders else None
+
+    def _commit(self, run: dict, before_commit: Callable[[], None]) -> None:
+        before_commit()
+        self._versions.commit(run["number"], run)
 
-    def run(self, log: DataFrame, transform: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] = lambda: None) -> int | None:
-        """Process what landed after the watermark and not after the limit, which is fixed now; returns the limit, or None.
+    def run(self, log: CommitLog, transform: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] = lambda: None) -> int | None:
+        """Process the commits after the watermark and up to the last one there is now; returns that number, or None if there is none.
 
-        Entries that have the position of an entry of an earlier run, or of an earlier row of this one, are repeats.
+        Entries with the (shard, ts) of an entry of an earlier run, or of another one of this run, are repeats.
         """
-        mark = self.watermark()
-        rows = log.withColumn("_landed", micros("landed_at"))
-        limit = rows.agg(F.max("_landed").alias("m")).first()["m"]
+        newest = self._versions.newest()
+        mark, limit = newest["to"] if newest else 0, log.head()
+        if limit <= mark:
+            return None
+        stamp, number = uuid.uuid4().hex[:12], newest["number"] + 1 if newest else 1
+        keys = [F.col("shard"), F.col("ts.t").alias("t"), F.col("ts.i").alias("i")]
+        fresh = log.read(mark, limit).where("shard is not null and ts.t is not null and ts.i is not null").dropDuplicates(["shard", "ts"])
+        fresh = materialise(fresh, "fresh")
+        old = [f"{self.path}/{r['keys']}" for r in self._runs()]
+        if old:
+            span = fresh.agg(F.min("ts.t").alias("a"), F.max("ts.t").alias("b")).first()
+            known = self.spark.read.schema("shard string, t bigint, i bigint").parquet(*old).where(F.col("t").between(span["a"], span["b"]))
+            here = fresh.select(*keys)
+            seen = known.join(here, ["shard", "t", "i"], "left_semi")
+            fresh = fresh.join(seen.select(F.col("shard").alias("_s"), F.col("t").alias("_t"), F.col("i").alias("_i")), (F.col("shard") == F.col("_s")) & (F.col("ts.t") == F.col("_t")) & (F.col("ts.i") == F.col("_i")), "left_anti")
+            fresh = materialise(fresh, "fresh")
+        transform(fresh).write.parquet(f"{self.path}/out-{stamp}")
+        fresh.select(*keys).sortWithinPartitions("t", "i").write.parquet(f"{self.path}/keys-{stamp}")
+        self._commit({"number": number, "from": mark, "to": limit, "out": f"out-{stamp}", "keys": f"keys-{stamp}"}, before_commit)
+        return limit
+
+    def take(self, rows: DataFrame, journal: DataFrame, before_commit: Callable[[], None] = lambda: None, rows_per_slice: int = SLICE_ROWS) -> int | None:
+        """Take the pending positions of :func:`landed_rows` that have landed by now, given the :func:`committed_runs` of others.
+
+        The limit is the last landing there is when the run begins; what lands meanwhile is left to the next run. The
+        positions taken become the output together with this run's own journal rows, one per shard and mode, by which
+        later runs know them as processed.
+        """
+        newest = self._versions.newest()
+        mark = newest["to"] if newest else None
+        limit = rows.agg(F.max("landed").alias("m")).first()["m"]
         if limit is None or (mark is not None and limit <= mark):
             return None
-        fresh = rows.where(F.col("_landed") <= limit)
-        new = fresh.groupBy("shard", "ts").agg(F.min("_landed").alias("_first"))
-        if mark is not None:
-            new = new.where(F.col("_first") > mark)
-        fresh = fresh.join(new, ["shard", "ts"]).where("_landed = _first").drop("_landed", "_first").dropDuplicates(["shard", "ts"])
-        at = f"{self.path}/open/{uuid.uuid4().hex}"
-        transform(fresh).write.parquet(f"{at}/out")
-        before_commit()
-        out = self._fs.create(self._hadoop(f"{at}/journal.json"))
-        out.write(bytearray(json.dumps({"from": mark, "to": limit}).encode()))
-        out.close()
-        self._fs.mkdirs(self._hadoop(f"{self.path}/runs"))
-        target = self._hadoop(f"{self.path}/runs/to={limit:020d}")
-        if self._fs.exists(target) or not self._fs.rename(self._hadoop(at), target):
-            raise RuntimeError("another run has committed up to this limit")
+        stamp, number = uuid.uuid4().hex[:12], newest["number"] + 1 if newest else 1
+        positions = materialise(landed_positions(rows.where(F.col("landed") <= limit)), "positions")
+        own = [f"{self.path}/{r['journal']}" for r in self._runs()]
+        runs = journal.unionByName(self.spark.read.schema(_JOURNAL).parquet(*own)) if own else journal
+        pending_positions(positions, runs, rows_per_slice).write.parquet(f"{self.path}/out-{stamp}")
+        last = positions.groupBy(*KEYS).agg(F.max(F.struct("pos_t", "pos_i")).alias("hi"))
+        low = F.lit(-1).cast("bigint")
+        last.select(*KEYS, low.alias("lo_t"), low.alias("lo_i"), F.col("hi.pos_t").alias("hi_t"), F.col("hi.pos_i").alias("hi_i"), F.lit(limit).alias("read_to")).write.parquet(f"{self.path}/journal-{stamp}")
+        self._commit({"number": number, "from": mark, "to": limit, "out": f"out-{stamp}", "journal": f"journal-{stamp}"}, before_commit)
         return limit

@@ -8,21 +8,28 @@ from tidemark.operators import compare, dedup, drift, incremental, mor_table, sk
 from tidemark.session import read_table, ship, work_path
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions that no committed run has processed."""
+def _p1_run(spark: SparkSession, sf_dir: str) -> tuple[incremental.IncrementalRunner, DataFrame]:
+    """A run over both logs, committed; and the landed rows it read."""
     oplog, changes, journal = (read_table(spark, sf_dir, t) for t in ("oplog_entries", "change_stream", "sync_runs"))
-    return incremental.pending_positions(incremental.landed_rows(oplog, changes), incremental.committed_runs(journal, changes))
+    runner, rows = incremental.IncrementalRunner(spark, work_path(spark, "runs")), incremental.landed_rows(oplog, changes)
+    runner.take(rows, incremental.committed_runs(journal, changes))
+    return runner, rows
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that no committed run has processed: what the next run takes and commits."""
+    out = _p1_run(spark, sf_dir)[0].output()
+    return out if out is not None else spark.createDataFrame([], incremental._POSITIONS)
 
 
 def p1_next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per shard and mode: the limit that the next run fixes, how many positions it takes, and between which."""
-    oplog, changes, journal = (read_table(spark, sf_dir, t) for t in ("oplog_entries", "change_stream", "sync_runs"))
-    rows = incremental.landed_rows(oplog, changes)
-    positions = incremental.landed_positions(rows)
-    pending = incremental.pending_positions(rows, incremental.committed_runs(journal, changes))
+    """Per shard and mode: the limit that the run fixed, how many positions it took, and between which."""
+    runner, rows = _p1_run(spark, sf_dir)
     at = F.struct("pos_t", "pos_i")
-    todo = pending.groupBy("shard", "capture_mode").agg(F.count("*").alias("pending"), F.min(at).alias("a"), F.max(at).alias("b"))
-    limit = positions.groupBy("shard", "capture_mode").agg(F.max("landed").alias("limit_us"), F.count("*").alias("positions"))
+    todo = p1_out.groupBy("shard", "capture_mode").agg(F.count("*").alias("pending"), F.min(at).alias("a"), F.max(at).alias("b")) if (p1_out := runner.output()) is not None else None
+    limit = incremental.landed_positions(rows).groupBy("shard", "capture_mode").agg(F.max("landed").alias("limit_us"), F.count("*").alias("positions"))
+    if todo is None:
+        todo = limit.select("shard", "capture_mode", F.lit(0).cast("long").alias("pending"), F.lit(None).cast("struct<pos_t:bigint,pos_i:bigint>").alias("a"), F.lit(None).cast("struct<pos_t:bigint,pos_i:bigint>").alias("b"))
     return limit.join(todo, ["shard", "capture_mode"], "left").select(
         "shard", "capture_mode", "limit_us", "positions", F.coalesce("pending", F.lit(0).cast("long")).alias("pending"), F.col("a.pos_t").alias("first_t"), F.col("a.pos_i").alias("first_i"), F.col("b.pos_t").alias("last_t"), F.col("b.pos_i").alias("last_i")
     )
@@ -65,11 +72,17 @@ def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent_table(documents, drift.table_layout(drift.infer_union(documents)))
 
 
+#: As so many runs p6_found reads the change stream, in the order of its batches.
+P6_RUNS = 3
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries of change-stream messages that are copies of a kept one."""
     seen = dedup.SeenMessages(spark, work_path(spark, "seen"))
-    result = seen.admit(dedup.message_identifiers(read_table(spark, sf_dir, "change_stream")))
-    return result.where("not admitted").select("delivery_id")
+    deliveries = dedup.message_identifiers(read_table(spark, sf_dir, "change_stream"), "batch_no")
+    for batch in dedup.in_order(deliveries, P6_RUNS):
+        seen.admit(batch)
+    return seen.copies()
 
 
 def p6_oplog_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
