@@ -107,6 +107,8 @@ def test_log_lines_and_tokens(spark):
     df = spark.createDataFrame([("a b", "x" * 130, 'q"'), (None, "y" * 120, "ok")], "a string, t string, q string")
     rows = df.select(parse.log_line(a=F.col("a"), q=F.col("q")), parse.token_digest("t")).collect()
     assert rows[0][0] == 'a="a b" q="q\\""' and rows[1][0] == 'a="" q=ok'
+    odd = spark.createDataFrame([(" (x) ", "a\\b")], "a string, q string").select(parse.log_line(a=F.col("a"), q=F.col("q"))).first()[0]
+    assert odd == 'a=(x) q="a\\\\b"'
     assert len(rows[0][1]) == 120 and rows[0][1].endswith("...") and rows[1][1] == "y" * 120
 
 
@@ -160,3 +162,61 @@ def test_folding_in_any_order_and_any_batches(changes, random, batches):
         image.reset, image.alive, image.fields = joined.reset, joined.alive, dict(joined.fields) if joined.alive else {}
         image.load_ops(joined.ops_text())
     assert (image.fields if image.alive else None) == docs
+
+
+def command_log(spark, *rows):
+    return spark.createDataFrame([(k, op, ns, json.dumps(o), (k, 1)) for k, (op, ns, o) in enumerate(rows)], "entry_id bigint, op string, ns string, o string, ts struct<t:bigint,i:bigint>")
+
+
+def test_every_index_of_a_command_counts(spark):
+    log = command_log(
+        spark,
+        ("c", "d.$cmd", {"createIndexes": "a", "indexes": [{"key": {"x": 1}, "name": "x_1", "unique": True}, {"key": {"y": 1}, "name": "y_1", "expireAfterSeconds": 5}]}),
+        ("i", "d.system.indexes", {"ns": "d.a", "key": {"z": 1}, "name": 'q"z', "unique": True, "sparse": True}),
+        ("c", "d.$cmd", {"dropIndexes": "a", "index": ["x_1", "y_1"]}),
+        ("c", "d.$cmd", {"dropIndexes": "a", "index": "*"}),
+        ("c", "d.$cmd", {"drop": "a"}),
+    )
+    rows = [(r["entry_id"], r["ddl_type"], r["index_name"]) for r in parse.log_ddl(log).orderBy("entry_id", "index_name").collect()]
+    assert rows == [(0, "CREATE_INDEXES", "x_1"), (0, "CREATE_INDEXES", "y_1"), (1, "CREATE_INDEXES", 'q"z'), (2, "DROP_INDEXES", "x_1"), (2, "DROP_INDEXES", "y_1"), (3, "DROP_INDEXES", "*"), (4, "DROP_COLLECTION", None)]
+    command = json.loads(parse.index_command(log).first()["command"])
+    assert command == {"createIndexes": "a", "indexes": [{"key": {"z": 1}, "name": 'q"z', "unique": True, "sparse": True}]}
+    specs = {r["name"]: r for r in parse.index_specs(log).collect()}
+    assert specs["x_1"]["is_unique"] and not specs["y_1"]["is_unique"] and specs["y_1"]["expire_seconds"] == 5 and specs['q"z']["sparse"]
+    plan = ddl.index_plan(parse.index_specs(log).select("ns", "name", F.col("expire_seconds").isNotNull().alias("expires")), spark.createDataFrame([], "ns string, name string"))
+    assert {r["name"] for r in plan.collect()} == {"x_1", 'q"z'}
+
+
+def test_unique_indexes_over_time(spark):
+    build = lambda name, unique=True: ("c", "d.$cmd", {"createIndexes": "a", "indexes": [{"key": {"k": 1}, "name": name, "unique": unique}]})
+    drop = lambda name: ("c", "d.$cmd", {"dropIndexes": "a", "index": name})
+    log = command_log(spark, build("p"), build("q"), drop("p"), build("r", False), drop("q"), build("p"), drop("*"), build("s"), ("c", "d.$cmd", {"dropDatabase": 1}), build("t"), ("c", "d.$cmd", {"renameCollection": "d.a", "to": "d.b"}))
+    rows = routing.unique_timeline(parse.log_ddl(log), parse.index_specs(log)).orderBy("entry_id").collect()
+    assert [r["unique_now"] for r in rows] == [True, True, True, True, False, True, False, True, False, True, False]
+
+
+def test_schema_changes_of_a_stream_as_commands(spark):
+    rows = [(1, "rename", "d.a", "d.b", None), (2, "createIndexes", "d.a", None, '{"indexes":[{"key":{"x":1},"name":"x_1","unique":true},{"key":{"y":1},"name":"y_1"}]}'), (3, "dropIndexes", "d.a", None, '{"indexes":[{"name":"x_1"}]}'), (4, "dropDatabase", "d", None, None), (5, "invalidate", None, None, None), (6, "drop", 'd.q"', None, None)]
+    df = spark.createDataFrame([(*r, (7, 1)) for r in rows], "delivery_id bigint, operation_type string, ns string, to_ns string, operation_description string, cluster_time struct<t:bigint,i:bigint>")
+    found = [(r["delivery_id"], r["target"], r["index_name"], json.loads(r["command"])) for r in parse.stream_ddl(df).orderBy("delivery_id", "index_name").collect()]
+    assert found == [
+        (1, "d.b", None, {"renameCollection": "d.a", "to": "d.b"}), (2, None, "x_1", {"createIndexes": "a", "indexes": [{"key": {"x": 1}, "name": "x_1", "unique": True}]}), (2, None, "y_1", {"createIndexes": "a", "indexes": [{"key": {"y": 1}, "name": "y_1"}]}),
+        (3, None, "x_1", {"dropIndexes": "a", "index": "x_1"}), (4, None, None, {"dropDatabase": 1}), (6, None, None, {"drop": 'q"'}),
+    ]
+
+
+def test_segments_against_a_count(spark):
+    import random
+
+    rng = random.Random(3)
+    marks = [("d", rng.choice("ab"), rng.randint(1, 40), rng.randint(1, 2)) for _ in range(60)]
+    events = [(f"d.{rng.choice('abc')}", rng.randint(1, 40), rng.randint(1, 2), k) for k in range(400)] + [(None, 1, 1, 999)]
+    got = ddl.segments(spark.createDataFrame(events, "ns string, ts_t bigint, ts_i bigint, n int"), spark.createDataFrame(marks, "database string, collection string, ts_t bigint, ts_i bigint"))
+    want = {(*e, sum(f"{d}.{c}" == e[0] and (t, i) <= e[1:3] for d, c, t, i in marks)) for e in events}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_namespaces_that_end(spark):
+    rows = spark.createDataFrame([(1, "DROP_COLLECTION", "d", "a", None), (2, "RENAME_COLLECTION", "d", "b", "e.c"), (3, "DROP_DATABASE", "d", None, None), (4, "CREATE_INDEXES", "d", "a", None)], "entry_id int, ddl_type string, database string, collection string, target string")
+    known = spark.createDataFrame([("d.a", "d"), ("d.z", "d"), ("e.c", "e")], "ns string, db string")
+    assert {(r["entry_id"], r["ns"]) for r in namespace.endings(rows, known).collect()} == {(1, "d.a"), (2, "d.b"), (2, "e.c"), (3, "d.a"), (3, "d.z")}

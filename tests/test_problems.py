@@ -441,6 +441,15 @@ def test_consistent_table(spark):
     assert drift.consistent_table(documents.limit(0), []).count() == 0
 
 
+def test_names_that_differ_in_case_only(spark, tmp_path):
+    documents = drift.log_documents(log(spark, [{"_id": 1, "SKU": "A", "sku": 1, "File_No": 3}], [{"_id": 2, "SKU": "B", "Sku": True, "l": [1, {"b": 2.50}], "bad": {"$numberLong": "x"}}]))
+    table = drift.consistent_table(documents, drift.table_layout(drift.infer_union(documents)))
+    table.write.parquet(str(tmp_path / "t"))
+    rows = {r["_id"]: r for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert rows[1]["SKU"] == "A" and rows[1]["sku__"] == 1.0 and rows[2]["Sku_"] is True and rows[1]["File_No_"] == 3.0
+    assert rows[2]["l"] == '[1,{"b":2.5}]' and rows[2]["bad"] is None
+
+
 # p6
 
 

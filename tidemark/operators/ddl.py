@@ -67,7 +67,8 @@ def index_plan(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 def apply_to_catalog(spark, changes: DataFrame, location: str | None = None) -> list[str]:
     """Apply schema changes, in order, to Spark's catalog: databases and tables; indexes have no counterpart there.
 
-    New databases lie under ``location``, by default in the session's warehouse. Returns the statements run. The changes are schema changes, so there are few; they come to the driver in order.
+    New databases lie under ``location``, by default in the session's warehouse. Returns the statements run. Only changes of
+    collections and databases come to the driver, as the statements on the catalog must run there one by one.
     """
     done = []
 
@@ -77,7 +78,8 @@ def apply_to_catalog(spark, changes: DataFrame, location: str | None = None) ->
     def database_of(db: str) -> str:
         return f"CREATE DATABASE IF NOT EXISTS `{db}`" + (f" LOCATION '{location}/{db}'" if location else "")
 
-    for r in changes.orderBy("ts_t", "ts_i").toLocalIterator():
+    own = changes.where("ddl_type in ('CREATE_COLLECTION', 'DROP_COLLECTION', 'DROP_DATABASE', 'RENAME_COLLECTION')")
+    for r in own.orderBy("ts_t", "ts_i", "database", "collection").toLocalIterator():
         kind, db, coll = r["ddl_type"], r["database"], r["collection"]
         if kind == "CREATE_COLLECTION":
             todo = [database_of(db), f"CREATE TABLE IF NOT EXISTS {name(db, coll)} (_id STRING, doc STRING) USING parquet"]

@@ -3,7 +3,7 @@
 Each file's documents are inferred in parallel: a batch gives, for every dotted path, how many values it has of each
 type, and these counts are fused by a sum, so alternative types of a path are all kept (a tagged union). From the fused
 counts come the report of changes between consecutive files, and one consistent table in which a path with conflicting
-types has a column per type and a canonical text column beside them.
+types has a column per type and a canonical text column beside them. Column names are unique whatever their case.
 
 Defined cases: entries with a null shard, ts, ns or file are left out; broken or null documents have no fields; of
 copies of an entry in its lowest file the one with the smallest entry_id counts; types that are equally frequent are
@@ -13,14 +13,14 @@ a field of type object; if several added fields fit a removed one, the first by
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tidemark.functions.docs import canonical, leaves, parse, type_name
+from tidemark.functions.docs import Raw, canonical, leaves, parse, parse_raw, type_name
+from tidemark.operators.mor_table import _text
 from tidemark.session import materialise, ship
 
 GROUP = ["shard", "ns", "doc_part"]
@@ -74,10 +74,11 @@ def file_changes(union: DataFrame) -> DataFrame:
     """(shard, ns, doc_part, file_no, old_file, drift_kind, field_path) between each file and the one before; no renames yet."""
     ranked = F.min(F.when(F.col("type").isNotNull(), F.struct((-F.col("n")).alias("m"), F.col("type").alias("type"))))
     fields = union.groupBy(*GROUP, "file_no", "path").agg(ranked.getField("type").alias("type"))
+    # one row per file, so the window never holds the fields of a namespace
     w = Window.partitionBy(*GROUP).orderBy("file_no")
-    before = F.max("file_no").over(w.rangeBetween(Window.unboundedPreceding, -1))
-    after = F.min("file_no").over(w.rangeBetween(1, Window.unboundedFollowing))
-    placed = fields.withColumn("before", before).withColumn("after", after)
+    files = union.where("path is null").select(*GROUP, "file_no").distinct()
+    files = files.withColumn("before", F.lag("file_no").over(w)).withColumn("after", F.lead("file_no").over(w))
+    placed = fields.join(files, [*GROUP, "file_no"])
     # each field is looked at as the new side of its own file and the old side of the next one
     sides = F.array(
         F.struct(F.col("file_no").alias("at"), F.col("before").alias("old_file"), F.lit(True).alias("new")),
@@ -140,7 +141,7 @@ def renames(documents: DataFrame, changes: DataFrame) -> DataFrame:
     at = [*GROUP, "at", "id", "path"]
     order = F.struct("ts_t", "ts_i")
     touch = F.when(F.first("new"), F.min_by("value", order)).otherwise(F.max_by("value", order))
-    one = values.groupBy(*at, "new").agg(touch.alias("value"))
+    one = materialise(values.groupBy(*at, "new").agg(touch.alias("value")), "candidate-values")  # parsed once, read four times
     old, new = one.where("not new and value is not null"), one.where("new")
     ids = new.select(*GROUP, "at", "id").distinct()
     in_both = old.join(ids, [*GROUP, "at", "id"], "left_semi")
@@ -160,7 +161,7 @@ def renames(documents: DataFrame, changes: DataFrame) -> DataFrame:
 def drift_report(oplog: DataFrame) -> DataFrame:
     """(shard, ns, doc_part, file_no, drift_kind, field_path, new_path): every change from a file to the next."""
     documents = materialise(log_documents(oplog), "log-documents")
-    changes = materialise(file_changes(infer_union(documents)), "file-changes")
+    changes = materialise(file_changes(materialise(infer_union(documents), "union")), "file-changes")
     moved = materialise(renames(documents, changes), "renames")
     keys = [*GROUP, "file_no"]
     gone = moved.select(*keys, F.lit("removed").alias("drift_kind"), "field_path")
@@ -189,10 +190,11 @@ def consistent_table(documents: DataFrame, layout: list[tuple[str, list[str]]])
     taken = set(keep)
 
     def unique(name: str) -> str:
+        """Catalogs and file formats take names that differ in case only for the same."""
         name = name.replace(".", "__")
-        while name in taken:
+        while name.lower() in taken:
             name += "_"
-        taken.add(name)
+        taken.add(name.lower())
         return name
 
     schema, plan = T.StructType([documents.schema[c] for c in keep]), []
@@ -208,7 +210,7 @@ def consistent_table(documents: DataFrame, layout: list[tuple[str, list[str]]])
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = [dict(leaves(d)) if isinstance(d := parse(x), dict) else {} for x in batch.column("doc").to_pylist()]
+            docs = [dict(leaves(d)) if isinstance(d := parse_raw(x), dict) else {} for x in batch.column("doc").to_pylist()]
             columns = [batch.column(c) for c in keep]
             for path, kind, branch in plan:
                 columns.append(pa.array([_branch(d.get(path), kind, branch) for d in docs], arrow[branch]))
@@ -218,16 +220,18 @@ def consistent_table(documents: DataFrame, layout: list[tuple[str, list[str]]])
 
 
 def _branch(value, kind: str | None, branch: str):
+    """A value as its type's column holds it, or as canonical text: a string or a tagged string itself, all else as compact JSON with numbers as written."""
     if value is None or (kind is not None and type_name(value) != kind):
         return None
     if branch == "double":
         while isinstance(value, dict):
             value = next(iter(value.values()))
-        return float(value)
+        try:
+            return float(value)
+        except (TypeError, ValueError):
+            return None
     if branch == "boolean":
         return value
-    if isinstance(value, str):
-        return value
-    if isinstance(value, dict) and len(value) == 1 and isinstance(inner := next(iter(value.values())), str):
-        return inner
-    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    inner = next(iter(value.values())) if isinstance(value, dict) and len(value) == 1 else value
+    text = inner if isinstance(inner, str) and not isinstance(inner, Raw) else _text(value)
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()

@@ -62,12 +62,34 @@ def ends_namespace(ns: str) -> Column:
     return ((F.col("ddl_type") == "DROP_COLLECTION") & here & (F.col("collection") == coll)) | ((F.col("ddl_type") == "DROP_DATABASE") & here) | moved
 
 
-def is_gone(message: Column | str) -> Column:
-    """Error texts that say that a namespace or cursor target no longer exists."""
-    return F.lower(message).rlike("ns not found|namespace not found|ns does not exist|collection dropped|no longer exists")
+def endings(ddl: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of schema changes with the ``ns`` that they end, one row per namespace; ``known`` (ns, db) are those of a dropped database."""
+    here = F.concat_ws(".", "database", "collection")
+    own = F.when(F.col("ddl_type") == "DROP_COLLECTION", F.array(here)).when(F.col("ddl_type") == "RENAME_COLLECTION", F.array_compact(F.array_distinct(F.array(here, F.col("target")))))
+    single = ddl.where("ddl_type in ('DROP_COLLECTION', 'RENAME_COLLECTION')").withColumn("ns", F.explode(own))
+    whole = ddl.where("ddl_type = 'DROP_DATABASE'").join(known.select("ns", F.col("db").alias("_db")), F.col("database") == F.col("_db")).drop("_db")
+    return single.unionByName(whole)
+
+
+#: Error codes and texts that say that a namespace or a cursor's target no longer exists.
+GONE_CODES = (26, 175)
+GONE_TEXTS = ("ns not found", "namespace not found", "ns does not exist", "collection dropped", "no longer exists")
+
+
+def is_gone(message: Column | str, code: Column | str | None = None) -> Column:
+    """Errors that say, by code or by text, that a namespace or cursor target no longer exists."""
+    text = F.lower(message).rlike("|".join(GONE_TEXTS))
+    if code is None:
+        return text
+    c = F.col(code) if isinstance(code, str) else code
+    return F.coalesce(c.isin(*GONE_CODES), F.lit(False)) | F.coalesce(text, F.lit(False))
+
+
+#: Error codes of a log that no longer reaches back to the start position.
+HISTORY_LOST_CODES = (136, 203, 234)
 
 
 def is_history_lost(code: Column | str) -> Column:
     """Error codes of a log that no longer reaches back to the start position."""
     c = F.col(code) if isinstance(code, str) else code
-    return c.isin(136, 203, 234)
+    return c.isin(*HISTORY_LOST_CODES)

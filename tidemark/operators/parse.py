@@ -123,15 +123,24 @@ def normalise_update(text: str | None) -> str | None:
     return _text({k: v for k, v in doc.items() if k != "$v"})
 
 
+def wall_ms(df: DataFrame, name: str) -> Column:
+    """Milliseconds of a wall clock column; null where the table has no such column or the entry no such value."""
+    return F.unix_millis(F.col(name).cast("timestamp")) if name in df.columns else F.lit(None).cast("bigint")
+
+
 def log_events(oplog: DataFrame) -> DataFrame:
-    """CRUD entries in the event envelope: (entry_id, shard, ns, op, before_doc, after_doc, cluster_time_ms, ts_ms, ts_t, ts_i, phase)."""
+    """CRUD entries in the event envelope.
+
+    (entry_id, shard, ns, op, before_doc, after_doc, cluster_time_ms, ts_ms, ts_t, ts_i, phase, wall_ms): ts_ms is the
+    position's time; wall_ms the clock of the server that wrote the entry, where the log's version has it.
+    """
     ship(oplog.sparkSession)
     op = F.when(F.col("op") == "i", "c").otherwise(F.col("op"))
     before = F.when(F.col("op") == "u", F.col("o2")).when(F.col("op") == "d", F.col("o"))
     after = F.when(F.col("op") != "d", F.col("o"))
     ms = F.col("ts.t") * 1000
     rows = oplog.where(entry_kind() == "CRUD").select(
-        "entry_id", "shard", "ns", op.alias("op"), before.alias("before_doc"), after.alias("after_doc"), ms.alias("cluster_time_ms"), ms.alias("ts_ms"), F.col("ts.t").alias("ts_t"), F.col("ts.i").alias("ts_i"), F.lit(1).alias("phase")
+        "entry_id", "shard", "ns", op.alias("op"), before.alias("before_doc"), after.alias("after_doc"), ms.alias("cluster_time_ms"), ms.alias("ts_ms"), F.col("ts.t").alias("ts_t"), F.col("ts.i").alias("ts_i"), F.lit(1).alias("phase"), wall_ms(oplog, "wall").alias("wall_ms")
     )
     return rows.mapInArrow(_normal_update, rows.schema)
 
@@ -158,7 +167,7 @@ def patch_operations(df: DataFrame, key: str, update: str) -> DataFrame:
 
 
 def stream_op() -> Column:
-    """c, u or d of a change-stream operation; others have no event."""
+    """c, u or d of a change-stream operation. Others have no event: one unknown may be anything, so it isn't taken for an update."""
     kind = F.lower("operation_type")
     return F.when(kind == "insert", "c").when(kind.isin("update", "replace"), "u").when(kind == "delete", "d")
 
@@ -182,35 +191,65 @@ def stream_events(changes: DataFrame, batch_ms: int, pre_image: str | None = Non
     before = F.coalesce(F.col(pre_image), F.col("document_key")) if pre_image else F.col("document_key")
     after = F.when(op == "c", F.col("full_document")).when(F.lower("operation_type") == "replace", F.col("full_document")).when(op == "u", F.coalesce(update_payload(), F.col("full_document")))
     return changes.where(op.isNotNull()).select(
-        "delivery_id", "shard", "ns", op.alias("op"), F.when(op != "c", before).alias("before_doc"), after.alias("after_doc"), event_time(batch_ms).alias("cluster_time_ms"), event_time(batch_ms).alias("ts_ms"), F.col("cluster_time.t").alias("ts_t"), F.col("cluster_time.i").alias("ts_i"), F.lit(1).alias("phase")
+        "delivery_id", "shard", "ns", op.alias("op"), F.when(op != "c", before).alias("before_doc"), after.alias("after_doc"), event_time(batch_ms).alias("cluster_time_ms"), event_time(batch_ms).alias("ts_ms"), F.col("cluster_time.t").alias("ts_t"), F.col("cluster_time.i").alias("ts_i"), F.lit(1).alias("phase"), wall_ms(changes, "wall_time").alias("wall_ms")
     )
 
 
 def stream_ddl(changes: DataFrame) -> DataFrame:
-    """Schema changes of a change stream; an invalidate is none."""
+    """Schema changes of a change stream; an invalidate is none.
+
+    Where the table has them, ``to_ns`` gives a rename's target, and ``operation_description`` (JSON) the indexes: one
+    row per index built or dropped. ``command`` is the change in the form of a log's command.
+    """
     kind = _lookup(F.lower("operation_type"), STREAM_DDL)
-    return changes.where(kind.isNotNull()).select("delivery_id", kind.alias("ddl_type"), database("ns").alias("database"), collection("ns").alias("collection"), F.col("cluster_time.t").alias("ts_t"), F.col("cluster_time.i").alias("ts_i"))
+    text = lambda name: F.col(name) if name in changes.columns else F.lit(None).cast("string")
+    rows = changes.where(kind.isNotNull()).select("delivery_id", kind.alias("ddl_type"), database("ns").alias("database"), collection("ns").alias("collection"), text("to_ns").alias("target"), text("operation_description").alias("_d"), F.col("cluster_time.t").alias("ts_t"), F.col("cluster_time.i").alias("ts_i"))
+    specs = F.from_json(F.get_json_object("_d", "$.indexes"), "array<string>")
+    rows = rows.withColumn("spec", F.explode_outer(F.coalesce(specs, F.array().cast("array<string>"))))
+    rows = rows.withColumn("index_name", F.get_json_object("spec", "$.name"))
+    quoted = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+    verb = F.map_from_arrays(F.array(*map(F.lit, STREAM_DDL.values())), F.array(*map(F.lit, ("create", "createIndexes", "dropIndexes", "drop", "renameCollection", "dropDatabase"))))[F.col("ddl_type")]
+    body = (
+        F.when(F.col("ddl_type") == "RENAME_COLLECTION", F.concat(quoted(F.concat_ws(".", "database", "collection")), F.when(F.col("target").isNotNull(), F.concat(F.lit(',"to":'), quoted(F.col("target")))).otherwise("")))
+        .when(F.col("ddl_type") == "DROP_DATABASE", F.lit("1"))
+        .when((F.col("ddl_type") == "CREATE_INDEXES") & F.col("spec").isNotNull(), F.concat(quoted(F.col("collection")), F.lit(',"indexes":['), "spec", F.lit("]")))
+        .when((F.col("ddl_type") == "DROP_INDEXES") & F.col("index_name").isNotNull(), F.concat(quoted(F.col("collection")), F.lit(',"index":'), quoted(F.col("index_name"))))
+        .otherwise(quoted(F.col("collection")))
+    )
+    command = F.concat(F.lit('{"'), verb, F.lit('":'), body, F.lit("}"))
+    return rows.select("delivery_id", "ddl_type", "database", "collection", "target", "index_name", command.alias("command"), "ts_t", "ts_i")
 
 
 def log_ddl(oplog: DataFrame) -> DataFrame:
     """Schema changes of a log: (entry_id, ddl_type, database, collection, target, index_name, ts_t, ts_i).
 
-    Index builds of every format come out alike: an insert into system.indexes, a command, or the end of a build.
+    Index builds of every format come out alike: an insert into system.indexes, a command, or the end of a build; one row
+    for each index that a command builds or names in a list to drop. A drop of ``*`` names all indexes but that on _id.
     """
     key = first_key("o")
     index = is_index_insert()
     kind = F.when(index, "CREATE_INDEXES").otherwise(_lookup(key, COMMANDS))
     named = F.when(index, collection(F.get_json_object("o", "$.ns"))).when(key == "dropDatabase", F.lit(None)).when(key == "renameCollection", collection(F.get_json_object("o", "$.renameCollection"))).otherwise(F.from_json("o", "map<string,string>")[key])
-    name = F.coalesce(F.get_json_object("o", "$.name"), F.get_json_object("o", "$.index"), F.get_json_object("o", "$.indexes[0].name"))
+    built = F.transform(F.from_json(F.get_json_object("o", "$.indexes"), "array<string>"), lambda spec: F.get_json_object(spec, "$.name"))
+    dropped = F.from_json(F.when(F.get_json_object("o", "$.index").startswith("["), F.get_json_object("o", "$.index")), "array<string>")
+    single = F.array(F.coalesce(F.get_json_object("o", "$.name"), F.get_json_object("o", "$.index")))
+    names = F.when(F.size(built) > 0, built).when(F.size(dropped) > 0, dropped).otherwise(single)
     rows = oplog.where((index | (F.col("op") == "c")) & kind.isNotNull())
-    return rows.select("entry_id", kind.alias("ddl_type"), database("ns").alias("database"), named.alias("collection"), F.get_json_object("o", "$.to").alias("target"), name.alias("index_name"), F.col("ts.t").alias("ts_t"), F.col("ts.i").alias("ts_i"))
+    return rows.select("entry_id", kind.alias("ddl_type"), database("ns").alias("database"), named.alias("collection"), F.get_json_object("o", "$.to").alias("target"), F.explode(names).alias("index_name"), F.col("ts.t").alias("ts_t"), F.col("ts.i").alias("ts_i"))
+
+
+#: Fields of an index insert that aren't options of the index.
+_NOT_OPTIONS = ("ns",)
 
 
 def index_command(oplog: DataFrame) -> DataFrame:
-    """(entry_id, command): index builds by insert, rewritten as a createIndexes command with an indexes array."""
-    name, key = F.get_json_object("o", "$.name"), F.get_json_object("o", "$.key")
-    command = F.concat(F.lit('{"createIndexes":"'), collection(F.get_json_object("o", "$.ns")), F.lit('","indexes":[{"key":'), key, F.lit(',"name":"'), name, F.lit('"}]}'))
-    return oplog.where(is_index_insert()).select("entry_id", command.alias("command"))
+    """(entry_id, command): index builds by insert, rewritten as a createIndexes command with an indexes array; every option stays."""
+    fields = F.map_filter(F.from_json("o", "map<string,string>"), lambda k, v: ~k.isin(*_NOT_OPTIONS))
+    doc = F.try_parse_json("o").try_cast("map<string,variant>")
+    spec = F.to_json(F.map_filter(doc, lambda k, v: ~k.isin(*_NOT_OPTIONS)))
+    command = F.to_json(F.struct(collection(F.get_json_object("o", "$.ns")).alias("createIndexes"), F.lit("@").alias("indexes")))
+    whole = F.concat(F.expr("substring(_c, 1, length(_c) - 4)"), F.lit("["), F.coalesce("_s", F.to_json("_f")), F.lit("]}"))
+    return oplog.where(is_index_insert()).select("entry_id", command.alias("_c"), spec.alias("_s"), fields.alias("_f")).select("entry_id", whole.alias("command"))
 
 
 def extract_id() -> Column:
@@ -242,12 +281,13 @@ def offset_file(ns: Column, shard: Column, suffix: str) -> Column:
 
 
 def log_line(**columns: Column) -> Column:
-    """``k=v k=v``; values that aren't plain are quoted."""
+    """``k=v k=v``; values that aren't plain (letters, digits and ``._:/()-``) are quoted, with quotes and backslashes escaped; ends are trimmed."""
     parts = []
     for name, value in columns.items():
-        text = F.coalesce(value.cast("string"), F.lit(""))
-        plain = text.rlike(r"^[A-Za-z0-9._:/-]+$")
-        parts.append(F.concat(F.lit(name + "="), F.when(plain, text).otherwise(F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"')))))
+        text = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+        plain = text.rlike(r"^[A-Za-z0-9._:/()-]+$")
+        escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        parts.append(F.concat(F.lit(name + "="), F.when(plain, text).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))))
     return F.concat_ws(" ", *parts)
 
 

@@ -32,8 +32,26 @@ def has_unique(indexes: DataFrame) -> DataFrame:
     return indexes.groupBy("ns").agg(F.coalesce(F.bool_or(F.col("is_unique") & (F.col("name") != "_id_")), F.lit(False)).alias("has_unique"))
 
 
-def unique_timeline(ddl: DataFrame, is_unique: Column) -> DataFrame:
-    """Add ``unique_now``: whether the namespace has a unique index after each schema change; drops and renames end it."""
-    w = Window.partitionBy("database", "collection").orderBy("ts_t", "ts_i", "entry_id")
-    mark = F.when(F.col("ddl_type").isin("DROP_COLLECTION", "DROP_DATABASE", "RENAME_COLLECTION"), False).when(F.col("ddl_type") == "CREATE_INDEXES", F.when(is_unique, True)).when(F.col("ddl_type") == "DROP_INDEXES", False)
-    return ddl.withColumn("unique_now", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False)))
+def unique_timeline(ddl: DataFrame, specs: DataFrame) -> DataFrame:
+    """(entry_id, ns, ts_t, ts_i, ddl_type, unique_now): whether the namespace has a unique index after each schema change.
+
+    A unique index counts from its build to its own drop (a drop of ``*`` takes all), or to the drop or rename of its
+    collection or the drop of its database, which reaches every collection that the log names. What a rename's target
+    has is for a new probe. ``ddl`` and ``specs`` are those of one log; there are as many rows as schema changes.
+    """
+    ns = F.concat_ws(".", "database", "collection")
+    unique = specs.where(F.col("is_unique") & (F.col("name") != "_id_")).select("entry_id", F.col("name").alias("index_name"), F.lit(True).alias("_unique")).distinct()
+    rows = ddl.join(unique, ["entry_id", "index_name"], "left").withColumn("ns", ns)
+    known = rows.where("collection is not null").select("database", "ns").distinct()
+    own = rows.where("collection is not null")
+    whole = rows.where("ddl_type = 'DROP_DATABASE'").drop("ns").join(known, "database")
+    every = own.unionByName(whole.select(*own.columns))
+    place = ["ts_t", "ts_i", "entry_id"]
+    ends = F.col("ddl_type").isin("DROP_COLLECTION", "DROP_DATABASE", "RENAME_COLLECTION") | ((F.col("ddl_type") == "DROP_INDEXES") & (F.col("index_name") == "*"))
+    every = every.withColumn("_epoch", F.sum(F.when(F.coalesce(ends, F.lit(False)), 1).otherwise(0)).over(Window.partitionBy("ns").orderBy(*place, F.col("index_name").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # an index's own state after each of its changes, and what that changes in the number of unique indexes
+    there = F.when(F.col("ddl_type") == "CREATE_INDEXES", F.coalesce("_unique", F.lit(False)).cast("int")).when(F.col("ddl_type") == "DROP_INDEXES", 0)
+    by_index = Window.partitionBy("ns", "_epoch", "index_name").orderBy(*place)
+    every = every.withColumn("_there", F.when(F.col("index_name").isNotNull(), there)).withColumn("_delta", F.coalesce(F.col("_there") - F.coalesce(F.lag("_there").over(by_index), F.lit(0)), F.lit(0)))
+    now = F.sum("_delta").over(Window.partitionBy("ns", "_epoch").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)) > 0
+    return every.select("entry_id", "ns", "ts_t", "ts_i", "ddl_type", now.alias("unique_now"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import transit
@@ -171,7 +173,8 @@ def strip_v(spark, sf_dir):
 def v1_index_normalize(spark, sf_dir):
     """Old index builds as commands."""
     rows = parse.index_command(_oplog(spark, sf_dir))
-    return rows.select("entry_id", F.get_json_object("command", "$.createIndexes").alias("coll"), F.get_json_object("command", "$.indexes[0].name").alias("index_name"))
+    spec = F.get_json_object("command", "$.indexes[0]")
+    return rows.select("entry_id", F.get_json_object("command", "$.createIndexes").alias("coll"), F.get_json_object(spec, "$.name").alias("index_name"), F.get_json_object(spec, "$.key").alias("key"), F.array_join(F.array_sort(F.json_object_keys(spec)), ",").alias("options"))
 
 
 def diff_normalize(spark, sf_dir):
@@ -197,8 +200,8 @@ def event_time(spark, sf_dir):
 
 
 def cs_ddl(spark, sf_dir):
-    """Schema changes of the change stream."""
-    return parse.stream_ddl(_changes(spark, sf_dir))
+    """Schema changes of the change stream, each as a command of the log's form."""
+    return parse.stream_ddl(_changes(spark, sf_dir)).select("delivery_id", "ddl_type", "database", "collection", "command", "ts_t", "ts_i")
 
 
 def oplog_ddl(spark, sf_dir):
@@ -268,10 +271,9 @@ def ns_map(spark, sf_dir):
 
 
 def ns_invalidate(spark, sf_dir):
-    """Schema changes that end a namespace of the web database."""
-    rows = parse.log_ddl(_oplog(spark, sf_dir))
-    end = namespace.ends_namespace("web.session_note") | (F.col("ddl_type") == "RENAME_COLLECTION")
-    return rows.where(end).select("entry_id", "ddl_type", "database", "collection")
+    """Namespaces that each schema change of the log ends: by a drop, a database's drop, or a rename from or to them."""
+    oplog = _oplog(spark, sf_dir)
+    return namespace.endings(parse.log_ddl(oplog), namespace.discover(oplog.where("ns <> ''"))).select("entry_id", "ddl_type", "ns")
 
 
 def is_patch(spark, sf_dir):
@@ -280,10 +282,11 @@ def is_patch(spark, sf_dir):
 
 
 def index_plan(spark, sf_dir):
-    """Indexes that some shard's log creates, without those that it drops."""
-    rows = parse.log_ddl(_oplog(spark, sf_dir)).select(F.concat_ws(".", "database", "collection").alias("ns"), F.col("index_name").alias("name"), "ddl_type")
-    wanted = rows.where("ddl_type = 'CREATE_INDEXES' and name is not null").withColumn("expires", F.lit(False))
-    return ddl.index_plan(wanted, rows.where("ddl_type = 'DROP_INDEXES'"))
+    """Indexes that some shard's log creates, without those that it drops and those that expire rows."""
+    oplog = _oplog(spark, sf_dir)
+    wanted = parse.index_specs(oplog).where("name is not null").select("ns", "name", F.col("expire_seconds").isNotNull().alias("expires"))
+    dropped = parse.log_ddl(oplog).where("ddl_type = 'DROP_INDEXES'").select(F.concat_ws(".", "database", "collection").alias("ns"), F.col("index_name").alias("name"))
+    return ddl.index_plan(wanted, dropped)
 
 
 def index_specs(spark, sf_dir):
@@ -299,15 +302,14 @@ def transit_documents(spark, sf_dir):
 
 
 def has_unique(spark, sf_dir):
-    """Namespaces with a unique index: here, one whose name begins with score."""
-    rows = parse.log_ddl(_oplog(spark, sf_dir)).where("ddl_type = 'CREATE_INDEXES'")
-    return routing.has_unique(rows.select(F.concat_ws(".", "database", "collection").alias("ns"), F.col("index_name").alias("name"), F.col("index_name").startswith("score").alias("is_unique")))
+    """Whether each namespace gets a unique index, by the options of its indexes."""
+    return routing.has_unique(parse.index_specs(_oplog(spark, sf_dir)))
 
 
 def unique_timeline(spark, sf_dir):
     """Whether a namespace has a unique index after each schema change."""
-    rows = parse.log_ddl(_oplog(spark, sf_dir))
-    return routing.unique_timeline(rows, F.col("index_name").startswith("score")).select("entry_id", "unique_now")
+    oplog = _oplog(spark, sf_dir)
+    return routing.unique_timeline(parse.log_ddl(oplog), parse.index_specs(oplog)).select("entry_id", "ns", "unique_now")
 
 
 def ddl_segments(spark, sf_dir):
@@ -318,9 +320,10 @@ def ddl_segments(spark, sf_dir):
 
 
 def drop_resets(spark, sf_dir):
-    """Changes left when every dropped index stood for a dropped collection."""
+    """Changes left after the drops and renames of the log: a drop undoes what came before it, and a rename empties its source."""
     oplog = _oplog(spark, sf_dir)
-    drops = parse.log_ddl(oplog).where("ddl_type = 'DROP_INDEXES'").withColumn("ddl_type", F.lit("DROP_COLLECTION"))
+    rows = parse.log_ddl(oplog)
+    drops = rows.where("ddl_type like 'DROP%'").unionByName(rows.where("ddl_type = 'RENAME_COLLECTION'").withColumn("ddl_type", F.lit("DROP_COLLECTION")))
     return ddl.drop_resets(parse.log_events(oplog).select("ns", "ts_t", "ts_i"), drops).groupBy("ns").agg(F.count("*").alias("events"))
 
 
@@ -331,13 +334,16 @@ def rename_chain(spark, sf_dir):
 
 
 def ddl_apply_catalog(spark, sf_dir):
-    """Schema changes of the log applied to the catalog, as statements."""
-    rows = parse.log_ddl(_oplog(spark, sf_dir)).where("ddl_type in ('CREATE_COLLECTION', 'DROP_COLLECTION', 'RENAME_COLLECTION')").withColumn("database", F.concat(F.lit("tm_"), "database")).withColumn("target", F.concat(F.lit("tm_"), "target"))
+    """Schema changes of the log applied to the catalog, under databases of this run's own, as statements."""
+    own = f"tm{uuid.uuid4().hex[:12]}_"
+    rows = parse.log_ddl(_oplog(spark, sf_dir)).withColumn("database", F.concat(F.lit(own), "database")).withColumn("target", F.concat(F.lit(own), "target"))
     once = rows.groupBy("ddl_type", "database", "collection", "target").agg(F.min("ts_t").alias("ts_t"), F.min("ts_i").alias("ts_i"))
-    done = ddl.apply_to_catalog(spark, once, work_path(spark, "warehouse"))
-    for r in once.select("database").distinct().collect():
-        spark.sql(f"DROP DATABASE IF EXISTS `{r['database']}` CASCADE")
-    done = [s for s in done if not s.startswith("CREATE DATABASE")]
+    try:
+        done = ddl.apply_to_catalog(spark, once, work_path(spark, "warehouse"))
+    finally:
+        for r in once.select("database").distinct().collect():  # one row per database
+            spark.sql(f"DROP DATABASE IF EXISTS `{r['database']}` CASCADE")
+    done = [s.replace(own, "") for s in done if not s.startswith("CREATE DATABASE")]
     return spark.createDataFrame([(k, s) for k, s in enumerate(done)], "step int, statement string")
 
 
@@ -425,14 +431,14 @@ ORACLES = {
           CASE WHEN op = 'd' THEN NULL WHEN op = 'u' AND dk.keys IS NOT NULL THEN dk.keys ELSE array_to_string(list_sort(list_filter(json_keys(o), lambda x: op = 'i' OR x <> '$v')), ',') END AS after_keys,
           ts.t * 1000 AS ts_ms, ts.t AS ts_t, ts.i AS ts_i FROM crud c LEFT JOIN dk ON dk.entry_id = c.entry_id""",
     "strip_v": f"WITH {CRUD} SELECT entry_id, FALSE AS has_v, len(list_filter(json_keys(o), lambda x: x LIKE '$%')) > 0 AS is_patch FROM crud WHERE op = 'u'",
-    "v1_index_normalize": f"WITH {DDL} SELECT d.entry_id, collection AS coll, index_name FROM ddl d JOIN m USING (entry_id) WHERE ix",
+    "v1_index_normalize": f"WITH {DDL} SELECT d.entry_id, collection AS coll, index_name, CAST(json_extract(o, '$.key') AS VARCHAR) AS key, array_to_string(list_sort(list_filter(json_keys(o), lambda x: x <> 'ns')), ',') AS options FROM ddl d JOIN m USING (entry_id) WHERE ix",
     "diff_normalize": f"WITH {_DIFF} SELECT entry_id, action, path FROM ops",
     "op_normalize": "SELECT delivery_id, CASE lower(operation_type) WHEN 'insert' THEN 'c' WHEN 'update' THEN 'u' WHEN 'replace' THEN 'u' WHEN 'delete' THEN 'd' END AS op FROM change_stream",
     "update_desc": """SELECT delivery_id, '$set' AS action, k AS path FROM (SELECT delivery_id, unnest(json_keys(updated_fields)) AS k FROM change_stream WHERE operation_type = 'update' AND updated_fields IS NOT NULL)
         UNION ALL SELECT delivery_id, '$unset', unnest(removed_fields) FROM change_stream WHERE operation_type = 'update'""",
     "event_time": f"SELECT delivery_id, coalesce(cluster_time.t * 1000, {BATCH_MS}) AS event_ms FROM change_stream",
     "cs_ddl": f"""SELECT delivery_id, CASE lower(operation_type) WHEN 'create' THEN 'CREATE_COLLECTION' WHEN 'createindexes' THEN 'CREATE_INDEXES' WHEN 'dropindexes' THEN 'DROP_INDEXES' WHEN 'drop' THEN 'DROP_COLLECTION' WHEN 'rename' THEN 'RENAME_COLLECTION' ELSE 'DROP_DATABASE' END AS ddl_type,
-        {_DB} AS database, {_COLL} AS collection, cluster_time.t AS ts_t, cluster_time.i AS ts_i FROM change_stream WHERE lower(operation_type) IN ('create', 'createindexes', 'dropindexes', 'drop', 'rename', 'dropdatabase')""",
+        {_DB} AS database, {_COLL} AS collection, '{{"' || CASE lower(operation_type) WHEN 'createindexes' THEN 'createIndexes' WHEN 'dropindexes' THEN 'dropIndexes' ELSE lower(operation_type) END || '":"' || {_COLL} || '"}}' AS command, cluster_time.t AS ts_t, cluster_time.i AS ts_i FROM change_stream WHERE lower(operation_type) IN ('create', 'createindexes', 'dropindexes', 'drop', 'rename', 'dropdatabase')""",
     "oplog_ddl": f"WITH {DDL} SELECT entry_id, ddl_type, database, collection, target, index_name FROM ddl",
     "transit_types": """SELECT ns, _id, id_type,
         CASE WHEN json_type(doc, '$.made') = 'OBJECT' THEN CAST(epoch_ms(CAST(json_extract_string(doc, '$.made."$date"') AS TIMESTAMP)) AS VARCHAR) ELSE json_extract_string(doc, '$.made') END AS made,
@@ -450,23 +456,29 @@ ORACLES = {
     "token_digest": f"SELECT delivery_id, CASE WHEN length(_id || _id || _id) > 120 THEN substr(_id || _id || _id, 1, 117) || '...' ELSE _id || _id || _id END AS digest, {_HEX} AS hex FROM change_stream",
     "offset_path": f"SELECT DISTINCT ns, shard, regexp_replace({_DB}, '[^a-zA-Z0-9._-]', '_', 'g') || '__' || regexp_replace({_COLL}, '[^a-zA-Z0-9._-]', '_', 'g') || '__' || regexp_replace(shard, '[^a-zA-Z0-9._-]', '_', 'g') || '.offset' AS file FROM oplog_entries WHERE ns <> ''",
     "progress_line": """WITH r AS (SELECT DISTINCT * FROM sync_runs WHERE run_state <> 'RUNNING')
-        SELECT run_id, 'run=' || run_id || ' shard=' || shard || ' state=' || run_state || ' end=' || CASE WHEN regexp_matches(coalesce(end_offset, ''), '^[A-Za-z0-9._:/-]+$') THEN end_offset ELSE '"' || replace(coalesce(end_offset, ''), '"', '\\"') || '"' END AS line FROM r""",
+        SELECT run_id, 'run=' || run_id || ' shard=' || shard || ' state=' || run_state || ' end=' || CASE WHEN regexp_matches(trim(coalesce(end_offset, '')), '^[A-Za-z0-9._:/()-]+$') THEN trim(end_offset) ELSE '"' || replace(replace(trim(coalesce(end_offset, '')), '\\', '\\\\'), '"', '\\"') || '"' END AS line FROM r""",
     "ns_system": f"SELECT ns, count(*) AS entries, lower({_DB}) IN ('admin', 'local', 'config') OR coalesce({_COLL} LIKE 'system.%', FALSE) AS is_system FROM oplog_entries GROUP BY ns",
     "ns_white": f"SELECT ns, count(*) AS docs FROM source_docs WHERE {_DB} = 'shop' OR ns = 'crm.visit' GROUP BY ns",
     "ns_black": f"SELECT ns, count(*) AS docs FROM source_docs WHERE NOT ({_DB} = 'shop' OR ns = 'crm.visit') GROUP BY ns",
     "rule_parse": "SELECT * FROM (VALUES (1, 'a|b.c', CAST(2 AS BIGINT)), (2, '', CAST(0 AS BIGINT)), (3, 'x.y', CAST(1 AS BIGINT)), (4, '', CAST(0 AS BIGINT))) t(id, parsed, n)",
     "ns_map": "SELECT ns, coalesce(target_ns, ns) AS target_ns, split_part(coalesce(target_ns, ns), '.', 1) AS target_db, split_part(coalesce(target_ns, ns), '.', 2) AS target_coll, count(*) AS docs FROM source_docs LEFT JOIN ns_map ON source_ns = ns GROUP BY ALL",
-    "ns_invalidate": f"WITH {DDL} SELECT entry_id, ddl_type, database, collection FROM ddl WHERE ddl_type = 'RENAME_COLLECTION' OR (ddl_type = 'DROP_COLLECTION' AND database = 'web' AND collection = 'session_note') OR (ddl_type = 'DROP_DATABASE' AND database = 'web')",
+    "ns_invalidate": f"""WITH {DDL} SELECT entry_id, ddl_type, database || '.' || collection AS ns FROM ddl WHERE ddl_type IN ('RENAME_COLLECTION', 'DROP_COLLECTION')
+        UNION SELECT entry_id, ddl_type, target FROM ddl WHERE ddl_type = 'RENAME_COLLECTION'
+        UNION SELECT entry_id, ddl_type, n.ns FROM ddl JOIN (SELECT DISTINCT ns, {_DB} AS db FROM oplog_entries) n ON n.db = database WHERE ddl_type = 'DROP_DATABASE'""",
     "is_patch": "SELECT seq, coalesce(len(list_filter(json_keys(after_doc), lambda x: x LIKE '$%')) > 0 AND len(list_filter(json_keys(after_doc), lambda x: x NOT LIKE '$%' AND x <> '_id')) = 0, FALSE) AS is_patch FROM transfer_events WHERE op = 'u'",
     "index_plan": f"WITH {DDL} SELECT DISTINCT database || '.' || collection AS ns, index_name AS name FROM ddl d WHERE ddl_type = 'CREATE_INDEXES' AND index_name <> '_id_' AND NOT EXISTS (SELECT 1 FROM ddl x WHERE x.ddl_type = 'DROP_INDEXES' AND x.database = d.database AND x.collection = d.collection AND x.index_name = d.index_name)",
-    "has_unique": f"WITH {DDL} SELECT database || '.' || collection AS ns, coalesce(bool_or(index_name LIKE 'score%' AND index_name <> '_id_'), FALSE) AS has_unique FROM ddl WHERE ddl_type = 'CREATE_INDEXES' GROUP BY 1",
-    "unique_timeline": f"""WITH {DDL}, w AS (SELECT *, CASE WHEN ddl_type IN ('DROP_COLLECTION', 'DROP_DATABASE', 'RENAME_COLLECTION', 'DROP_INDEXES') THEN FALSE WHEN ddl_type = 'CREATE_INDEXES' AND index_name LIKE 'score%' THEN TRUE END AS mark FROM ddl)
-        SELECT entry_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY database, collection ORDER BY ts_t, ts_i, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FALSE) AS unique_now FROM w""",
+    "has_unique": f"WITH {DDL} SELECT d.database || '.' || d.collection AS ns, coalesce(bool_or(o LIKE '%\"unique\":true%' AND index_name <> '_id_'), FALSE) AS has_unique FROM m JOIN ddl d USING (entry_id) WHERE d.ddl_type = 'CREATE_INDEXES' GROUP BY 1",
+    "unique_timeline": f"""WITH {DDL}, s AS (SELECT d.*, d.database || '.' || d.collection AS ns, o LIKE '%"unique":true%' AND index_name <> '_id_' AS u FROM ddl d JOIN m USING (entry_id))
+        SELECT a.entry_id, a.ns, EXISTS (SELECT 1 FROM s b WHERE b.ns = a.ns AND b.ddl_type = 'CREATE_INDEXES' AND b.u AND (b.ts_t, b.ts_i, b.entry_id) <= (a.ts_t, a.ts_i, a.entry_id)
+          AND NOT EXISTS (SELECT 1 FROM s c WHERE c.ns = a.ns AND (c.ddl_type IN ('DROP_COLLECTION', 'RENAME_COLLECTION') OR (c.ddl_type = 'DROP_INDEXES' AND c.index_name = b.index_name))
+            AND (c.ts_t, c.ts_i, c.entry_id) BETWEEN (b.ts_t, b.ts_i, b.entry_id) AND (a.ts_t, a.ts_i, a.entry_id))) AS unique_now FROM s a WHERE a.ns IS NOT NULL""",
     "ddl_segments": f"""WITH {DDL}, {CRUD},
         u AS (SELECT ns, ts.t AS t, ts.i AS i, 0 AS d FROM crud UNION ALL SELECT database || '.' || collection, ts_t, ts_i, 1 FROM ddl),
         s AS (SELECT ns, d, sum(d) OVER (PARTITION BY ns ORDER BY t, i, d DESC ROWS UNBOUNDED PRECEDING) AS segment FROM u)
         SELECT ns, CAST(segment AS BIGINT) AS segment, count(*) AS events FROM s WHERE d = 0 GROUP BY ALL""",
-    "drop_resets": f"""WITH {DDL}, {CRUD}, g AS (SELECT database || '.' || collection AS ns, max((ts_t, ts_i)) AS at FROM ddl WHERE ddl_type = 'DROP_INDEXES' GROUP BY 1)
-        SELECT c.ns, count(*) AS events FROM crud c LEFT JOIN g ON g.ns = c.ns WHERE g.at IS NULL OR (c.ts.t, c.ts.i) > g.at GROUP BY c.ns""",
+    "drop_resets": f"""WITH {DDL}, {CRUD}, g AS (SELECT database, collection, max((ts_t, ts_i)) AS at FROM ddl WHERE ddl_type IN ('DROP_COLLECTION', 'RENAME_COLLECTION', 'DROP_DATABASE') GROUP BY ALL)
+        SELECT c.ns, count(*) AS events FROM crud c WHERE NOT EXISTS (SELECT 1 FROM g WHERE ((g.collection IS NULL AND g.database = split_part(c.ns, '.', 1)) OR g.database || '.' || g.collection = c.ns) AND (c.ts.t, c.ts.i) <= g.at) GROUP BY c.ns""",
+    "ddl_apply_catalog": f"""WITH {DDL}, once AS (SELECT database, collection, min(ts_t) AS t, min(ts_i) AS i FROM ddl WHERE ddl_type = 'CREATE_COLLECTION' GROUP BY ALL)
+        SELECT CAST(row_number() OVER (ORDER BY t, i, database, collection) - 1 AS INTEGER) AS step, 'CREATE TABLE IF NOT EXISTS `' || database || '`.`' || collection || '` (_id STRING, doc STRING) USING parquet' AS statement FROM once""",
     "rename_chain": "SELECT 'db.c' || c_custkey AS source, 'db.c' || ((c_custkey // 5 + 1) * 5) AS final FROM customer WHERE c_custkey % 5 <> 0",
 }

@@ -191,7 +191,38 @@ _P5 = """
     one AS (SELECT p.shard, p.ns, p.part, p.file_no, p.path, min(new_path) AS new_path FROM pairs p JOIN totals t ON t.shard = p.shard AND t.ns = p.ns AND t.part = p.part AND t.file_no = p.file_no AND t.path = p.path AND t.n = p.n GROUP BY ALL),
     moved AS (SELECT shard, ns, part, file_no, min(path) AS path, new_path FROM one GROUP BY ALL)"""
 
+#: Cells of the consistent table: (entry_id, doc_part, name, branch, text), a path's columns named in order of path and type,
+#: with an underscore more for each name that was there before, whatever its case.
+_P5_TABLE = """
+    RECURSIVE once AS (SELECT DISTINCT ON (shard, ts) * FROM oplog_entries WHERE op IN ('i', 'u') AND ns NOT LIKE 'config.%' AND ns NOT LIKE '%.system.%' AND ns NOT LIKE '%.$cmd' ORDER BY file_no, entry_id),
+    docs AS (
+      SELECT entry_id, shard, ns, 'o' AS doc_part, file_no, o AS doc FROM once WHERE op = 'i' OR len(list_filter(json_keys(o), lambda x: x LIKE '$%')) = 0
+      UNION ALL SELECT entry_id, shard, ns, 'o2', file_no, o2 FROM once WHERE op = 'u' AND o2 IS NOT NULL),
+    tree AS (
+      SELECT entry_id, doc_part, x.key AS path, x.value AS v FROM docs, json_each(doc) x
+      UNION ALL
+      SELECT entry_id, doc_part, tree.path || '.' || x.key, x.value FROM tree, json_each(tree.v) x WHERE json_type(tree.v) = 'OBJECT' AND NOT (len(json_keys(tree.v)) = 1 AND json_keys(tree.v)[1] LIKE '$%')),
+    leaf AS (
+      SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'ARRAY' THEN 'array'
+                  WHEN 'OBJECT' THEN CASE json_keys(v)[1] WHEN '$date' THEN 'date' WHEN '$oid' THEN 'objectId' WHEN '$numberDecimal' THEN 'decimal' WHEN '$numberLong' THEN 'number' ELSE 'object' END ELSE 'number' END AS kind,
+        CASE WHEN json_type(v) = 'OBJECT' AND len(json_keys(v)) = 1 AND json_type(v, '$."' || json_keys(v)[1] || '"') = 'VARCHAR' THEN json_extract_string(v, '$."' || json_keys(v)[1] || '"')
+             WHEN json_type(v) = 'VARCHAR' THEN v->>'$' ELSE CAST(v AS VARCHAR) END AS text
+      FROM tree WHERE json_type(v) <> 'NULL' AND NOT (json_type(v) = 'OBJECT' AND len(json_keys(v)) > 0 AND NOT (len(json_keys(v)) = 1 AND json_keys(v)[1] LIKE '$%'))),
+    kinds AS (SELECT path, count(DISTINCT kind) AS n FROM leaf GROUP BY path),
+    wide AS (
+      SELECT entry_id, doc_part, path, '' AS kind, replace(path, '.', '__') AS name, 'string' AS branch, text FROM leaf JOIN kinds USING (path) WHERE n > 1
+      UNION ALL SELECT entry_id, doc_part, path, kind, replace(path, '.', '__') || CASE WHEN n > 1 THEN '__' || kind ELSE '' END, CASE kind WHEN 'number' THEN 'double' WHEN 'bool' THEN 'boolean' ELSE 'string' END, text FROM leaf JOIN kinds USING (path)),
+    named AS (
+      SELECT path, kind, name || repeat('_', CAST(row_number() OVER (PARTITION BY lower(name) ORDER BY path, kind) - 1 + CASE WHEN lower(name) IN ('entry_id', 'shard', 'ns', 'doc_part', 'file_no') THEN 1 ELSE 0 END AS INTEGER)) AS column_name
+      FROM (SELECT DISTINCT path, kind, name FROM wide)),
+    cells AS (SELECT entry_id, doc_part, column_name, branch, text FROM wide JOIN named USING (path, kind))"""
+
 ORACLES = {
+    "p5_table": f"""WITH {_P5_TABLE}
+        SELECT * FROM (SELECT entry_id, shard, ns, doc_part, file_no FROM docs)
+        LEFT JOIN (PIVOT (SELECT entry_id, doc_part, column_name, text FROM cells WHERE branch = 'string') ON column_name USING any_value(text) GROUP BY entry_id, doc_part) USING (entry_id, doc_part)
+        LEFT JOIN (PIVOT (SELECT entry_id, doc_part, column_name, CAST(text AS DOUBLE) AS x FROM cells WHERE branch = 'double') ON column_name USING any_value(x) GROUP BY entry_id, doc_part) USING (entry_id, doc_part)
+        LEFT JOIN (PIVOT (SELECT entry_id, doc_part, column_name, CAST(text AS BOOLEAN) AS x FROM cells WHERE branch = 'boolean') ON column_name USING any_value(x) GROUP BY entry_id, doc_part) USING (entry_id, doc_part)""",
     "p4_ns_rows": "SELECT ns, count(*) AS rows FROM transfer_events GROUP BY ns",
     "p6_oplog_copies": """
         SELECT entry_id FROM (
