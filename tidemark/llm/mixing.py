@@ -1,25 +1,29 @@
-"""Mixing sources to target weights, by a curriculum that may vary over training time.
+"""Mixing sources to target weights, by a curriculum that varies over training.
 
-Sizes are tokens. A source can give at most its tokens times its ``max_repeats``. What its target demands beyond that
-goes to the other sources in proportion to their targets, until all is placed or all are at their caps (water filling).
+Sizes are tokens. A source can give at most its tokens times its ``max_repeats``. The total is by default the largest at
+which every source reaches its target within its cap; for a larger total, what a source can't give goes to the others in
+proportion to their targets, until all is placed or all are at their caps (water filling).
 
-Each source has a schedule of weights over training time, of which the integral is scaled to its tokens in the mix.
-A copy of a document takes a span of its source's cumulative tokens, in order of a hash; the inverse of the integrated
-schedule gives the training time at which that span is due, and the mix is range-sorted by it. Running sums are taken
-over hash ranges of a source, so a large source is spread over many tasks.
+The curriculum gives each source weights over equal steps of training. They are balanced so that every step takes the
+same number of tokens in all and every source gives over all steps what the mix allots to it. The integral of a source's
+weights is its cumulative token demand over training positions, which are token offsets in the whole mix; a copy of a
+document takes a span of its source's tokens, in order of a hash, and the inverse of the demand gives the position at
+which the span is due. The mix is range-sorted by position. Running sums are taken over hash ranges of a source, so a
+large source is spread over many tasks.
 
 Defined cases: null and empty texts have no tokens and are never chosen; documents of a null or unlisted source are
-left out; a listed source without documents gets nothing, and its target goes to the others; a null or negative target
-counts as 0, a null ``max_repeats`` as 1; of repeated targets of one source the largest counts; a copy is chosen if
-at least half of it lies within its source's tokens; repeated rows of a document are documents of their own.
+left out; a listed source without documents or repeats gets nothing, and its target goes to the others; a null or
+negative target counts as 0, a null ``max_repeats`` as 1; of repeated targets of one source the largest counts; a copy
+is chosen if at least half of it lies within its source's tokens; repeated rows of a document are documents of their
+own; a source without a schedule has the same weight throughout; weights that leave a source or a step without a way to
+be served are an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.bpe import DEFAULT_RANKS, count_tokens
-from tidemark.session import materialise
 
 #: Documents that a hash range of one source should hold.
 RANGE_ROWS = 200_000
@@ -63,49 +67,75 @@ def _targets(mix_targets: DataFrame) -> dict[str, tuple[float, int]]:
 
 
 def plan(sized: DataFrame, mix_targets: DataFrame, total: float | None = None) -> list[dict]:
-    """One entry per listed source: target, cap, available, allotted tokens. ``total`` is by default what the listed sources hold."""
+    """One entry per listed source: target, cap, available and allotted tokens; by default for the reachable total."""
     targets = _targets(mix_targets)
     held = {r["source"]: (r["tokens"], r["rows"]) for r in sized.where(F.col("source").isin(list(targets))).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).collect()}
     available = {s: n for s, (n, _) in held.items()}
-    tokens = allot(targets, available, sum(available.values()) if total is None else total)
+    tokens = allot(targets, available, reachable_total(targets, available) if total is None else total)
     return [{"source": s, "target_share": t, "max_repeats": m, "available": available.get(s, 0), "rows": held.get(s, (0, 0))[1], "allotted": tokens[s]} for s, (t, m) in sorted(targets.items())]
 
 
-def reachable_total(sized: DataFrame, mix_targets: DataFrame) -> float:
-    """The largest total at which every listed source that has documents reaches its target within its cap."""
-    entries = [e for e in plan(sized, mix_targets) if e["available"] and e["target_share"] > 0]
-    weight = sum(e["target_share"] for e in entries)
-    return min((e["available"] * max(0, e["max_repeats"]) * weight / e["target_share"] for e in entries), default=0.0)
-
-
-def _due(done, allotted, schedule: list[float]):
-    """Training time in [0, 1] at which a source has given ``done`` of its ``allotted`` tokens: the inverse of the integrated schedule."""
-    steps, total, at = len(schedule), sum(schedule), 0.0
-    part, out = done / allotted, F.lit(1.0)
-    rows = []
-    for k, w in enumerate(schedule):
-        rows.append((at, w / total, k / steps))
-        at += w / total
-    for start, share, time in reversed(rows):
-        if share > 0:
-            out = F.when(part < start + share, F.lit(time) + (part - start) / (share * steps)).otherwise(out)
+def reachable_total(targets: dict[str, tuple[float, int]], available: dict[str, int]) -> float:
+    """The largest total at which every source that has documents and repeats reaches its target within its cap."""
+    able = {s: (t, available[s] * m) for s, (t, m) in targets.items() if t > 0 and m > 0 and available.get(s, 0) > 0}
+    weight = sum(t for t, _ in able.values())
+    return min((cap * weight / t for t, cap in able.values()), default=0.0)
+
+
+def curriculum(allotted: dict[str, float], schedules: dict[str, list[float]]) -> dict[str, list[float]]:
+    """Tokens that each source gives in each step: in proportion to its weights as far as every step takes the same in all.
+
+    Rows and columns are scaled in turn (iterative proportional fitting) until both sums hold to a millionth.
+    """
+    steps = max(map(len, schedules.values()), default=1)
+    if any(len(w) != steps for w in schedules.values()):
+        raise ValueError("all schedules must have the same number of steps")
+    total = sum(allotted.values())
+    out = {s: [float(w) for w in schedules.get(s, [1.0] * steps)] for s in allotted}
+    for _ in range(10_000):
+        for s, a in allotted.items():
+            given = sum(out[s])
+            if given <= 0:
+                raise ValueError(f"the schedule of {s} gives it no tokens")
+            out[s] = [x * a / given for x in out[s]]
+        sums = [sum(row[k] for row in out.values()) for k in range(steps)]
+        if any(x <= 0 for x in sums):
+            raise ValueError("a step of the curriculum has no source")
+        if all(abs(x * steps / total - 1) < 1e-6 for x in sums):
+            return out
+        for s in out:
+            out[s] = [x * total / steps / sums[k] for k, x in enumerate(out[s])]
+    raise ValueError("no mix over time follows these schedules")
+
+
+def _due(done: Column, demand: list[float], step: float) -> Column:
+    """Training position at which a source has given ``done`` tokens: the inverse of its cumulative demand."""
+    starts, at = [], 0.0
+    for k, tokens in enumerate(demand):
+        if tokens > 0:
+            starts.append((at, tokens, k))
+        at += tokens
+    out = F.lit(step * len(demand))
+    for start, tokens, k in reversed(starts):
+        out = F.when(done < start + tokens, F.lit(k * step) + (done - start) * (step / tokens)).otherwise(out)
     return out
 
 
 def mix(sized: DataFrame, mix_targets: DataFrame, total: float | None = None, schedules: dict[str, list[float]] | None = None) -> DataFrame:
-    """(source, doc_id, copy, tokens, position): every chosen copy, in training order; position is its due time in [0, 1].
+    """(source, doc_id, copy, tokens, position): every chosen copy, in training order; position is a token offset in the mix.
 
-    ``sized`` is read several times, so it should be a written table. ``schedules`` gives a source's weights over equal
-    steps of training time; a source without one has the same weight throughout.
+    ``sized`` is read several times, so it should be a written table.
     """
     entries = [e for e in plan(sized, mix_targets, total) if e["allotted"] > 0]
     spark = sized.sparkSession
     if not entries:
         return spark.createDataFrame([], "source string, doc_id bigint, copy int, tokens bigint, position double")
+    allotted = {e["source"]: e["allotted"] for e in entries}
+    demand = curriculum(allotted, {s: w for s, w in (schedules or {}).items() if s in allotted})
     ranges = max(1, -(-max(e["rows"] for e in entries) // RANGE_ROWS))
     wanted = spark.createDataFrame([(e["source"], float(e["allotted"]), int(e["available"]), int(e["max_repeats"])) for e in entries], "source string, allotted double, available bigint, max_repeats int")
     order = F.xxhash64("doc_id")
-    rows = sized.join(F.broadcast(wanted), "source").withColumn("h", order).withColumn("part", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * ranges))
+    rows = sized.join(F.broadcast(wanted), "source").withColumn("h", order).withColumn("part", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * ranges))  # one row per listed source
     sums = rows.groupBy("source", "part").agg(F.sum("tokens").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).drop("n")
     inside = F.sum("tokens").over(Window.partitionBy("source", "part").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
@@ -115,10 +145,10 @@ def mix(sized: DataFrame, mix_targets: DataFrame, total: float | None = None, sc
     most = F.least(F.floor((F.col("allotted") - F.col("start") - F.col("tokens") / 2) / F.col("available")) + 1, F.col("max_repeats").cast("bigint"))
     copies = placed.where(most > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), most.cast("int"))))
     done = (F.col("copy") - 1) * F.col("available") + F.col("start") + F.col("tokens") / 2
-    time = _due(done, F.col("allotted"), [1.0])
-    for source, schedule in sorted((schedules or {}).items()):
-        time = F.when(F.col("source") == source, _due(done, F.col("allotted"), schedule)).otherwise(time)
-    return copies.select("source", "doc_id", "copy", "tokens", F.least(time, F.lit(1.0)).alias("position")).orderBy("position", "source", "doc_id", "copy")
+    step, position = sum(allotted.values()) / len(next(iter(demand.values()))), F.lit(None).cast("double")
+    for source, tokens in sorted(demand.items()):
+        position = F.when(F.col("source") == source, _due(done, tokens, step)).otherwise(position)
+    return copies.select("source", "doc_id", "copy", "tokens", position.alias("position")).orderBy("position", "source", "doc_id", "copy")
 
 
 def shares(sized: DataFrame, chosen: DataFrame, mix_targets: DataFrame, total: float | None = None) -> DataFrame:
@@ -130,3 +160,16 @@ def shares(sized: DataFrame, chosen: DataFrame, mix_targets: DataFrame, total: f
     every = F.sum("chosen_tokens").over(Window.partitionBy())  # one row per listed source
     joined = table.join(got, "source_name", "left").fillna(0, ["chosen_tokens", "chosen_rows"])
     return joined.withColumn("reached_share", F.round(F.col("chosen_tokens") / every, 6))
+
+
+def shares_over_time(sized: DataFrame, chosen: DataFrame, mix_targets: DataFrame, schedules: dict[str, list[float]], total: float | None = None) -> DataFrame:
+    """(step, source_name, wanted_share, reached_share, chosen_tokens) of each step of the curriculum."""
+    allotted = {e["source"]: e["allotted"] for e in plan(sized, mix_targets, total) if e["allotted"] > 0}
+    demand = curriculum(allotted, {s: w for s, w in schedules.items() if s in allotted}) if allotted else {}
+    steps, whole = len(next(iter(demand.values()), [1])), sum(allotted.values()) or 1.0
+    table = sized.sparkSession.createDataFrame([(k, s, tokens * steps / whole) for s, row in demand.items() for k, tokens in enumerate(row)], "step int, source_name string, wanted_share double")
+    step = F.least(F.floor(F.col("position") * steps / whole), F.lit(steps - 1)).cast("int")
+    got = chosen.groupBy(step.alias("step"), F.col("source").alias("source_name")).agg(F.sum("tokens").alias("chosen_tokens"))
+    joined = table.join(got, ["step", "source_name"], "left").fillna(0, ["chosen_tokens"])
+    share = F.col("chosen_tokens") / F.sum("chosen_tokens").over(Window.partitionBy("step"))  # one row per listed source
+    return joined.select("step", "source_name", F.round("wanted_share", 6).alias("wanted_share"), F.round(share, 6).alias("reached_share"), "chosen_tokens")

@@ -13,35 +13,33 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
-def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen documents with their repeats, in training order."""
-    sized = materialise(mixing.sized_documents(read_table(spark, sf_dir, "documents")), "sized")
-    return mixing.mix(sized, read_table(spark, sf_dir, "mix_targets"))
+#: Production curriculum: weights of sources over quarters of training. The office's clean texts lead early, archive and
+#: scans come late; sources that aren't named keep an even weight, as far as each quarter takes the same tokens.
+CURRICULUM = {"norva_office": [4.0, 3.0, 2.0, 1.0], "sund_archive": [0.0, 1.0, 2.0, 3.0], "peth_scans": [1.0, 1.0, 2.0, 2.0]}
 
 
-#: Weights of two sources over quarters of training time: the office's texts early, the archive's late.
-CURRICULUM = {"norva_office": [4.0, 3.0, 2.0, 1.0], "sund_archive": [0.0, 1.0, 2.0, 3.0]}
+def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sized documents, targets, and the mix."""
+    sized = materialise(mixing.sized_documents(read_table(spark, sf_dir, "documents")), "sized")
+    targets = read_table(spark, sf_dir, "mix_targets")
+    return sized, targets, mixing.mix(sized, targets, schedules=CURRICULUM)
 
 
-def p8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same mix under a schedule that varies over training time."""
-    sized = materialise(mixing.sized_documents(read_table(spark, sf_dir, "documents")), "sized")
-    return mixing.mix(sized, read_table(spark, sf_dir, "mix_targets"), schedules=CURRICULUM)
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with their repeats, in training order."""
+    return _p8(spark, sf_dir)[2]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted and reached tokens and shares of each listed source."""
-    sized = materialise(mixing.sized_documents(read_table(spark, sf_dir, "documents")), "sized")
-    targets = read_table(spark, sf_dir, "mix_targets")
-    return mixing.shares(sized, mixing.mix(sized, targets), targets)
+    sized, targets, chosen = _p8(spark, sf_dir)
+    return mixing.shares(sized, chosen, targets)
 
 
-def p8_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of the largest mix in which every source that has documents reaches its target."""
-    sized = materialise(mixing.sized_documents(read_table(spark, sf_dir, "documents")), "sized")
-    targets = read_table(spark, sf_dir, "mix_targets")
-    total = mixing.reachable_total(sized, targets)
-    return mixing.shares(sized, mixing.mix(sized, targets, total), targets, total)
+def p8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached share of each source in each quarter of training."""
+    sized, targets, chosen = _p8(spark, sf_dir)
+    return mixing.shares_over_time(sized, chosen, targets, CURRICULUM)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +52,5 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.composition(p9_found(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_mix, p8_curriculum, p8_shares, p8_reachable, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p7_ids, p8_mix, p8_shares, p8_curriculum, p9_found, p9_composition)}
 ORACLES: dict[str, str] = {}
