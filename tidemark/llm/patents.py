@@ -17,7 +17,6 @@ _NUMBERED = re.compile(r"\d+\s*\.\s*(\D.*)")
 _MARKED_CLAIM = re.compile(r"\[claim\s*1\s*\]")
 _KIND = {**dict.fromkeys(ABSTRACT_HEADS, "abstract"), **dict.fromkeys(DESCRIPTION_HEADS, "description"), **dict.fromkeys(CLAIM_HEADS, "claims")}
 _HYPHENED = re.compile(r"(?<=\w)-\n\s*(?=\w)")
-_LONGEST_HEAD = 60
 
 
 def normal(text: str) -> str:
@@ -35,13 +34,12 @@ def _headings(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the lines that are headings."""
     out, at = [], 0
     for line in text.split("\n"):
-        if len(line) <= _LONGEST_HEAD:
-            head = line.strip().rstrip(":：").rstrip()
-            kind = _KIND.get(head)
-            if kind is None and head[:1].isdigit() and (m := _NUMBERED.fullmatch(head)):
-                kind = _KIND.get(m[1])
-            if kind is not None:
-                out.append((at, at + len(line), kind))
+        head = line.strip().rstrip(":：").rstrip()
+        kind = _KIND.get(head)
+        if kind is None and head[:1].isdigit() and (m := _NUMBERED.fullmatch(head)):
+            kind = _KIND.get(m[1])
+        if kind is not None:
+            out.append((at, at + len(line), kind))
         at += len(line) + 1
     return out
 
@@ -68,28 +66,11 @@ def sections(text: str) -> dict[str, str]:
     return out
 
 
-#: Words by which a sentence speaks of other work than the invention.
-REMARK_CUES = (
-    "prior document", "prior art", "earlier application", "known solution", "unlike ", "attempts to replace", "unrelated field", "maintenance costs", "different purpose", "reported",
-    "bekannte lösung", "frühere schrift", "anders als", "anderen gebiet", "andere zwecke", "der ersatz von", "stand der technik",
-    "solutions connues", "documents antérieurs", "contrairement", "autre domaine", "d'autres fins", "le remplacement de", "art antérieur",
-    "现有技术", "在先文献", "其他领域", "其他目的", "不同,本方案", "不同，本方案", "代替",
-)
-_SENTENCE = re.compile(r"(?<=[.;。；])\s*|\n+")
-
-
-def _without_remarks(text: str) -> str:
-    return " ".join(s for s in _SENTENCE.split(text) if not any(cue in s for cue in REMARK_CUES))
-
-
 def invention(text: str) -> str:
-    """The text on the invention itself: the claims, and the abstract where a heading closes it.
-
-    Without claims it is the abstract; if no heading closes that, the text without its remarks on other work.
-    """
+    """The text on the invention itself: the claims, and the abstract where a heading closes it; without claims, the abstract as far as it goes."""
     parts = sections(text)
     if not parts["claims"].strip():
-        return _without_remarks(parts["abstract"]) if "open" in parts else parts["abstract"]
+        return parts["abstract"]
     return parts["claims"] if "open" in parts else parts["abstract"] + "\n" + parts["claims"]
 
 
