@@ -152,6 +152,12 @@ def test_differences_field_by_field(spark):
     assert {f[4] for f in found} == {"t", "o.p", "nil", "b", "s", "only", "e.z"} and {f[3] for f in found} == {"contentMismatch"}
 
 
+def test_texts_that_are_no_objects_differ_as_a_whole(spark):
+    source = docs(spark, ("n", "1", 2, "broken"), ("n", "2", 2, "broken"), ("n", "3", 2, '{"a": 1}'), ("n", "4", 2, None), ("n", "5", 2, "[1]"))
+    target = docs(spark, ("n", "1", 2, "damaged"), ("n", "2", 2, "broken"), ("n", "3", 2, "broken"), ("n", "4", 2, '{"a": 1}'), ("n", "5", 2, "[2]"))
+    assert {r[1:] for r in got(compare.compare(source, target))} == {("1", 2, "contentMismatch", ""), ("3", 2, "contentMismatch", ""), ("4", 2, "contentMismatch", "a"), ("5", 2, "contentMismatch", "")}
+
+
 def test_newest_copy_counts_and_nulls_are_keys(spark):
     long = json.dumps({"x": "y" * 200_000})
     source = docs(spark, ("n", "1", 2, long), (None, None, None, None), ("n", "2", 2, "broken"))

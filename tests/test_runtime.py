@@ -11,9 +11,10 @@ from tidemark.session import work_path
 
 def test_configuration():
     text = "# a comment\nwhite = shop; crm.visit ;\nbuckets: 8\ntransform=a.b:c.d;e:f\nignore.fields=x, y\n"
-    c = config.load(text, ["--batch-size=7", "other"])
-    assert (c.white, c.buckets, c.batch_size, c.transform, c.ignore_fields) == (["shop", "crm.visit"], 8, 7, {"a.b": "c.d", "e": "f"}, ["x", "y"])
-    for bad in ("white=a\nblack=b", "buckets=0", "buckets=x", "mode=HALF", "nothing=1"):
+    c = config.load(text, ["--verify-samples=7", "other"])
+    assert (c.white, c.verify_samples, c.transform, c.ignore_fields) == (["shop", "crm.visit"], 7, {"a.b": "c.d", "e": "f"}, ["x", "y"])
+    assert c.unused == {"buckets": config.NO_COUNTERPART["buckets"]}
+    for bad in ("white=a\nblack=b", "verify_samples=0", "verify_samples=x", "mode=HALF", "nothing=1", "unused=1"):
         with pytest.raises(config.MigrationError) as e:
             config.load(bad)
         assert e.value.code is config.ErrorCode.CONFIG
@@ -94,3 +95,12 @@ def test_single_writes(spark):
     w.replace("n", {"_id": 2, "z": 1})
     w.delete("n", 5)
     assert {tuple(r)[1:] for r in scalar_fields(table.read()).collect()} == {("2", "z", "1")}
+
+
+def test_a_second_writer_goes_on_from_the_table(spark):
+    table = MorTable(spark, work_path(spark, "writes"))
+    control.Writer(spark, table).insert("n", {"_id": 1, "a": 1})
+    a, b = control.Writer(spark, table), control.Writer(spark, table)
+    for k, w in enumerate((a, b, a, b)):
+        w.update("n", 1, {"a": k})
+    assert {r["fields"]["a"] for r in table.read().collect()} == {"3"}

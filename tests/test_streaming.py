@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.mor_table import MorTable, scalar_fields
 from tidemark.session import read_table, work_path
-from tidemark.sources.feeds import log_window
+from tidemark.sources.feeds import stream_after
 from tidemark.streaming import apply, log_source
 
 
@@ -35,13 +35,12 @@ def captured(spark, small, tmp_path_factory):
 
 
 def test_stream_in_parts_equals_batch(spark, captured, tmp_path):
-    log_source.register(spark)
     folder, land = captured
     land([0, 1])
     table = MorTable(spark, work_path(spark, "stream"))
 
     def start():
-        entries = spark.readStream.format("tidemark_log").option("path", folder).load()
+        entries = log_source.log_stream(spark, folder, "json")
         return apply.start_apply(entries, table, str(tmp_path / "checkpoint"), dead_letters=str(tmp_path / "dead"))
 
     start().awaitTermination()
@@ -57,19 +56,45 @@ def test_stream_in_parts_equals_batch(spark, captured, tmp_path):
         return start()
 
     assert apply.run_with_retry(flaky, base_ms=1, sleep=lambda s: None) == 1
-    batch = spark.read.format("tidemark_log").option("path", folder).load()
+    batch = spark.read.schema(log_source.ENTRIES).json(folder)
     whole = MorTable(spark, work_path(spark, "batch")).apply(apply.entries_to_events(batch))
     assert fields(table.read()) == fields(whole.read()) and fields(whole.read())
     dead = spark.read.parquet(str(tmp_path / "dead"))
     assert {(r["entry_id"], r["_error"]) for r in dead.collect()} >= {(10**6, "no position"), (10**6 + 1, "no key")}
 
 
-def test_batch_window_of_the_source(spark, captured, small):
-    folder, _ = captured
-    log_source.register(spark)
-    found = spark.read.format("tidemark_log").option("path", folder).option("after", "1700000100:1").option("until", "1700000900:2").load()
-    want = log_window(read_table(spark, small, "oplog_entries"), (1700000100, 1), (1700000900, 2))
-    assert {r["entry_id"] for r in found.where("ts_t is not null").collect()} == {r["entry_id"] for r in want.collect()}
+def test_late_files_and_admission(spark, tmp_path):
+    """A file that lands later under an earlier name is read, and a batch takes no more files than it may."""
+    folder, sizes = tmp_path / "in", []
+    folder.mkdir()
+
+    def land(name, *ids):
+        with open(folder / name, "w") as f:
+            f.writelines(json.dumps({"entry_id": k, "ts": {"t": k, "i": 1}, "op": "i", "ns": "a.b", "o": json.dumps({"_id": k})}) + "\n" for k in ids)
+
+    def run():
+        rows = log_source.log_stream(spark, str(folder), "json", max_files=1, after=(1, 1))
+        apply.each_batch(rows, lambda batch, n, stream: sizes.append(sorted(r["entry_id"] for r in batch.collect())), str(tmp_path / "c")).awaitTermination()
+
+    land("5.json", 1, 2)
+    land("6.json", 3)
+    run()
+    land("1.json", 4, 5)
+    run()
+    assert sorted(sizes[:2]) == [[2], [3]] and sizes[2:] == [[4, 5]]
+
+
+def test_messages_from_a_token_on(spark, small, tmp_path):
+    rows = read_table(spark, small, "change_stream")
+    source = str(tmp_path / "in")
+    rows.repartition(3).write.parquet(source)
+    first = rows.where("cluster_time is not null").selectExpr("percentile_approx(cluster_time.t, 0.5) as t").first()["t"]
+    stream = log_source.message_stream(spark, source, operation_time=(first, 0), where="ns like 'shop.%'")
+    seen = []
+    apply.each_batch(stream, lambda batch, n, s: seen.extend(r["delivery_id"] for r in batch.collect()), str(tmp_path / "c")).awaitTermination()
+    want = stream_after(rows, operation_time=(first, 0)).where("lower(operation_type) <> 'invalidate' and (lower(operation_type) not in ('insert', 'update', 'replace', 'delete') or ns like 'shop.%')")
+    assert sorted(seen) == sorted(r["delivery_id"] for r in want.collect()) and seen
+    assert log_source.start_position(None, "b", "l") == "b" and log_source.start_position("s", "b", "l") == "s" and log_source.start_position(None, None, "l") == "l"
 
 
 def test_state_by_key(spark, small, tmp_path):
@@ -105,12 +130,11 @@ def test_progress_and_counters(spark, captured, tmp_path):
     from tidemark.streaming import listener
 
     folder, _ = captured
-    log_source.register(spark)
     lines = []
     watch = listener.ProgressLog(lines.append)
     spark.streams.addListener(watch)
     try:
-        entries = listener.counted(spark.readStream.format("tidemark_log").option("path", folder).load())
+        entries = listener.counted(log_source.log_stream(spark, folder, "json"))
         query = entries.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         query.awaitTermination()
         for _ in range(50):

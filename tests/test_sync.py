@@ -1,19 +1,19 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import transit
 from tidemark.functions.register import register_functions
-from tidemark.operators import ddl, namespace
+from tidemark.operators import ddl, namespace, parse
 from tidemark.operators.mor_table import MorTable, scalar_fields
 from tidemark.runtime import sync
-from tidemark.runtime.config import SyncConfig
+from tidemark.runtime.config import ErrorCode, MigrationError, SyncConfig
 from tidemark.session import read_table, work_path
 from tidemark.streaming import log_source
 
 
 def test_snapshot_then_log_with_rules_and_names(spark, tmp_path):
-    log_source.register(spark)
     docs = spark.createDataFrame([("shop.a", "1", '{"_id":1,"v":1}'), ("shop.b", "1", '{"_id":1,"v":1}'), ("crm.a", "1", '{"_id":1}'), ("shop.a", "2", '{"_id":2,"v":1}')], "ns string, _id string, doc string")
     folder = tmp_path / "log"
     folder.mkdir()
@@ -24,11 +24,84 @@ def test_snapshot_then_log_with_rules_and_names(spark, tmp_path):
     table = MorTable(spark, work_path(spark, "sync"))
     run = sync.Sync(spark, SyncConfig(white=["shop"], transform={"shop.a": "new.a"}), table, lambda: done.append(1), lambda df: changes.extend(df.collect()))
     run.snapshot(docs, 5)
-    run.start(spark.readStream.format("tidemark_log").option("path", str(folder)).load(), str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
+    run.start(log_source.log_stream(spark, str(folder), "json"), str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
     assert {tuple(r) for r in scalar_fields(table.read()).collect()} == {("new.a", "1", "v", "2"), ("shop.b", "1", "v", "1"), ("shop.c", "9", "v", "9")}
     assert done == [1] and [c["ddl_type"] for c in changes] == ["CREATE_COLLECTION"]
 
 
+def entries(spark, *rows):
+    return spark.createDataFrame([(k, "s", (t, 1), op, ns, json.dumps(o), o2 and json.dumps(o2), bool(m)) for k, (t, op, ns, o, o2, m) in enumerate((*r, None, None)[:6] for r in rows)], "entry_id bigint, shard string, ts struct<t:bigint,i:bigint>, op string, ns string, o string, o2 string, from_migrate boolean")
+
+
+def keys(table):
+    return {(r["ns"], r["doc_key"]) for r in table.read().collect()}
+
+
+def test_schema_changes_are_a_barrier(spark):
+    table = MorTable(spark, work_path(spark, "sync"))
+    run = sync.Sync(spark, SyncConfig(transform={"d.a": "new.a"}), table)
+    insert = lambda t, ns, k: (t, "i", ns, {"_id": k})
+    command = lambda t, db, o: (t, "c", f"{db}.$cmd", o)
+    run.apply_batch(entries(spark, insert(1, "d.a", 1), insert(1, "d.b", 1), insert(1, "e.x", 1), (2, "d", "d.a", {"_id": 1}, None, True)))
+    assert keys(table) == {("new.a", "1"), ("d.b", "1"), ("e.x", "1")}  # a balancer's delete is none
+    run.apply_batch(
+        entries(
+            spark, insert(3, "d.a", 2), command(4, "d", {"drop": "a"}), insert(5, "d.a", 3), insert(6, "d.t", 1), command(7, "d", {"renameCollection": "d.t", "to": "d.b"}), insert(8, "d.t", 2), insert(8, "d.b", 9),
+            command(9, "d", {"renameCollection": "d.none", "to": "d.nothing"}), command(10, "e", {"dropDatabase": 1}), insert(11, "e.y", 1),
+        )
+    )
+    assert keys(table) == {("new.a", "3"), ("d.b", "1"), ("d.t", "2"), ("d.b", "9"), ("e.y", "1")}
+    version = table._manifest()["version"]
+    run.apply_batch(entries(spark, command(12, "z", {"renameCollection": "z.none", "to": "z.nothing"})))
+    assert table._manifest()["version"] == version + 1
+
+
+def test_strict_writes(spark):
+    rows = [(2, "i", "d.a", {"_id": 1, "v": 2}), (3, "i", "d.a", {"_id": 2, "v": 3}), (4, "u", "d.a", {"$set": {"v": 4}}, {"_id": 9}), (5, "u", "d.a", {"$set": {"w": 5}}, {"_id": 1}), (6, "i", "d.a", {"_id": 2, "v": 6}), (7, "d", "d.a", {"_id": 2}), (8, "i", "d.a", {"_id": 2, "v": 8})]
+    want = {"SKIP": {("1", "v", "1"), ("1", "w", "5"), ("2", "v", "8")}, "UPSERT": {("1", "v", "2"), ("1", "w", "5"), ("2", "v", "8")}, "FAIL": {("1", "v", "1")}}
+    for policy, fields in want.items():
+        table, bad = MorTable(spark, work_path(spark, "sync")), []
+        run = sync.Sync(spark, SyncConfig(write_mode="STRICT", on_conflict=policy), table, on_conflict=lambda df, bad=bad: bad.extend(r["ts_t"] for r in df.collect()))
+        run.apply_batch(entries(spark, (1, "i", "d.a", {"_id": 1, "v": 1})))
+        if policy == "FAIL":
+            with pytest.raises(MigrationError, match="duplicate key 1"):
+                run.apply_batch(entries(spark, *rows))
+        else:
+            run.apply_batch(entries(spark, *rows))
+        assert {tuple(r)[1:] for r in scalar_fields(table.read()).collect()} == fields and sorted(bad) == [2, 6]
+
+
+def test_what_a_run_refuses(spark, tmp_path):
+    table = MorTable(spark, work_path(spark, "sync"))
+    log = entries(spark, (5, "i", "d.a", {"_id": 1}), (6, "i", "d.a", {"v": 1}))
+    run = sync.Sync(spark, SyncConfig(dead_letters=str(tmp_path / "dead")), table)
+    with pytest.raises(MigrationError, match="HISTORY_LOST"):
+        run.check_history(log, spark.createDataFrame([("s", 3, 1)], "shard string, start_t bigint, start_i bigint"))
+    run.check_history(log, spark.createDataFrame([("s", 5, 1)], "shard string, start_t bigint, start_i bigint"))
+    run.apply_batch(log, 0)
+    assert [r["_error"] for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == ["no key"] and keys(table) == {("d.a", "1")}
+    for config, act in ((SyncConfig(mode="FULL"), lambda r: r.apply_batch(log)), (SyncConfig(mode="INCREMENTAL"), lambda r: r.snapshot(log, 1)), (SyncConfig(capture_mode="CHANGE_STREAM"), lambda r: r.apply_batch(log))):
+        with pytest.raises(MigrationError):
+            act(sync.Sync(spark, config, table))
+    calls = []
+
+    def lost():
+        calls.append(1)
+        raise MigrationError(ErrorCode.HISTORY_LOST, "gone")
+
+    with pytest.raises(MigrationError):
+        run.run(lost, str(tmp_path / "c"))
+    assert calls == [1]
+
+
+def test_messages_of_a_change_stream(spark, small):
+    table = MorTable(spark, work_path(spark, "sync"))
+    changes = read_table(spark, small, "change_stream")
+    sync.Sync(spark, SyncConfig(capture_mode="CHANGE_STREAM"), table).apply_batch(changes)
+    whole = MorTable(spark, work_path(spark, "sync")).apply(parse.stream_events(changes, 0).where(namespace.accepted("ns")))
+    assert keys(table) == keys(whole) and keys(table)
+
+
 def test_verification_ends_with_a_code(spark, small):
     source, target, ns_map = (read_table(spark, small, t) for t in ("source_docs", "target_docs", "ns_map"))
     none = ns_map.limit(0)
@@ -55,6 +128,7 @@ def test_functions_in_sql(spark):
 def test_error_texts_and_codes(spark):
     df = spark.createDataFrame([("Ns Not Found", 136), ("other", 1), (None, None)], "m string, c int")
     assert [r[0] for r in df.select(namespace.is_gone("m")).collect()] == [True, False, None]
+    assert [r[0] for r in df.select(namespace.is_gone("m", F.lit(26))).collect()] == [True, True, True]
     assert [r[0] for r in df.select(namespace.is_history_lost("c")).collect()] == [True, False, None]
 
 

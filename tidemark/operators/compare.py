@@ -4,8 +4,9 @@ Both copies go through one range exchange, so they are cut at the same split poi
 and then side, and a two-pointer merge reads it once, in batches, keeping only the documents of the key in hand.
 
 Defined cases: a key is (ns, _id, id_type) with nulls equal to each other; of several rows of one key on one side the
-one with the latest ``copied_at`` counts (then the largest text; nulls last); a null or broken document is an object without
-fields; other columns are ignored; empty tables give only missing keys.
+one with the latest ``copied_at`` counts (then the largest text; nulls last); a null document is an object without
+fields; a text that is no object differs as a whole from any other text, with an empty field_path; other columns are
+ignored; empty tables give only missing keys.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.docs import differing_paths, parse
-from tidemark.session import ship
+from tidemark.session import materialise, ship
 
 SCHEMA = "ns string, _id string, id_type int, diff_kind string, field_path string"
 _ARROW = pa.schema([("ns", pa.string()), ("_id", pa.string()), ("id_type", pa.int32()), ("diff_kind", pa.string()), ("field_path", pa.string())])
@@ -43,7 +44,8 @@ def compare(source: DataFrame, target: DataFrame, ignored: tuple[str, ...] = IGN
         return df.select("ns", "_id", F.col("id_type").cast("int").alias("id_type"), F.lit(mark).cast("byte").alias("side"), F.col("copied_at").alias("at"), doc.alias("doc"))
 
     both = side(source, 0).unionByName(side(target, 1))
-    both = both.mapInArrow(_newest, both.schema)
+    # written, since the range exchange reads its input twice: for the split points and for the rows
+    both = materialise(both.mapInArrow(_newest, both.schema), "copies")
     n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["ns", "_id", "id_type"]
     merged = both.repartitionByRange(n, *key).sortWithinPartitions(*key, "side", F.desc("at"), F.desc("doc")).drop("at")
@@ -69,9 +71,10 @@ def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(first.combine_chunks())
 
 
-def _object(text: str | None, skip: frozenset) -> dict:
-    doc = parse(text)
-    return {k: v for k, v in doc.items() if k not in skip} if isinstance(doc, dict) else {}
+def _object(text: str | None, skip: frozenset) -> dict | None:
+    """The fields that count; None for a text that is no object."""
+    doc = parse(text) if text is not None else {}
+    return {k: v for k, v in doc.items() if k not in skip} if isinstance(doc, dict) else None
 
 
 def _merge(batches: Iterator[pa.RecordBatch], skip: frozenset) -> Iterator[pa.RecordBatch]:
@@ -86,7 +89,8 @@ def _merge(batches: Iterator[pa.RecordBatch], skip: frozenset) -> Iterator[pa.Re
         elif docs[0] is None:
             out.append((*key, "missingOnSource", ""))
         elif docs[0] != docs[1]:
-            for path in differing_paths(_object(docs[0][0], skip), _object(docs[1][0], skip)):
+            a, b = _object(docs[0][0], skip), _object(docs[1][0], skip)
+            for path in [""] if a is None or b is None else differing_paths(a, b):
                 out.append((*key, "contentMismatch", path))
 
     for batch in batches:

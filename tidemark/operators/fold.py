@@ -54,11 +54,12 @@ def patch_fold(feed: DataFrame, fields: dict[str, tuple[Column, Column]], alive:
     return feed.where("op in ('c', 'r', 'u', 'd')").groupBy(*KEY).agg(last, *columns).where("_last <> 'd'").drop("_last")
 
 
-def effective(feed: DataFrame, on_conflict: str | None = None) -> DataFrame:
+def effective(feed: DataFrame, on_conflict: str | None = None, there: str | None = None) -> DataFrame:
     """Add ``epoch``, ``effective`` and ``conflict`` under strict writes.
 
     An epoch runs from one delete of the key to the next. The first create in it takes effect, later ones conflict (and
-    take effect with UPSERT); an update takes effect after the first create.
+    take effect with UPSERT); an update takes effect after the first create. ``there`` names a column that is true where
+    the document is in the target already.
     """
     w = Window.partitionBy(*KEY).orderBy(*ORDER)
     deletes = F.sum(F.when(F.col("op") == "d", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -66,6 +67,8 @@ def effective(feed: DataFrame, on_conflict: str | None = None) -> DataFrame:
     in_epoch = Window.partitionBy(*KEY, "epoch").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     create = F.col("op").isin("c", "r")
     created = F.coalesce(F.max(create).over(in_epoch), F.lit(False))
+    if there is not None:
+        created = created | ((F.col("epoch") == 0) & F.coalesce(F.col(there), F.lit(False)))
     takes = F.when(F.col("op") == "d", True).when(create, ~created | F.lit(on_conflict == "UPSERT")).otherwise(created)
     return rows.withColumn("effective", takes).withColumn("conflict", create & created)
 

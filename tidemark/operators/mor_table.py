@@ -525,6 +525,10 @@ class MorTable:
         deltas = moved if moved is not None else self._read(IMAGE)
         return self._merge(manifest, deltas, removals)
 
+    def namespaces(self) -> DataFrame:
+        """(ns) of all images; only that column of the index is read."""
+        return self._read(INDEX, *(n for n, _ in self._manifest()["index"])).select("ns").distinct()
+
     def clock(self) -> int:
         """The largest position of any image; what is written next by hand must lie above it."""
         manifest = self._manifest()

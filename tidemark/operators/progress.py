@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 STATES = ("ERROR", "COMMITTING", "PAUSED", "RUNNING", "CAN_COMMIT", "COMMITTED", "STOPPED", "IDLE")
 
 
-def counters(events: DataFrame) -> DataFrame:
-    """(ns, snapshot_rows, log_rows, ddl_rows, last_ts_ms)."""
-    return events.groupBy("ns").agg(
-        F.count_if(F.col("op") == "r").alias("snapshot_rows"), F.count_if(F.col("op").isin("c", "u", "d")).alias("log_rows"), F.max("ts_ms").alias("last_ts_ms")
-    )
+def counters(events: DataFrame, ddl: DataFrame | None = None) -> DataFrame:
+    """(ns, snapshot_rows, log_rows, last_ts_ms), and with schema changes (ns) also ddl_rows, of each namespace."""
+    rows = events.select("ns", "op", "ts_ms")
+    if ddl is not None:
+        rows = rows.unionByName(ddl.select("ns", F.lit("ddl").alias("op"), F.lit(None).cast("bigint").alias("ts_ms")))
+    counts = [F.count_if(F.col("op") == "r").alias("snapshot_rows"), F.count_if(F.col("op").isin("c", "u", "d")).alias("log_rows"), F.max("ts_ms").alias("last_ts_ms")]
+    if ddl is not None:
+        counts.append(F.count_if(F.col("op") == "ddl").alias("ddl_rows"))
+    return rows.groupBy("ns").agg(*counts)
 
 
 def percent(done: Column, total: Column, complete: Column) -> Column:
@@ -41,13 +45,16 @@ def lag_acceptable() -> Column:
 
 
 def readiness() -> Column:
-    """Why a migration can't be cut over yet, or READY. Columns as lag_acceptable, and full_done, pending, state."""
+    """Why a migration can't be cut over yet, or READY. Columns as lag_acceptable, and full_done, pending, state. What is counted is in the text."""
+    ms = F.coalesce(F.col("lag").cast("string"), F.lit("unknown"))
     return (
         F.when(F.col("state").isin("ERROR", "STOPPED", "COMMITTED"), F.concat(F.lit("NOT_RUNNING: "), "state"))
+        .when(F.col("state") == "IDLE", "NOT_STARTED")
+        .when(F.col("state").isin("PAUSED", "COMMITTING"), F.col("state"))
         .when(~F.col("full_done"), "WAITING_SNAPSHOT")
         .when(F.col("incremental") & F.col("received").isNull(), "WAITING_FIRST_EVENT")
-        .when(F.col("pending") > 0, "DRAINING")
-        .when(~lag_acceptable(), "LAGGING")
+        .when(F.col("pending") > 0, F.concat(F.lit("DRAINING: "), F.col("pending").cast("string")))
+        .when(~lag_acceptable(), F.concat(F.lit("LAGGING: "), ms, F.lit(" ms of "), F.col("max_lag").cast("string")))
         .otherwise("READY")
     )
 

@@ -46,16 +46,22 @@ def exact_digest(doc: Column | str, ignored: tuple[str, ...] = ()) -> Column:
 
 
 def digest(doc: Column | str) -> Column:
-    """A 128-bit digest, of two independent 64-bit hashes."""
-    return F.struct(F.xxhash64(doc).alias("a"), F.xxhash64(doc, F.lit(1)).alias("b"))
+    """A 128-bit digest, of two 64-bit hashes with different seeds: a column's hash is the seed of the next one's."""
+    return F.struct(F.xxhash64(doc).alias("a"), F.xxhash64(F.lit(1), doc).alias("b"))
 
 
-def paired(source: DataFrame, target: DataFrame, key: list[str], content: Column | str | None = None) -> DataFrame:
-    """Keys of either side with ``in_source``, ``in_target`` and, with ``content``, ``differs``. A key's repeated rows count once."""
+def paired(source: DataFrame, target: DataFrame, key: list[str], content: Column | str | None = None, latest: str | None = None) -> DataFrame:
+    """Keys of either side with ``in_source``, ``in_target`` and, with ``content``, ``differs``.
+
+    A key's repeated rows count once: with ``latest`` the one with the largest value in that column, as a comparison by
+    fields takes it; without, the one with the smallest digest.
+    """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(*key, (digest(content) if content is not None else F.lit(0)).alias("d"))
-        return rows.groupBy(*key).agg(F.min("d").alias(f"_{name}"))
+        d = (digest(content) if content is not None else F.lit(0)).alias("d")
+        if latest is not None and content is not None:
+            return df.select(*key, F.col(latest).alias("_at"), d).groupBy(*key).agg(F.max(F.struct("_at", "d")).getField("d").alias(f"_{name}"))
+        return df.select(*key, d).groupBy(*key).agg(F.min("d").alias(f"_{name}"))
 
     a = side(source, "s")
     b = side(target, "t").select(*(F.col(k).alias(f"_{k}") for k in key), "_t")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators import compare, progress, verify
+from tidemark.operators import compare, parse, progress, verify
+from tidemark.plans.log_queries import DDL
 from tidemark.session import read_table
 
 KEY = ["ns", "_id", "id_type"]
@@ -82,8 +83,9 @@ def deep_equal(spark, sf_dir):
 
 
 def progress_counters(spark, sf_dir):
-    """Rows of snapshot and log of each namespace, and the last event time."""
-    return progress.counters(read_table(spark, sf_dir, "transfer_events"))
+    """Rows of snapshot, log and schema changes of each namespace, and the last event time."""
+    ddl = parse.log_ddl(read_table(spark, sf_dir, "oplog_entries")).where("collection is not null").select(F.concat_ws(".", "database", "collection").alias("ns"))
+    return progress.counters(read_table(spark, sf_dir, "transfer_events"), ddl)
 
 
 def _children(spark, sf_dir) -> DataFrame:
@@ -112,6 +114,7 @@ def _gates(spark) -> DataFrame:
             [
                 (False, None, 0, False, None, True, 0, "RUNNING"), (True, None, 0, True, None, True, 0, "RUNNING"), (True, 5, 20_000, True, 90_000, True, 0, "RUNNING"), (True, 5, 20_000, False, 90_000, True, 3, "RUNNING"),
                 (True, 5, 10, True, 9_000, True, 0, "RUNNING"), (True, 5, 10, True, 11_000, True, 0, "RUNNING"), (True, 5, 10, True, 9_000, False, 0, "RUNNING"), (True, 5, 10, True, 9_000, True, 0, "ERROR"),
+                (True, None, 0, True, None, False, 0, "IDLE"), (True, 5, 10, True, 9_000, True, 0, "PAUSED"), (True, 5, 10, True, 9_000, True, 0, "COMMITTING"),
             ]
         )
     ]
@@ -194,11 +197,13 @@ ORACLES = {
     "verify_multi": f"""WITH {_IDS} SELECT 'copies' AS run, count(*) AS namespaces, bool_and(missing_on_target = 0 AND missing_on_source = 0) AS passed, CAST(CASE WHEN bool_and(missing_on_target = 0 AND missing_on_source = 0) THEN 0 ELSE 1 END AS BIGINT) AS exit_code FROM r
         UNION ALL SELECT 'itself', count(DISTINCT ns), TRUE, 0 FROM source_docs""",
     "deep_equal": f"WITH {_LEAVES} SELECT a.ns, count(*) AS compared, count(*) FILTER (a.l = b.l) AS equal FROM f a JOIN f b ON a.side = 's' AND b.side = 't' AND a.ns = b.ns AND a._id = b._id AND a.id_type = b.id_type GROUP BY a.ns",
-    "progress_counters": "SELECT ns, count(*) FILTER (op = 'r') AS snapshot_rows, count(*) FILTER (op IN ('c', 'u', 'd')) AS log_rows, max(ts_ms) AS last_ts_ms FROM transfer_events GROUP BY ns",
+    "progress_counters": f"""WITH {DDL}, d AS (SELECT database || '.' || collection AS ns, count(*) AS n FROM ddl WHERE collection IS NOT NULL GROUP BY 1),
+        e AS (SELECT ns, count(*) FILTER (op = 'r') AS snapshot_rows, count(*) FILTER (op IN ('c', 'u', 'd')) AS log_rows, max(ts_ms) AS last_ts_ms FROM transfer_events GROUP BY ns)
+        SELECT coalesce(e.ns, d.ns) AS ns, coalesce(snapshot_rows, 0) AS snapshot_rows, coalesce(log_rows, 0) AS log_rows, last_ts_ms, coalesce(n, 0) AS ddl_rows FROM e FULL JOIN d ON d.ns = e.ns""",
     "progress_percent": f"WITH {_CHILDREN} SELECT ns, CAST(CASE WHEN full_done THEN 100 ELSE least(greatest(done * 100 // total, 0), 100) END AS BIGINT) AS percent, CAST(greatest(total - done, 0) AS BIGINT) AS remaining FROM c",
     "lag_ms": f"SELECT ns, greatest({NOW_MS} - max(ts_ms), 0) AS lag_ms FROM transfer_events GROUP BY ns",
-    "commit_gate": "SELECT * FROM (VALUES (0, TRUE), (1, FALSE), (2, TRUE), (3, FALSE), (4, TRUE), (5, FALSE), (6, TRUE), (7, TRUE)) t(run, acceptable)",
-    "readiness": "SELECT * FROM (VALUES (0, 'READY'), (1, 'WAITING_FIRST_EVENT'), (2, 'READY'), (3, 'DRAINING'), (4, 'READY'), (5, 'LAGGING'), (6, 'WAITING_SNAPSHOT'), (7, 'NOT_RUNNING: ERROR')) t(run, readiness)",
+    "commit_gate": "SELECT * FROM (VALUES (0, TRUE), (1, FALSE), (2, TRUE), (3, FALSE), (4, TRUE), (5, FALSE), (6, TRUE), (7, TRUE), (8, FALSE), (9, TRUE), (10, TRUE)) t(run, acceptable)",
+    "readiness": "SELECT * FROM (VALUES (0, 'READY'), (1, 'WAITING_FIRST_EVENT'), (2, 'READY'), (3, 'DRAINING: 3'), (4, 'READY'), (5, 'LAGGING: 11000 ms of 10000'), (6, 'WAITING_SNAPSHOT'), (7, 'NOT_RUNNING: ERROR'), (8, 'NOT_STARTED'), (9, 'PAUSED'), (10, 'COMMITTING')) t(run, readiness)",
     "multi_progress": f"WITH {_CHILDREN} SELECT count(*) AS namespaces, CAST(sum(done) AS BIGINT) AS done, CAST(sum(total) AS BIGINT) AS total, min(started_ms) AS started_ms, max(last_ts_ms) AS last_ts_ms, bool_and(full_done) AS full_done FROM c",
     "multi_state": f"WITH {_CHILDREN} SELECT arg_min(state, CASE state WHEN 'RUNNING' THEN 4 WHEN 'CAN_COMMIT' THEN 5 ELSE 6 END) AS state FROM c",
     "multi_can_commit": "SELECT * FROM (VALUES ('every', TRUE), ('none', FALSE)) t(over, can_commit)",

@@ -1,12 +1,14 @@
-"""Queries on the user feed: keyed state, writes, routing, streaming-only operators in batch form. With their SQL."""
+"""Queries on the user feed: keyed state, writes, routing, and streams run to the end of what has landed. With their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.operators import fold, progress, routing
-from tidemark.session import read_table
+from tidemark.operators import fold, parse, progress, routing
+from tidemark.operators.mor_table import MorTable
+from tidemark.session import read_table, work_path
 from tidemark.sources import feeds
+from tidemark.streaming import apply, log_source
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,29 +164,56 @@ def catch_up_window(spark, sf_dir):
     return feed.where((F.col("seq") > last // 2) & (F.col("seq") <= last)).groupBy("op").agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def _landed(spark: SparkSession, sf_dir: str, files: int = 2) -> DataFrame:
+    """The events as a stream over files that have landed, one file a batch."""
+    events, path = read_table(spark, sf_dir, "events"), work_path(spark, "landed")
+    events.repartition(files).write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream_apply(spark, sf_dir):
-    """The batch form of the streaming upsert: two micro-batches, the second on the state of the first."""
-    feed = _feed(spark, sf_dir)
-    fields = ["event_type", "value", "k"]
-    first = fold.latest(feed.where("seq % 2 = 0"), fields).withColumn("op", F.lit("r"))
-    state = first.withColumn("phase", F.lit(1)).withColumn("seq", F.col("ts_i"))
-    # deletes of the first batch keep their place as tombstones
-    gone = feed.where("seq % 2 = 0").groupBy(*fold.KEY).agg(F.max_by(F.struct("op", *fields, "ts_t", "ts_i", "seq"), fold.position()).alias("l")).where("l.op = 'd'").select(*fold.KEY, "l.*").withColumn("phase", F.lit(1))
-    both = feed.where("seq % 2 = 1").select(*fold.KEY, "op", *fields, "phase", "ts_t", "ts_i", "seq").unionByName(state.select(*fold.KEY, "op", *fields, "phase", "ts_t", "ts_i", "seq")).unionByName(gone.select(*fold.KEY, "op", *fields, "phase", "ts_t", "ts_i", "seq"))
-    return fold.latest(both, fields)
+    """The upserting fold as a stream: micro-batches applied to a table as they come, then the table."""
+    table, kept = MorTable(spark, work_path(spark, "stream")), ["event_type", "value", "k", "ts_t", "ts_i"]
+    whole = feeds.user_feed(_landed(spark, sf_dir)).select("ns", "op", F.to_json(F.struct("_id")).alias("before_doc"), F.when(F.col("op") != "d", F.to_json(F.struct("_id", *kept))).alias("after_doc"), "phase", "ts_t", "ts_i")
+    apply.each_batch(whole, lambda batch, n, stream: table.apply(batch, n, stream), work_path(spark, "checkpoint")).awaitTermination()
+    text = lambda name: F.regexp_replace(F.col("fields")[name], '^"|"$', "")
+    return table.read().select("ns", F.col("doc_key").alias("_id"), text("event_type").alias("event_type"), text("value").cast("double").alias("value"), *(text(c).cast("bigint").alias(c) for c in ("k", "ts_t", "ts_i")))
 
 
 def stream_state(spark, sf_dir):
-    """Per key: how many events, and the last sequence, as the stateful stream keeps them."""
-    return _feed(spark, sf_dir).groupBy("_id").agg(F.count("*").alias("events"), F.max("seq").alias("last_seq"))
+    """Per key: how many events, and the last sequence, as a stateful stream keeps them over its batches."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", apply.ROCKSDB)
+    out = work_path(spark, "states")
+    updates = apply.keyed_state(_landed(spark, sf_dir), "user_id", "event_id")
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", work_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(updates.schema).parquet(out).groupBy(F.col("key").alias("_id")).agg(F.max("events").alias("events"), F.max("last_seq").alias("last_seq"))
+
+
+def message_tail(spark, sf_dir):
+    """Change-stream messages after a resume token, read as a stream, as events by operation."""
+    token = '{"_data": "826553f3b7000000012b0200add0b090a4c1a81b"}'
+    table, path, out = read_table(spark, sf_dir, "change_stream"), work_path(spark, "landed"), work_path(spark, "tail")
+    table.repartition(3).write.parquet(path)
+    rows = log_source.message_stream(spark, path, max_files=1, token=token)
+
+    def write(batch: DataFrame, n: int, stream: str) -> None:
+        parse.stream_events(batch, 0).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    apply.each_batch(rows, write, work_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out).groupBy("ns", "op").agg(F.count("*").alias("events"))
 
 
 def start_offset(spark, sf_dir):
-    """Where reading starts: the stored offset, else the position before the snapshot, else the latest."""
+    """Where reading starts: the stored offset, else the position that the first run took before its snapshot, else the latest."""
     journal = read_table(spark, sf_dir, "sync_runs").where("capture_mode = 'OPLOG'")
     stored = journal.where("run_state = 'COMMITTED'").groupBy("shard").agg(F.max_by("end_offset", F.struct("logged_at", "run_id")).alias("stored"))
+    first = journal.groupBy("shard").agg(F.min_by("start_offset", F.struct("logged_at", "run_id")).alias("before_snapshot"))
     bounds = feeds.log_bounds(read_table(spark, sf_dir, "oplog_entries"))
-    return bounds.join(stored, "shard", "left").select("shard", F.coalesce("stored", F.concat_ws(":", "last_t", "last_i")).alias("start"))
+    return bounds.join(stored, "shard", "left").join(first, "shard", "left").select("shard", F.coalesce("stored", "before_snapshot", F.concat_ws(":", "last_t", "last_i")).alias("start"))
 
 
 def offset_format(spark, sf_dir):
@@ -226,7 +255,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lww_upsert, delete_apply, patch_fold, strict_skip, strict_upsert, strict_fail_count, dup_keys, write_action, write_counts, batch_counts, landed_watermark, same_id_conflicts,
-        pre_image, before_choice, update_lookup, upsert_merge, snapshot_plus_incremental, route_bucket, route_unique, bucket_histogram, pow2, catch_up_window, stream_apply, stream_state,
+        pre_image, before_choice, update_lookup, upsert_merge, snapshot_plus_incremental, route_bucket, route_unique, bucket_histogram, pow2, catch_up_window, stream_apply, stream_state, message_tail,
         start_offset, offset_format, retry_delays, events_tumbling, events_session, id_intersect, id_except,
     )
 }
@@ -272,8 +301,13 @@ ORACLES = {
     "catch_up_window": f"WITH {E}, m AS (SELECT max(seq) AS last FROM e) SELECT op, count(*) AS events, min(seq) AS first_seq, max(seq) AS last_seq FROM e, m WHERE seq > last // 2 AND seq <= last GROUP BY op",
     "stream_state": f"WITH {E} SELECT _id, count(*) AS events, max(seq) AS last_seq FROM e GROUP BY _id",
     "start_offset": """WITH b AS (SELECT shard, max(ts) AS last FROM oplog_entries GROUP BY shard),
-        s AS (SELECT shard, arg_max(end_offset, (logged_at, run_id)) AS stored FROM sync_runs WHERE capture_mode = 'OPLOG' AND run_state = 'COMMITTED' GROUP BY shard)
-        SELECT shard, coalesce(stored, last.t || ':' || last.i) AS start FROM b LEFT JOIN s USING (shard)""",
+        s AS (SELECT shard, arg_max(end_offset, (logged_at, run_id)) AS stored FROM sync_runs WHERE capture_mode = 'OPLOG' AND run_state = 'COMMITTED' GROUP BY shard),
+        f AS (SELECT shard, arg_min(start_offset, (logged_at, run_id)) AS first FROM (SELECT * FROM sync_runs WHERE capture_mode = 'OPLOG' QUALIFY row_number() OVER (PARTITION BY shard ORDER BY logged_at, run_id) = 1) GROUP BY shard)
+        SELECT shard, coalesce(stored, f.first, last.t || ':' || last.i) AS start FROM b LEFT JOIN s USING (shard) LEFT JOIN f USING (shard)""",
+    "message_tail": """WITH p AS (SELECT *, coalesce(cluster_time.t * 4294967296 + cluster_time.i, CASE WHEN upper(hex) LIKE '82%' THEN CAST('0x' || substr(hex, 3, 8) AS BIGINT) * 4294967296 + CAST('0x' || substr(hex, 11, 8) AS BIGINT) END) AS pos
+          FROM (SELECT *, CASE WHEN _id LIKE '{%' THEN json_extract_string(_id, '$._data') ELSE _id END AS hex FROM change_stream))
+        SELECT ns, CASE operation_type WHEN 'insert' THEN 'c' WHEN 'delete' THEN 'd' ELSE 'u' END AS op, count(*) AS events FROM p
+        WHERE operation_type IN ('insert', 'update', 'replace', 'delete') AND pos > CAST('0x6553f3b7' AS BIGINT) * 4294967296 + 1 GROUP BY ALL""",
     "offset_format": "SELECT entry_id, ts.t || ':' || ts.i AS offset, ts.t AS t, ts.i AS i FROM oplog_entries",
     "retry_delays": "SELECT CAST(i AS BIGINT) AS attempt, CAST(1000 * power(2, i) AS BIGINT) AS delay_ms FROM range(10) r(i)",
     "events_tumbling": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",

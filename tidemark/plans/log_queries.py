@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import transit
 from tidemark.functions.positions import token_hex
 from tidemark.operators import ddl, namespace, parse, routing
+from tidemark.operators.mor_table import MorTable
+from tidemark.runtime.config import SyncConfig
+from tidemark.runtime.sync import Sync
 from tidemark.session import read_table, work_path
 from tidemark.sources import capability, feeds
 
@@ -45,9 +48,9 @@ def id_range_split(spark, sf_dir):
 
 
 def range_scan_counts(spark, sf_dir):
-    """How many ranges a parallel scan has, and their documents."""
-    ranges = feeds.id_ranges(read_table(spark, sf_dir, "source_docs"), 100)
-    return ranges.groupBy("ns").agg(F.count("*").alias("ranges"), F.sum("docs").alias("docs"))
+    """Documents that a parallel scan reads in each range."""
+    scanned = feeds.range_scan(read_table(spark, sf_dir, "source_docs"), 100)
+    return scanned.groupBy("ns", "id_type", "piece").agg(F.count("*").alias("docs"), F.sum(F.octet_length("doc")).alias("bytes"))
 
 
 def range_doc_count(spark, sf_dir):
@@ -347,13 +350,20 @@ def ddl_apply_catalog(spark, sf_dir):
     return spark.createDataFrame([(k, s) for k, s in enumerate(done)], "step int, statement string")
 
 
+def sync_with_ddl(spark, sf_dir):
+    """Documents of each namespace on the target after the log is applied, with its drops and renames in their place and without a balancer's writes."""
+    table = MorTable(spark, work_path(spark, "sync"))
+    Sync(spark, SyncConfig(), table).apply_batch(_oplog(spark, sf_dir))
+    return table.read().groupBy("ns").agg(F.count("*").alias("docs"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         snapshot_scan, snapshot_envelope, id_type_bounds, id_range_split, range_scan_counts, range_doc_count, range_filter, oplog_window, oplog_ns_filter, oplog_bounds, history_lost, cs_resume, cs_start_time, skip_migrate,
         user_pipeline_filter, ns_discover, topology_classify, version_gates, capture_resolve, capture_validate, oplog_kind, oplog_crud, strip_v, v1_index_normalize, diff_normalize, op_normalize,
         update_desc, event_time, cs_ddl, oplog_ddl, transit_types, ts_format, extract_id, token_digest, offset_path, progress_line, ns_system, ns_white, ns_black, rule_parse, ns_map, ns_invalidate,
-        is_patch, index_plan, index_specs, transit_documents, has_unique, unique_timeline, ddl_segments, drop_resets, rename_chain, ddl_apply_catalog,
+        is_patch, index_plan, index_specs, transit_documents, has_unique, unique_timeline, ddl_segments, drop_resets, rename_chain, ddl_apply_catalog, sync_with_ddl,
     )
 }
 
@@ -392,8 +402,8 @@ _MATRIX = """
         WHEN requested = 'CHANGE_STREAM' AND version = '3.4.24' THEN 'ERROR: ChangeStream needs 3.6'
         ELSE requested END AS resolved FROM q)"""
 _RANGES = """
-    n AS (SELECT ns, id_type, _id, (row_number() OVER (PARTITION BY ns, id_type ORDER BY _id) - 1) // 100 AS piece FROM source_docs),
-    b AS (SELECT ns, id_type, piece, min(_id) AS min_id, max(_id) AS max_id, count(*) AS docs FROM n GROUP BY ALL),
+    n AS (SELECT ns, id_type, _id, row_number() OVER (PARTITION BY ns, id_type ORDER BY CASE WHEN id_type IN (1, 16, 18, 19) THEN TRY_CAST(_id AS DECIMAL(38, 10)) END, _id) - 1 AS rn FROM source_docs),
+    b AS (SELECT ns, id_type, rn // 100 AS piece, arg_min(_id, rn) AS min_id, arg_max(_id, rn) AS max_id, count(*) AS docs FROM n GROUP BY ALL),
     ranges AS (SELECT ns, id_type, CAST(piece AS BIGINT) AS piece, min_id, coalesce(lead(min_id) OVER w, max_id) AS end_id, lead(min_id) OVER w IS NULL AS closed, docs FROM b WINDOW w AS (PARTITION BY ns, id_type ORDER BY piece))"""
 _HEX = "upper(CASE WHEN _id LIKE '{%' THEN json_extract_string(_id, '$._data') ELSE _id END)"
 #: Messages with their position, from the cluster time or the token.
@@ -402,9 +412,10 @@ _AT = f"p AS (SELECT operation_type, coalesce(cluster_time.t * 4294967296 + clus
 ORACLES = {
     "snapshot_scan": "SELECT 'shop.customer' AS ns, CAST(c_custkey AS VARCHAR) AS _id, 'r' AS op, c_name, c_acctbal FROM customer",
     "snapshot_envelope": f"SELECT ns, {_DB} AS source_db, {_COLL} AS source_collection, _id, 'r' AS op, doc AS after_doc, CAST({BATCH_MS} AS BIGINT) AS cluster_time_ms, CAST({BATCH_MS} AS BIGINT) AS ts_ms, 0 AS phase FROM source_docs",
-    "id_type_bounds": "SELECT ns, id_type, min(_id) AS min_id, max(_id) AS max_id, count(*) AS docs FROM source_docs GROUP BY ns, id_type",
+    "id_type_bounds": f"WITH {_RANGES} SELECT ns, id_type, arg_min(_id, rn) AS min_id, arg_max(_id, rn) AS max_id, count(*) AS docs FROM n GROUP BY ns, id_type",
     "id_range_split": f"WITH {_RANGES} SELECT * FROM ranges",
-    "range_scan_counts": f"WITH {_RANGES} SELECT ns, count(*) AS ranges, CAST(sum(docs) AS BIGINT) AS docs FROM ranges GROUP BY ns",
+    "range_scan_counts": """WITH n AS (SELECT ns, id_type, doc, row_number() OVER (PARTITION BY ns, id_type ORDER BY CASE WHEN id_type IN (1, 16, 18, 19) THEN TRY_CAST(_id AS DECIMAL(38, 10)) END, _id) - 1 AS rn FROM source_docs)
+        SELECT ns, id_type, CAST(rn // 100 AS BIGINT) AS piece, count(*) AS docs, CAST(sum(strlen(doc)) AS BIGINT) AS bytes FROM n GROUP BY ALL""",
     "range_doc_count": "SELECT ns, least(greatest(CAST(round(33554432.0 / avg(strlen(doc))) AS BIGINT), 1024), 1024000) AS range_docs FROM source_docs GROUP BY ns",
     "range_filter": "SELECT count(*) FILTER (id_type = 16 AND _id >= '100000' AND _id < '100500') AS half_open, count(*) FILTER (id_type = 16 AND _id >= '100000' AND _id <= '100500') AS closed, count(*) AS every FROM source_docs",
     "oplog_window": "SELECT entry_id, shard, ts.t AS ts_t, ts.i AS ts_i FROM oplog_entries WHERE (ts.t > 1700000100 OR (ts.t = 1700000100 AND ts.i > 1)) AND (ts.t < 1700000900 OR (ts.t = 1700000900 AND ts.i <= 2))",
@@ -480,5 +491,12 @@ ORACLES = {
         SELECT c.ns, count(*) AS events FROM crud c WHERE NOT EXISTS (SELECT 1 FROM g WHERE ((g.collection IS NULL AND g.database = split_part(c.ns, '.', 1)) OR g.database || '.' || g.collection = c.ns) AND (c.ts.t, c.ts.i) <= g.at) GROUP BY c.ns""",
     "ddl_apply_catalog": f"""WITH {DDL}, once AS (SELECT database, collection, min(ts_t) AS t, min(ts_i) AS i FROM ddl WHERE ddl_type = 'CREATE_COLLECTION' GROUP BY ALL)
         SELECT CAST(row_number() OVER (ORDER BY t, i, database, collection) - 1 AS INTEGER) AS step, 'CREATE TABLE IF NOT EXISTS `' || database || '`.`' || collection || '` (_id STRING, doc STRING) USING parquet' AS statement FROM once""",
+    "sync_with_ddl": f"""WITH {_DIFF}, {DDL}, {CRUD},
+        own AS (SELECT entry_id, ns, op, (ts.t, ts.i) AS pos, CAST(CASE WHEN op = 'u' THEN json_extract_string(o2, '$._id') ELSE json_extract_string(o, '$._id') END AS VARCHAR) AS k FROM crud
+          WHERE NOT coalesce(from_migrate, FALSE) AND lower(split_part(ns, '.', 1)) NOT IN ('admin', 'local', 'config')
+            AND (op <> 'u' OR entry_id IN (SELECT entry_id FROM ops) OR (o NOT LIKE '%"diff"%' AND (len(list_filter(json_keys(o), lambda x: x LIKE '$%' AND x <> '$v')) = 0 OR len(json_keys(o, '$."$set"')) > 0 OR len(json_keys(o, '$."$unset"')) > 0)))),
+        ends AS (SELECT database || '.' || collection AS ns, (ts_t, ts_i) AS pos FROM ddl WHERE ddl_type IN ('DROP_COLLECTION', 'RENAME_COLLECTION')),
+        last AS (SELECT ns, k, arg_max(op, pos) AS op, max(pos) AS pos FROM own WHERE k IS NOT NULL GROUP BY ns, k)
+        SELECT ns, count(*) AS docs FROM last l WHERE op <> 'd' AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.ns = l.ns AND e.pos >= l.pos) GROUP BY ns""",
     "rename_chain": "SELECT 'db.c' || c_custkey AS source, 'db.c' || ((c_custkey // 5 + 1) * 5) AS final FROM customer WHERE c_custkey % 5 <> 0",
 }

@@ -24,6 +24,17 @@ class MigrationError(Exception):
         self.code = code
 
 
+#: Keys of other engines' configurations that have no counterpart here, and what does their work. They are accepted, and
+#: kept in ``SyncConfig.unused``.
+NO_COUNTERPART = {
+    "buckets": "Spark's shuffle partitions",
+    "batch_size": "files or bytes of a trigger, given to the stream",
+    "range_mb": "spark.sql.files.maxPartitionBytes",
+    "queue_capacity": "what lands waits in the folder",
+    "writer_threads": "executor cores",
+}
+
+
 @dataclass
 class SyncConfig:
     source_path: str = ""
@@ -35,12 +46,11 @@ class SyncConfig:
     white: list[str] = field(default_factory=list)
     black: list[str] = field(default_factory=list)
     transform: dict[str, str] = field(default_factory=dict)
-    buckets: int = 16
-    batch_size: int = 1000
-    range_mb: int = 32
     commit_max_lag_ms: int = 10_000
     verify_samples: int = 50
     ignore_fields: list[str] = field(default_factory=list)
+    dead_letters: str = ""
+    unused: dict[str, str] = field(default_factory=dict)
 
     def validate(self) -> SyncConfig:
         if self.white and self.black:
@@ -48,8 +58,8 @@ class SyncConfig:
         for name, allowed in (("mode", ("FULL", "INCREMENTAL", "FULL_AND_INCREMENTAL")), ("capture_mode", ("AUTO", "OPLOG", "CHANGE_STREAM")), ("write_mode", ("UPSERT", "STRICT")), ("on_conflict", ("FAIL", "SKIP", "UPSERT"))):
             if getattr(self, name) not in allowed:
                 raise MigrationError(ErrorCode.CONFIG, f"{name} must be one of {', '.join(allowed)}")
-        if min(self.buckets, self.batch_size, self.range_mb) < 1:
-            raise MigrationError(ErrorCode.CONFIG, "buckets, batch_size and range_mb must be positive")
+        if min(self.commit_max_lag_ms, self.verify_samples) < 1:
+            raise MigrationError(ErrorCode.CONFIG, "commit_max_lag_ms and verify_samples must be positive")
         return self
 
 
@@ -67,10 +77,13 @@ def parse_properties(text: str) -> dict[str, str]:
 def load(text: str = "", arguments: list[str] = ()) -> SyncConfig:
     """A configuration from properties text, then ``--key=value`` arguments over it; dots and dashes in keys are underscores."""
     pairs = parse_properties(text) | dict(a[2:].split("=", 1) for a in arguments if a.startswith("--") and "=" in a)
-    known = {f.name: f for f in fields(SyncConfig)}
-    values = {}
+    known = {f.name: f for f in fields(SyncConfig) if f.name != "unused"}
+    values = {"unused": {}}
     for key, value in pairs.items():
         name = key.replace(".", "_").replace("-", "_")
+        if name in NO_COUNTERPART:
+            values["unused"][name] = NO_COUNTERPART[name]
+            continue
         if name not in known:
             raise MigrationError(ErrorCode.CONFIG, f"unknown key {key}")
         kind = str(known[name].type)

@@ -25,6 +25,19 @@ TRANSITIONS = {
 }
 
 
+#: A word for people on each state.
+PHASES = {
+    "IDLE": "not started",
+    "RUNNING": "catching up",
+    "PAUSED": "paused",
+    "CAN_COMMIT": "ready for the cutover",
+    "COMMITTING": "committing",
+    "COMMITTED": "committed",
+    "STOPPED": "stopped",
+    "ERROR": "failed",
+}
+
+
 class Migration:
     """Drives a stream through pause, resume and cutover. ``start`` gives a running StreamingQuery, from its checkpoint if there is one."""
 
@@ -85,7 +98,7 @@ class Migration:
 
     def progress(self) -> dict:
         last = self._query.lastProgress if self._query is not None else None
-        return {"state": self.state, "canCommit": self.can_commit(), "error": self.error, "batch": last["batchId"] if last else None, "rows": last["numInputRows"] if last else None}
+        return {"state": self.state, "phase": PHASES[self.state], "canCommit": self.can_commit(), "error": self.error, "batch": last["batchId"] if last else None, "rows": last["numInputRows"] if last else None}
 
 
 def each(migrations: dict[str, Migration], action: str) -> dict[str, str]:
@@ -138,19 +151,25 @@ def serve(migration: Migration, port: int = 0, host: str = "127.0.0.1") -> Threa
 
 
 class Writer:
-    """Single writes and lists of them as batches of a table; for tests and small tools, not for volume."""
+    """Single writes and lists of them as batches of a table; for tests and small tools, not for volume.
+
+    Its clock goes on from the largest position in the table, whoever wrote it, so its writes are the newest.
+    """
 
     def __init__(self, spark: SparkSession, table: MorTable):
-        self._spark, self._table, self._clock = spark, table, 0
+        self._spark, self._table, self._clock, self._version = spark, table, 0, -1
 
     def write(self, ns: str, events: list[tuple[str, dict | None, dict | None]]) -> int:
         """Apply (op, before, after) in order; returns how many."""
         rows = []
+        if self._table._manifest()["version"] != self._version:
+            self._clock = max(self._clock, self._table.clock())
         for op, before, after in events:
             self._clock += 1
             rows.append((ns, op, json.dumps(before) if before is not None else None, json.dumps(after) if after is not None else None, 1, self._clock, 1))
         if rows:
             self._table.apply(self._spark.createDataFrame(rows, "ns string, op string, before_doc string, after_doc string, phase int, ts_t bigint, ts_i bigint"))
+            self._version = self._table._manifest()["version"]
         return len(rows)
 
     def insert(self, ns: str, doc: dict) -> int:

@@ -53,9 +53,18 @@ def snapshot_events(docs: DataFrame, batch_ms: int) -> DataFrame:
     )
 
 
+#: Type numbers of ids that are ordered as numbers (double, int, long, decimal); others are ordered as text.
+NUMERIC_IDS = (1, 16, 18, 19)
+
+
+def id_order() -> Column:
+    """What ids of one type are ordered by."""
+    return F.struct(F.when(F.col("id_type").isin(*NUMERIC_IDS), F.col("_id").try_cast("decimal(38,10)")).alias("number"), F.col("_id").alias("text"))
+
+
 def id_type_bounds(docs: DataFrame) -> DataFrame:
-    """Least and greatest id, and count, of each id type of each namespace."""
-    return docs.groupBy("ns", "id_type").agg(F.min("_id").alias("min_id"), F.max("_id").alias("max_id"), F.count("*").alias("docs"))
+    """Least and greatest id, in the order of its type, and count, of each id type of each namespace."""
+    return docs.groupBy("ns", "id_type").agg(F.min(id_order()).getField("text").alias("min_id"), F.max(id_order()).getField("text").alias("max_id"), F.count("*").alias("docs"))
 
 
 #: Bounds and defaults of the number of documents in a range.
@@ -89,6 +98,12 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "rn"
     return joined.select("a.*", (F.col("a._at") - F.col("b._first") + F.col("b._before") + 1).alias(name)).drop("_at", "_part")
 
 
+def range_scan(docs: DataFrame, range_size: int) -> DataFrame:
+    """Documents with the number of their id range (``piece``) of ``range_size`` documents; each range lies in one partition or in neighbouring ones."""
+    rows = numbered(docs.withColumn("_order", id_order()), ["ns", "id_type"], ["_order"])
+    return rows.withColumn("piece", F.floor((F.col("rn") - 1) / range_size)).drop("rn")
+
+
 def id_ranges(docs: DataFrame, range_size: int) -> DataFrame:
     """Half-open id ranges of ``range_size`` documents of each namespace and id type; the last one is closed.
 
@@ -96,21 +111,23 @@ def id_ranges(docs: DataFrame, range_size: int) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    pieces = numbered(docs.select("ns", "id_type", "_id"), ["ns", "id_type"], ["_id"]).withColumn("piece", F.floor((F.col("rn") - 1) / range_size))
-    bounds = pieces.groupBy("ns", "id_type", "piece").agg(F.min("_id").alias("min_id"), F.max("_id").alias("max_id"), F.count("*").alias("docs"))
+    pieces = range_scan(docs.select("ns", "id_type", "_id"), range_size)
+    bounds = pieces.groupBy("ns", "id_type", "piece").agg(F.min("_order").getField("text").alias("min_id"), F.max("_order").getField("text").alias("max_id"), F.count("*").alias("docs"))
     after = F.lead("min_id").over(Window.partitionBy("ns", "id_type").orderBy("piece"))
     return bounds.withColumn("next_id", after).select("ns", "id_type", "piece", "min_id", F.coalesce("next_id", "max_id").alias("end_id"), F.col("next_id").isNull().alias("closed"), "docs")
 
 
 def range_predicate(min_id: str | None = None, end_id: str | None = None, closed: bool = False, id_type: int | None = None) -> Column:
-    """The rows of an id range; with no bound at all, every row."""
-    out = F.lit(True)
+    """The rows of an id range, in the order of the ids' type; with no bound at all, every row."""
+    out, number = F.lit(True), id_type in NUMERIC_IDS
+    own = F.col("_id").try_cast("decimal(38,10)") if number else F.col("_id")
+    bound = lambda x: F.lit(x).cast("decimal(38,10)") if number else F.lit(x)
     if id_type is not None:
         out = out & (F.col("id_type") == id_type)
     if min_id is not None:
-        out = out & (F.col("_id") >= min_id)
+        out = out & (own >= bound(min_id))
     if end_id is not None:
-        out = out & ((F.col("_id") <= end_id) if closed else (F.col("_id") < end_id))
+        out = out & ((own <= bound(end_id)) if closed else (own < bound(end_id)))
     return out
 
 

@@ -1,106 +1,51 @@
-"""A streaming source over a folder of captured log files, in Parquet or JSON lines.
+"""Streams over folders of captured files: log entries and change-stream messages, in Parquet or JSON lines.
 
-The offset is the name of the last file read; file names sort by capture order. Each file is one input partition. A
-trigger of all that is available reads up to the newest file when it starts, then stops; a later run goes on after it.
-The files must lie in a folder that all executors reach.
+Spark's own file source does the reading, so any file system that the cluster reaches will do. Its checkpoint holds the
+files that were read, not the last name, so a file that lands late under an earlier name is read by the next batch. How
+much a batch takes is bounded by files or bytes: what lands faster than it is applied waits in the folder.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
+from tidemark.operators.parse import stream_op
+from tidemark.sources.feeds import log_window, stream_after
 
-SCHEMA = "entry_id bigint, shard string, ts_t bigint, ts_i bigint, op string, ns string, o string, o2 string"
+ENTRIES = "entry_id bigint, shard string, ts struct<t:bigint,i:bigint>, v int, op string, ns string, o string, o2 string, wall timestamp_ntz, from_migrate boolean, landed_at timestamp_ntz"
+MESSAGES = (
+    "delivery_id bigint, shard string, batch_no int, _id string, operation_type string, ns string, document_key string, full_document string, updated_fields string, removed_fields array<string>, "
+    "cluster_time struct<t:bigint,i:bigint>, wall_time timestamp_ntz, landed_at timestamp_ntz"
+)
 
 
-def _files(folder: str, after: str, until: str) -> list[str]:
-    names = sorted(n for n in os.listdir(folder) if n.endswith((".parquet", ".jsonl")) and not n.startswith((".", "_")))
-    return [n for n in names if n > after and (not until or n <= until)]
+def _stream(spark: SparkSession, folder: str, schema: str, kind: str, max_files: int | None, max_bytes: str | None, pattern: str | None) -> DataFrame:
+    # a late file may be of any age
+    reader = spark.readStream.schema(schema).option("maxFileAge", "36500d")
+    for name, value in (("maxFilesPerTrigger", max_files), ("maxBytesPerTrigger", max_bytes), ("pathGlobFilter", pattern)):
+        if value is not None:
+            reader = reader.option(name, value)
+    return reader.format(kind).load(folder)
 
 
-class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def log_stream(spark: SparkSession, folder: str, kind: str = "parquet", max_files: int | None = None, max_bytes: str | None = None, after: tuple[int, int] | None = None, pattern: str | None = None) -> DataFrame:
+    """Log entries as files land; with ``after``, those after a position. ``kind`` is parquet or json."""
+    rows = _stream(spark, folder, ENTRIES, kind, max_files, max_bytes, pattern)
+    return rows if after is None else log_window(rows, after, (1 << 62, 0))
 
 
-def _rows(path: str, names: list[str], start: tuple | None = None, end: tuple | None = None) -> Iterator[tuple]:
-    def lines():
-        if path.endswith(".jsonl"):
-            with open(path, encoding="utf-8") as f:
-                yield from (json.loads(x) for x in f if x.strip())
-        else:
-            import pyarrow.parquet as pq
+def message_stream(spark: SparkSession, folder: str, kind: str = "parquet", max_files: int | None = None, max_bytes: str | None = None, token: str | None = None, operation_time: tuple[int, int] | None = None, where: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Change-stream messages as files land: after a resume token, else from an operation time, else all; ``where`` is a user's predicate.
 
-            for batch in pq.ParquetFile(path).iter_batches():
-                yield from batch.to_pylist()
+    Messages that change the schema are part of it; an invalidate ends a change stream, so what it says comes as a DDL
+    before it and it is left out.
+    """
+    rows = _stream(spark, folder, MESSAGES, kind, max_files, max_bytes, pattern).where(F.lower("operation_type") != "invalidate")
+    if token is not None or operation_time is not None:
+        rows = stream_after(rows, token, operation_time)
+    return rows if where is None else rows.where(stream_op().isNull() | F.expr(where))
 
-    for row in lines():
-        if isinstance(at := row.get("ts"), dict):
-            row = row | {"ts_t": at.get("t"), "ts_i": at.get("i")}
-        place = (row.get("ts_t"), row.get("ts_i"))
-        if None not in place and ((start and place <= start) or (end and place > end)):
-            continue
-        yield tuple(row.get(n) for n in names)
 
-
-class _Stream(DataSourceStreamReader):
-    def __init__(self, schema: StructType, options: dict):
-        self.names, self.folder = schema.names, options["path"]
-        self.start = options.get("startafter", "")
-
-    def initialOffset(self) -> dict:
-        return {"file": self.start}
-
-    def latestOffset(self) -> dict:
-        files = _files(self.folder, self.start, "")
-        return {"file": files[-1] if files else self.start}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [FilePartition(os.path.join(self.folder, n)) for n in _files(self.folder, start["file"], end["file"])] if end["file"] > start["file"] else []
-
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        yield from _rows(partition.path, self.names)
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
-class _Batch(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict):
-        self.names, self.folder = schema.names, options["path"]
-        place = lambda text: tuple(map(int, text.split(":"))) if text else None
-        self.start, self.end = place(options.get("after")), place(options.get("until"))
-
-    def partitions(self) -> list[InputPartition]:
-        return [FilePartition(os.path.join(self.folder, n)) for n in _files(self.folder, "", "")]
-
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        yield from _rows(partition.path, self.names, self.start, self.end)
-
-
-class LogSource(DataSource):
-    """``spark.readStream.format("tidemark_log").option("path", folder)``; in batch, options after and until (``t:i``) bound the window (after, until]."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tidemark_log"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Batch(schema, self.options)
-
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return _Stream(schema, self.options)
-
-
-def register(spark) -> None:
-    from tidemark.session import ship
-
-    ship(spark)
-    spark.dataSource.register(LogSource)
+def start_position(stored: str | None, before_snapshot: str | None, latest: str | None) -> str | None:
+    """Where to begin: the stored position, else the one taken before the snapshot was read, else the latest."""
+    return stored or before_snapshot or latest
