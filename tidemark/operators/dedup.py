@@ -31,9 +31,7 @@ from tidemark.store import Store, Versions
 MOST_SEGMENTS = 8
 _DICTIONARY = "kind string, id string, low bigint, part int, idx bigint"
 _BITS = "block bigint, bits binary"
-_LINKS = "a bigint, b bigint"
-_MEMBERS = "code bigint, message bigint"
-_COPIES = "delivery_id bigint, message bigint"
+_PLACED = "delivery_id bigint, message bigint, admitted boolean, old bigint, other bigint"
 
 
 def message_identifiers(changes: DataFrame, *keep: str) -> DataFrame:
@@ -80,7 +78,7 @@ class SeenMessages:
 
     def _manifest(self) -> dict:
         """``dictionary`` entries are [folder, code of the first row of each of its parts, rows]."""
-        return self._versions.newest() or {"version": 0, "codes": 0, "dictionary": [], "bits": [], "members": [], "links": [], "out": [], "copies": []}
+        return self._versions.newest() or {"version": 0, "codes": 0, "dictionary": [], "bits": [], "placed": [], "out": []}
 
     def _commit(self, manifest: dict) -> None:
         manifest["version"] += 1
@@ -105,18 +103,19 @@ class SeenMessages:
         return out
 
     def _encode(self, names: DataFrame, manifest: dict, stamp: str) -> tuple[DataFrame, DataFrame | None]:
-        """Code a batch's identifiers: (new or known ones with low, n, code), (known ones with code, seen, message).
+        """Code a batch's identifiers: (new ones with low, high, n, code), (known ones with low, high, n, code, seen, message).
 
-        The new ones go to the dictionary, which is put at once.
+        low and high are the smallest and the largest of the n deliveries of the batch that bear it. The new ones go to
+        the dictionary, which is put at once.
         """
         numbered = lambda df: df.withColumn("_m", F.monotonically_increasing_id()).withColumn("part", F.shiftright("_m", 33).cast("int")).withColumn("idx", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
-        counted = names.groupBy("kind", "id").agg(F.min("delivery_id").alias("low"), F.count("*").alias("n"))
+        counted = names.groupBy("kind", "id").agg(F.min("delivery_id").alias("low"), F.max("delivery_id").alias("high"), F.count("*").alias("n"))
         known = None
         if not manifest["dictionary"]:
             segment = self._write(numbered(counted), f"dictionary-{stamp}")
         else:
             batch = materialise(counted, "identifiers")
-            hits = self.dictionary(manifest["dictionary"]).join(batch.select("kind", "id", F.col("low").alias("here"), "n"), ["kind", "id"])
+            hits = self.dictionary(manifest["dictionary"]).withColumnRenamed("low", "first").join(batch, ["kind", "id"])
             known = materialise(self._with_bits(hits, manifest), "known")
             segment = self._write(numbered(batch.join(known, ["kind", "id"], "left_anti")), f"dictionary-{stamp}")
         sizes = {r["part"]: r["n"] for r in self._read(_DICTIONARY, [segment]).groupBy("part").agg(F.max("idx").alias("n")).collect()}  # one row per task
@@ -128,9 +127,9 @@ class SeenMessages:
             manifest["dictionary"].append([segment, firsts, at - manifest["codes"]])
         manifest["codes"] = at
         self._commit(manifest)
-        fresh = self._read(_DICTIONARY + ", n bigint", [segment])
+        fresh = self._read(_DICTIONARY + ", high bigint, n bigint", [segment])
         code = F.element_at(F.array(*(F.lit(n).cast("bigint") for n in firsts)), F.col("part") + 1) + F.col("idx") if firsts else F.lit(0).cast("bigint")
-        return fresh.select("kind", "id", "low", "n", code.alias("code")), known
+        return fresh.select("kind", "id", "low", "high", "n", code.alias("code")), known
 
     def _with_bits(self, hits: DataFrame, manifest: dict) -> DataFrame:
         """Add ``seen``, from the bitmaps, and ``message``, the delivery that was admitted for it."""
@@ -141,47 +140,52 @@ class SeenMessages:
             hits = hits.withColumn("seen", F.coalesce(F.expr("getbit(_byte, cast(bitmap_bit_position(code + 1) % 8 as int))") == 1, F.lit(False))).drop("block", "bits", "_byte")
         else:
             hits = hits.withColumn("seen", F.lit(False))
-        members = self._read(_MEMBERS, manifest["members"]).groupBy("code").agg(F.min("message").alias("message"))
-        return hits.join(members, "code", "left").select("kind", "id", "here", "n", "code", "seen", F.coalesce("message", "low").alias("message"))
+        # the dictionary names the first delivery that bore it; where that was a copy, its message is another one's
+        moved = self._read(_PLACED, manifest["placed"]).where("not admitted").select(F.col("delivery_id").alias("first"), "message")
+        return hits.join(moved, "first", "left").select("kind", "id", "low", "high", "n", "code", "seen", F.coalesce("message", "first").alias("message"))
+
+    def _linked(self, names: DataFrame, fresh: DataFrame, known: DataFrame | None) -> DataFrame:
+        """(delivery_id, low, high, old, other) of the deliveries that share an identifier with another one, here or before.
+
+        low and high are the least and the largest of the deliveries that come first for one of its identifiers, old and
+        other of the messages seen before. An identifier with one or two deliveries names them itself; only for those
+        with more, which are few, the deliveries are looked up.
+        """
+        ids = fresh.where("n > 1").select("kind", "id", "low", "high", "n", F.lit(None).cast("bigint").alias("message"))
+        if known is not None:
+            ids = ids.unionByName(known.where("n > 1 or seen").select("kind", "id", "low", "high", "n", F.when(F.col("seen"), F.col("message")).alias("message")))
+        borne = ids.where("n <= 2").select(F.explode(F.array_distinct(F.array("low", "high"))).alias("delivery_id"), "low", "message")
+        many = materialise(ids.where("n > 2").select("kind", "id", "low", "message"), "many")
+        if many.count():
+            borne = borne.unionByName(names.join(many, ["kind", "id"]).select("delivery_id", "low", "message"))
+        return borne.groupBy("delivery_id").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.min("message").alias("old"), F.max("message").alias("other"))
 
     def admit(self, deliveries: DataFrame) -> DataFrame:
         """Admit a batch of (delivery_id, id_a, id_b); returns (delivery_id, message, admitted) of every delivery in it.
 
-        ``message`` is the delivery that was admitted for the same message. ``deliveries`` is read three times, so it
-        should be a written table. Identifiers that one delivery alone bears, nearly all, are only counted and coded.
+        ``message`` is the delivery that was admitted for the same message. ``deliveries`` is read several times, so it
+        should be a written table. Identifiers are shuffled once, to be counted; after that mostly integers move.
         """
         manifest, stamp = self._manifest(), uuid.uuid4().hex[:12]
         both = F.array(F.struct(F.lit("a").alias("kind"), F.col("id_a").alias("id")), F.struct(F.lit("b").alias("kind"), F.col("id_b").alias("id")))
         every = deliveries.where("delivery_id is not null")
         names = every.select("delivery_id", F.explode(both).alias("x")).select("delivery_id", "x.*").where("id is not null")
         fresh, known = self._encode(names, manifest, stamp)
-        bear = fresh.where("n > 1").select("kind", "id", "low", F.lit(False).alias("seen"), F.lit(None).cast("bigint").alias("message"))
-        if known is not None:
-            old = F.when(F.col("seen"), F.col("message"))
-            bear = bear.unionByName(known.select("kind", "id", F.col("here").alias("low"), "seen", old.alias("message")))
-        linked = names.join(bear, ["kind", "id"]).groupBy("delivery_id").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.min("message").alias("old"), F.max("message").alias("other"))
-        linked = materialise(linked, "linked")
+        linked = materialise(self._linked(names, fresh, known), "linked")
         roots = least_codes(linked.where("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b")))
         grouped = linked.join(roots, linked["low"] == roots["code"], "left").select("delivery_id", F.coalesce("root", "low").alias("root"), "old", "other")
-        grouped = materialise(grouped, "grouped")
         groups = grouped.groupBy("root").agg(F.min("delivery_id").alias("first"), F.min("old").alias("was"))
-        placed = grouped.join(groups, "root").select("delivery_id", "old", "other", F.coalesce("was", "first").alias("message"), (F.col("was").isNull() & (F.col("delivery_id") == F.col("first"))).alias("admitted"))
-        placed = materialise(placed, "placed")
-        copies = self._write(placed.where("not admitted").select("delivery_id", "message"), f"copies-{stamp}")
-        held_back = self._read(_COPIES, [copies])
+        placed = grouped.join(groups, "root").select("delivery_id", F.coalesce("was", "first").alias("message"), (F.col("was").isNull() & (F.col("delivery_id") == F.col("first"))).alias("admitted"), "old", "other")
+        folder = self._write(placed, f"placed-{stamp}")
+        held_back = self._read(_PLACED, [folder]).where("not admitted").select("delivery_id", "message")
         out = self._write(every.select("delivery_id").distinct().join(held_back.select("delivery_id"), "delivery_id", "left_anti"), f"out-{stamp}")
-        # the codes of identifiers whose message isn't the delivery that the dictionary names
-        moved = fresh.select("code", "low").join(held_back.select(F.col("delivery_id").alias("low"), "message"), "low").select("code", "message")
-        members = self._write(moved, f"members-{stamp}")
-        late = F.array(F.struct(F.col("old").alias("a"), F.col("message").alias("b")), F.struct(F.col("other").alias("a"), F.col("message").alias("b")))
-        links = self._write(placed.where("old is not null").select(F.explode(late).alias("e")).select("e.*").where("a <> b").distinct(), f"links-{stamp}")
         codes = fresh.select("code") if known is None else fresh.select("code").unionByName(known.where("not seen").select("code"))
         bits = codes.groupBy(F.expr("bitmap_bucket_number(code + 1)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(code + 1))").alias("bits"))
-        for kind, folder in (("bits", self._write(bits, f"bits-{stamp}")), ("members", members), ("links", links), ("out", out), ("copies", copies)):
-            manifest[kind].append(folder)
+        for kind, name in (("bits", self._write(bits, f"bits-{stamp}")), ("placed", folder), ("out", out)):
+            manifest[kind].append(name)
         self._tidy(manifest)
         self._commit(manifest)
-        done = held_back.select("delivery_id", "message", F.lit(False).alias("admitted"))
+        done = held_back.withColumn("admitted", F.lit(False))
         return every.select("delivery_id").distinct().join(done, "delivery_id", "left").select("delivery_id", F.coalesce("message", "delivery_id").alias("message"), F.coalesce("admitted", F.lit(True)).alias("admitted"))
 
     def _tidy(self, manifest: dict) -> None:
@@ -204,10 +208,11 @@ class SeenMessages:
 
     def copies(self) -> DataFrame:
         """(delivery_id) of all deliveries that are copies, with the links found late settled: all but the smallest of each message."""
-        manifest = self._manifest()
-        rows, links = self._read(_COPIES, manifest["copies"]), self._read(_LINKS, manifest["links"])
-        roots = least_codes(links)
-        every = rows.unionByName(rows.select(F.col("message").alias("delivery_id"), "message")).unionByName(roots.select(F.col("code").alias("delivery_id"), F.col("code").alias("message"))).unionByName(roots.select(F.col("root").alias("delivery_id"), F.col("root").alias("message")))
+        rows = self._read(_PLACED, self._manifest()["placed"])
+        late = F.array(F.struct(F.col("old").alias("a"), F.col("message").alias("b")), F.struct(F.col("other").alias("a"), F.col("message").alias("b")))
+        roots = least_codes(rows.where("old is not null").select(F.explode(late).alias("e")).select("e.*"))
+        held = rows.where("not admitted").select("delivery_id", "message")
+        every = held.unionByName(held.select(F.col("message").alias("delivery_id"), "message")).unionByName(roots.select(F.col("code").alias("delivery_id"), F.col("code").alias("message"))).unionByName(roots.select(F.col("root").alias("delivery_id"), F.col("root").alias("message")))
         named = every.distinct().join(roots, every["message"] == roots["code"], "left").select("delivery_id", F.coalesce("root", "message").alias("message"))
         named = materialise(named, "settled")
         least = named.groupBy("message").agg(F.min("delivery_id").alias("least"))
