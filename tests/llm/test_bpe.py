@@ -44,6 +44,7 @@ def test_long_pre_tokens(vocabulary, reference):
     texts = ["a" * 200_000, "ab" * 50_000, " " * 9_000 + "x", "中" * 20_000, "\n \n" * 500, "x" * 33 + " ", "abcdefghij" * 3_000]
     got = lists(*bpe.Encoder(vocabulary).encode(texts))
     assert all(b"".join(reference.decode_single_token_bytes(i) for i in ids) == t.encode() for ids, t in zip(got, texts))
+    assert [got[k] for k in (0, 1)] == [vocabulary.encode_one(t.encode()) for t in texts[:2]]
     assert got[3:] == [reference.encode_ordinary(t) for t in texts[3:]] and got[2] == reference.encode_ordinary(texts[2])
 
 
@@ -100,3 +101,8 @@ def test_unusual_tables(spark, reference):
     assert got[0] == (0, reference.encode_ordinary("a")) and got[1] == (1, []) and got[2] == got[3] == (2, [])
     assert b"".join(reference.decode_single_token_bytes(i) for i in got[4][1]) == b"b" * 70_000 + b" end"
     assert bpe.encode_documents(rows.limit(0)).count() == 0
+
+
+def test_vocabulary_through_a_file_system(spark, tmp_path):
+    (tmp_path / "v").write_bytes(b"YQ== 0\n" * 3)
+    assert bpe.read_ranks(spark, f"file://{tmp_path}/v") == bpe.read_ranks(spark, f"{tmp_path}/v") == b"YQ== 0\n" * 3

@@ -21,14 +21,13 @@ import base64
 import heapq
 import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import ship
 
@@ -383,12 +382,25 @@ def encoder_for(ranks: bytes) -> Encoder:
 STEP = 1024
 
 
+def read_ranks(spark: SparkSession, path: str) -> bytes:
+    """A vocabulary file: a path with a scheme is read through the cluster's file systems, any other from the driver's disk."""
+    if "://" not in path:
+        with open(path, "rb") as f:
+            return f.read()
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def encode_documents(documents: DataFrame, ranks_path: str = DEFAULT_RANKS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): the token ids of each text. The vocabulary file (some MB, whatever the corpus) is read here and broadcast."""
     spark = documents.sparkSession
     ship(spark)
-    with open(ranks_path, "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())
+    ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(ranks.value)
@@ -407,8 +419,7 @@ def count_tokens(documents: DataFrame, keep: list[str], ranks_path: str = DEFAUL
     """The columns ``keep`` and ``tokens``, the number of token ids of each text."""
     spark = documents.sparkSession
     ship(spark)
-    with open(ranks_path, "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())
+    ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(ranks.value)
