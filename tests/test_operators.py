@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import ddl, fold, namespace, parse, routing, verify
+from tidemark.operators import ddl, fold, namespace, parse, routing, structure, verify
 from tidemark.operators.mor_table import State, apply_change, flatten
 from tidemark.operators.parse import diff_operators, normalise_update
 from tidemark.sources import capability, feeds
@@ -220,3 +220,26 @@ def test_namespaces_that_end(spark):
     rows = spark.createDataFrame([(1, "DROP_COLLECTION", "d", "a", None), (2, "RENAME_COLLECTION", "d", "b", "e.c"), (3, "DROP_DATABASE", "d", None, None), (4, "CREATE_INDEXES", "d", "a", None)], "entry_id int, ddl_type string, database string, collection string, target string")
     known = spark.createDataFrame([("d.a", "d"), ("d.z", "d"), ("e.c", "e")], "ns string, db string")
     assert {(r["entry_id"], r["ns"]) for r in namespace.endings(rows, known).collect()} == {(1, "d.a"), (2, "d.b"), (2, "e.c"), (3, "d.a"), (3, "d.z")}
+
+
+def test_structure_that_a_target_lacks(spark):
+    log = command_log(
+        spark,
+        ("c", "d.$cmd", {"create": "a", "capped": True, "size": 4096, "max": 9, "validator": {"x": {"$gt": 1}}, "collation": {"locale": "de", "strength": 2, "backwards": False}, "idIndex": {"v": 2}}),
+        ("c", "d.$cmd", {"create": "t", "timeseries": {"timeField": "at", "metaField": "m", "granularity": "hours"}, "expireAfterSeconds": 60.0}),
+        ("c", "d.$cmd", {"create": "v", "viewOn": "a", "pipeline": [{"$match": {"x": 1}}]}),
+        ("c", "d.$cmd", {"create": "there"}),
+        ("c", "d.$cmd", {"createIndexes": "a", "indexes": [{"key": {"x": 1}, "name": "x_1", "weights": {"x": 2}, "collation": {"locale": "fr"}}, {"key": {"y": 1}, "name": "y_1", "expireAfterSeconds": 5}, {"key": {"_id": 1}, "name": "_id_"}, {"key": {"z": 1}, "name": "z_1"}]}),
+    )
+    made = {r["ns"]: r for r in structure.collections(log).collect()}
+    a = made["d.a"]
+    assert (a["kind"], a["capped"], a["size"], a["max"], json.loads(a["validator"])) == ("collection", True, 4096, 9, {"x": {"$gt": 1}}) and a["collation"].asDict() == {"locale": "de", "caseLevel": None, "caseFirst": None, "strength": 2, "numericOrdering": None, "alternate": None, "maxVariable": None, "normalization": None, "backwards": False}
+    assert "idIndex" not in a["options"] and (made["d.t"]["time_field"], made["d.t"]["granularity"], made["d.t"]["expire_seconds"]) == ("at", "HOURS", 60) and made["d.v"]["kind"] == "view"
+    specs = parse.index_specs(log)
+    assert json.loads(specs.where("name = 'x_1'").first()["spec"])["weights"] == {"x": 2} and specs.where("name = 'x_1'").first()["collation"] == "fr"
+    existing = spark.createDataFrame([("d.there",)], "ns string")
+    plan = structure.missing(structure.collections(log), specs, existing, spark.createDataFrame([("d.a", "z_1")], "ns string, name string"))
+    assert [(r["action"], r["ns"], r["name"]) for r in plan.orderBy("step", "ns").collect()] == [("CREATE_COLLECTION", "d.a", None), ("CREATE_COLLECTION", "d.t", None), ("CREATE_INDEX", "d.a", "x_1"), ("CREATE_VIEW", "d.v", None)]
+    broken = spark.createDataFrame([("d.v", "view", "{}")], "ns string, kind string, options string")
+    with pytest.raises(Exception, match="a view needs"):
+        structure.missing(broken, specs, existing, specs).collect()

@@ -104,3 +104,19 @@ def test_a_second_writer_goes_on_from_the_table(spark):
     for k, w in enumerate((a, b, a, b)):
         w.update("n", 1, {"a": k})
     assert {r["fields"]["a"] for r in table.read().collect()} == {"3"}
+
+
+def test_intermediate_tables_can_be_released(spark):
+    from tidemark import session
+    from tidemark.store import Store
+
+    table = session.materialise(spark.range(3), "numbers")
+    folder = session._run_dir(spark)
+    assert table.count() == 3 and any(n.startswith("numbers-") for n in Store(spark, folder).names())
+    kept = dict(session._run_dirs)
+    session._run_dirs.clear()
+    own = session.work_path(spark, "x")  # another folder, so that other tests keep theirs
+    spark.range(1).write.parquet(own)
+    session.release(spark)
+    assert not Store(spark, own.rsplit("/", 1)[0]).names()
+    session._run_dirs.update(kept)

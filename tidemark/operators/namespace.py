@@ -73,7 +73,7 @@ def endings(ddl: DataFrame, known: DataFrame) -> DataFrame:
 
 #: Error codes and texts that say that a namespace or a cursor's target no longer exists.
 GONE_CODES = (26, 175)
-GONE_TEXTS = ("ns not found", "namespace not found", "ns does not exist", "collection dropped", "no longer exists")
+GONE_TEXTS = ("ns not found", "namespace not found", "namespace does not exist", "collection dropped", "collection not found", "collection renamed", "was renamed")
 
 
 def is_gone(message: Column | str, code: Column | str | None = None) -> Column:

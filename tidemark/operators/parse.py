@@ -199,7 +199,8 @@ def stream_ddl(changes: DataFrame) -> DataFrame:
     """Schema changes of a change stream; an invalidate is none.
 
     Where the table has them, ``to_ns`` gives a rename's target, and ``operation_description`` (JSON) the indexes: one
-    row per index built or dropped. ``command`` is the change in the form of a log's command.
+    row per index built or dropped. ``command`` is the change in the form of a log's command; a rename without a target
+    has none, which is an error.
     """
     kind = _lookup(F.lower("operation_type"), STREAM_DDL)
     text = lambda name: F.col(name) if name in changes.columns else F.lit(None).cast("string")
@@ -210,7 +211,8 @@ def stream_ddl(changes: DataFrame) -> DataFrame:
     quoted = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
     verb = F.map_from_arrays(F.array(*map(F.lit, STREAM_DDL.values())), F.array(*map(F.lit, ("create", "createIndexes", "dropIndexes", "drop", "renameCollection", "dropDatabase"))))[F.col("ddl_type")]
     body = (
-        F.when(F.col("ddl_type") == "RENAME_COLLECTION", F.concat(quoted(F.concat_ws(".", "database", "collection")), F.when(F.col("target").isNotNull(), F.concat(F.lit(',"to":'), quoted(F.col("target")))).otherwise("")))
+        F.when((F.col("ddl_type") == "RENAME_COLLECTION") & F.col("target").isNull(), F.raise_error(F.concat(F.lit("a rename without a target: delivery "), F.col("delivery_id").cast("string"))))
+        .when(F.col("ddl_type") == "RENAME_COLLECTION", F.concat(quoted(F.concat_ws(".", "database", "collection")), F.lit(',"to":'), quoted(F.col("target"))))
         .when(F.col("ddl_type") == "DROP_DATABASE", F.lit("1"))
         .when((F.col("ddl_type") == "CREATE_INDEXES") & F.col("spec").isNotNull(), F.concat(quoted(F.col("collection")), F.lit(',"indexes":['), "spec", F.lit("]")))
         .when((F.col("ddl_type") == "DROP_INDEXES") & F.col("index_name").isNotNull(), F.concat(quoted(F.col("collection")), F.lit(',"index":'), quoted(F.col("index_name"))))
@@ -301,16 +303,18 @@ def transit_value(value: Column) -> Column:
 def index_specs(oplog: DataFrame) -> DataFrame:
     """One row per index that a log creates, in whatever form: its key and options.
 
-    (entry_id, ns, name, key, is_unique, sparse, expire_seconds, partial_filter, collation, hidden)
+    (entry_id, ns, name, key, is_unique, sparse, expire_seconds, partial_filter, collation, hidden, spec): collation is
+    its locale, ``spec`` the JSON of the index with all its options, also those without a column.
     """
-    one = "struct<name:string,key:string,unique:string,sparse:string,expireAfterSeconds:string,partialFilterExpression:string,collation:string,hidden:string>"
-    many = F.from_json(F.get_json_object("o", "$.indexes"), f"array<{one}>")
-    single = F.array(F.from_json("o", one))
+    many = F.from_json(F.get_json_object("o", "$.indexes"), "array<string>")
+    single = F.array(F.col("o"))
     rows = oplog.where(is_index_insert() | ((F.col("op") == "c") & first_key("o").isin("createIndexes", "commitIndexBuild")))
     coll = F.when(is_index_insert(), collection(F.get_json_object("o", "$.ns"))).otherwise(F.from_json("o", "map<string,string>")[first_key("o")])
     spec = rows.select("entry_id", F.concat_ws(".", database("ns"), coll).alias("ns"), F.explode(F.coalesce(many, single)).alias("s"))
-    yes = lambda name: F.coalesce(F.lower(F.col(f"s.{name}")).isin("true", "1", "1.0"), F.lit(False))
+    option = lambda name: F.get_json_object("s", f"$.{name}")
+    yes = lambda name: F.coalesce(F.lower(option(name)).isin("true", "1", "1.0"), F.lit(False))
+    kept = F.map_filter(F.try_parse_json("s").try_cast("map<string,variant>"), lambda k, v: ~k.isin("ns", "createIndexes"))
     return spec.select(
-        "entry_id", "ns", "s.name", "s.key", yes("unique").alias("is_unique"), yes("sparse").alias("sparse"), F.col("s.expireAfterSeconds").try_cast("double").cast("bigint").alias("expire_seconds"),
-        F.col("s.partialFilterExpression").alias("partial_filter"), F.get_json_object("s.collation", "$.locale").alias("collation"), yes("hidden").alias("hidden"),
+        "entry_id", "ns", option("name").alias("name"), option("key").alias("key"), yes("unique").alias("is_unique"), yes("sparse").alias("sparse"), option("expireAfterSeconds").try_cast("double").cast("bigint").alias("expire_seconds"),
+        option("partialFilterExpression").alias("partial_filter"), option("collation.locale").alias("collation"), yes("hidden").alias("hidden"), F.to_json(kept).alias("spec"),
     )

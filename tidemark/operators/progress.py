@@ -59,6 +59,18 @@ def readiness() -> Column:
     )
 
 
+def phase() -> Column:
+    """What a migration is doing, from columns state, full (it copies), incremental (it follows the log) and full_done. Fixed values."""
+    copying = F.col("full") & ~F.col("full_done")
+    return (
+        F.when(F.col("state") == "IDLE", "NOT_STARTED")
+        .when(F.col("state").isin("RUNNING", "PAUSED"), F.concat(F.when(F.col("state") == "PAUSED", "PAUSED_").otherwise(""), F.when(copying, "INITIAL_COPY").when(F.col("incremental"), "CHANGE_EVENT_APPLY").otherwise("RUNNING")))
+        .when(F.col("state") == "CAN_COMMIT", "READY_TO_COMMIT")
+        .when(F.col("state").isin("COMMITTING", "COMMITTED", "STOPPED", "ERROR"), F.col("state"))
+        .otherwise("UNKNOWN")
+    )
+
+
 def state_rank(state: Column | str) -> Column:
     return F.array_position(F.array(*map(F.lit, STATES)), F.col(state) if isinstance(state, str) else state)
 

@@ -131,6 +131,12 @@ def readiness(spark, sf_dir):
     return _gates(spark).select("run", progress.readiness().alias("readiness"))
 
 
+def phases(spark, sf_dir):
+    """What each kind of migration does in each state."""
+    rows = [(n, state, full, inc, done) for n, (state, full, inc, done) in enumerate((s, f, i, d) for s in progress.STATES for f, i, d in ((True, False, False), (True, True, False), (True, True, True), (False, True, False), (True, False, True)))]
+    return spark.createDataFrame(rows, "run int, state string, full boolean, incremental boolean, full_done boolean").select("run", "state", progress.phase().alias("phase"))
+
+
 def multi_progress(spark, sf_dir):
     """Progress over all namespaces."""
     return progress.roll_up(_children(spark, sf_dir)).select("namespaces", "done", F.col("total").cast("bigint").alias("total"), "started_ms", "last_ts_ms", "full_done")
@@ -156,7 +162,7 @@ def estimated_docs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        verify_count, verify_id, verify_missing, verify_extra, verify_full, verify_samples, verify_pass, verify_multi, deep_equal, progress_counters, progress_percent, lag_ms, commit_gate, readiness,
+        verify_count, verify_id, verify_missing, verify_extra, verify_full, verify_samples, verify_pass, verify_multi, deep_equal, progress_counters, progress_percent, lag_ms, commit_gate, readiness, phases,
         multi_progress, multi_state, multi_can_commit, estimated_docs,
     )
 }
@@ -204,6 +210,9 @@ ORACLES = {
     "lag_ms": f"SELECT ns, greatest({NOW_MS} - max(ts_ms), 0) AS lag_ms FROM transfer_events GROUP BY ns",
     "commit_gate": "SELECT * FROM (VALUES (0, TRUE), (1, FALSE), (2, TRUE), (3, FALSE), (4, TRUE), (5, FALSE), (6, TRUE), (7, TRUE), (8, FALSE), (9, TRUE), (10, TRUE)) t(run, acceptable)",
     "readiness": "SELECT * FROM (VALUES (0, 'READY'), (1, 'WAITING_FIRST_EVENT'), (2, 'READY'), (3, 'DRAINING: 3'), (4, 'READY'), (5, 'LAGGING: 11000 ms of 10000'), (6, 'WAITING_SNAPSHOT'), (7, 'NOT_RUNNING: ERROR'), (8, 'NOT_STARTED'), (9, 'PAUSED'), (10, 'COMMITTING')) t(run, readiness)",
+    "phases": """WITH s AS (SELECT unnest(['ERROR', 'COMMITTING', 'PAUSED', 'RUNNING', 'CAN_COMMIT', 'COMMITTED', 'STOPPED', 'IDLE']) AS state, unnest(range(8)) AS n),
+        k AS (SELECT * FROM (VALUES (0, 'INITIAL_COPY'), (1, 'INITIAL_COPY'), (2, 'CHANGE_EVENT_APPLY'), (3, 'CHANGE_EVENT_APPLY'), (4, 'RUNNING')) v(m, word))
+        SELECT CAST(n * 5 + m AS INTEGER) AS run, state, CASE state WHEN 'IDLE' THEN 'NOT_STARTED' WHEN 'RUNNING' THEN word WHEN 'PAUSED' THEN 'PAUSED_' || word WHEN 'CAN_COMMIT' THEN 'READY_TO_COMMIT' ELSE state END AS phase FROM s, k""",
     "multi_progress": f"WITH {_CHILDREN} SELECT count(*) AS namespaces, CAST(sum(done) AS BIGINT) AS done, CAST(sum(total) AS BIGINT) AS total, min(started_ms) AS started_ms, max(last_ts_ms) AS last_ts_ms, bool_and(full_done) AS full_done FROM c",
     "multi_state": f"WITH {_CHILDREN} SELECT arg_min(state, CASE state WHEN 'RUNNING' THEN 4 WHEN 'CAN_COMMIT' THEN 5 ELSE 6 END) AS state FROM c",
     "multi_can_commit": "SELECT * FROM (VALUES ('every', TRUE), ('none', FALSE)) t(over, can_commit)",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import transit
 from tidemark.functions.positions import token_hex
-from tidemark.operators import ddl, namespace, parse, routing
+from tidemark.operators import ddl, namespace, parse, routing, structure
 from tidemark.operators.mor_table import MorTable
 from tidemark.runtime.config import SyncConfig
 from tidemark.runtime.sync import Sync
@@ -297,6 +297,19 @@ def index_specs(spark, sf_dir):
     return parse.index_specs(_oplog(spark, sf_dir)).select("entry_id", "ns", "name", "is_unique", "sparse", "expire_seconds", "hidden")
 
 
+def structure_options(spark, sf_dir):
+    """Collections that the log creates, with their options."""
+    return structure.collections(_oplog(spark, sf_dir)).select("entry_id", "ns", "kind", "capped", "size", "expire_seconds", "view_on", F.col("collation.locale").alias("locale"), "options")
+
+
+def bootstrap_plan(spark, sf_dir):
+    """What a target, on which the change stream's collections and the log's dropped indexes exist, lacks of the log's structure."""
+    oplog = _oplog(spark, sf_dir)
+    there = parse.stream_ddl(_changes(spark, sf_dir)).where("ddl_type = 'CREATE_COLLECTION'").select(F.concat_ws(".", "database", "collection").alias("ns"))
+    dropped = parse.log_ddl(oplog).where("ddl_type = 'DROP_INDEXES'").select(F.concat_ws(".", "database", "collection").alias("ns"), F.col("index_name").alias("name"))
+    return structure.missing(structure.collections(oplog), parse.index_specs(oplog), there, dropped).select("step", "action", "ns", "name")
+
+
 def transit_documents(spark, sf_dir):
     """Whole documents in the transit encoding."""
     rows = transit.transit_documents(read_table(spark, sf_dir, "source_docs").select("ns", "_id", "id_type", "doc"))
@@ -363,7 +376,7 @@ QUERIES = {
         snapshot_scan, snapshot_envelope, id_type_bounds, id_range_split, range_scan_counts, range_doc_count, range_filter, oplog_window, oplog_ns_filter, oplog_bounds, history_lost, cs_resume, cs_start_time, skip_migrate,
         user_pipeline_filter, ns_discover, topology_classify, version_gates, capture_resolve, capture_validate, oplog_kind, oplog_crud, strip_v, v1_index_normalize, diff_normalize, op_normalize,
         update_desc, event_time, cs_ddl, oplog_ddl, transit_types, ts_format, extract_id, token_digest, offset_path, progress_line, ns_system, ns_white, ns_black, rule_parse, ns_map, ns_invalidate,
-        is_patch, index_plan, index_specs, transit_documents, has_unique, unique_timeline, ddl_segments, drop_resets, rename_chain, ddl_apply_catalog, sync_with_ddl,
+        is_patch, index_plan, index_specs, structure_options, bootstrap_plan, transit_documents, has_unique, unique_timeline, ddl_segments, drop_resets, rename_chain, ddl_apply_catalog, sync_with_ddl,
     )
 }
 
@@ -462,6 +475,15 @@ ORACLES = {
           FROM m JOIN ddl d USING (entry_id) WHERE d.ddl_type = 'CREATE_INDEXES')
         SELECT entry_id, ns, json_extract_string(s, '$.name') AS name, coalesce(json_extract_string(s, '$.unique') IN ('true', '1'), FALSE) AS is_unique, coalesce(json_extract_string(s, '$.sparse') IN ('true', '1'), FALSE) AS sparse,
           CAST(json_extract_string(s, '$.expireAfterSeconds') AS BIGINT) AS expire_seconds, coalesce(json_extract_string(s, '$.hidden') IN ('true', '1'), FALSE) AS hidden FROM s""",
+    "structure_options": f"""SELECT entry_id, {_DB} || '.' || json_extract_string(o, '$.create') AS ns, CASE WHEN json_extract(o, '$.viewOn') IS NOT NULL THEN 'view' WHEN json_extract(o, '$.timeseries') IS NOT NULL THEN 'timeseries' ELSE 'collection' END AS kind,
+        coalesce(json_extract_string(o, '$.capped') IN ('true', '1'), FALSE) AS capped, CAST(json_extract_string(o, '$.size') AS BIGINT) AS size, CAST(json_extract_string(o, '$.expireAfterSeconds') AS BIGINT) AS expire_seconds, json_extract_string(o, '$.viewOn') AS view_on,
+        json_extract_string(o, '$.collation.locale') AS locale, '{{' || array_to_string(list_transform(list_sort(list_filter(json_keys(o), lambda x: x NOT IN ('create', 'idIndex', 'v', 'lsid', '$db'))), lambda x: '"' || x || '":' || CAST(json_extract(o, '$."' || x || '"') AS VARCHAR)), ',') || '}}' AS options
+        FROM oplog_entries WHERE op = 'c' AND json_keys(o)[1] = 'create'""",
+    "bootstrap_plan": f"""WITH {DDL}
+        SELECT DISTINCT 1 AS step, 'CREATE_COLLECTION' AS action, database || '.' || collection AS ns, CAST(NULL AS VARCHAR) AS name FROM ddl WHERE ddl_type = 'CREATE_COLLECTION'
+          AND database || '.' || collection NOT IN (SELECT ns FROM change_stream WHERE lower(operation_type) = 'create')
+        UNION ALL SELECT DISTINCT 2, 'CREATE_INDEX', database || '.' || collection, index_name FROM ddl d WHERE ddl_type = 'CREATE_INDEXES' AND index_name <> '_id_'
+          AND NOT EXISTS (SELECT 1 FROM ddl x WHERE x.ddl_type = 'DROP_INDEXES' AND x.database = d.database AND x.collection = d.collection AND x.index_name = d.index_name)""",
     "ts_format": "SELECT entry_id, strftime(make_timestamp(ts.t * 1000000), '%Y-%m-%d %H:%M:%S') || '+0000' AS at FROM oplog_entries",
     "extract_id": "SELECT seq, coalesce(json_extract_string(after_doc, '$._id'), json_extract_string(before_doc, '$._id')) AS doc_id FROM transfer_events",
     "token_digest": f"SELECT delivery_id, CASE WHEN length(_id || _id || _id) > 120 THEN substr(_id || _id || _id, 1, 117) || '...' ELSE _id || _id || _id END AS digest, {_HEX} AS hex FROM change_stream",

@@ -59,9 +59,33 @@ def _local_shared() -> str:
     return "file://" + _local[0]
 
 
+_run_dirs: dict[str, str] = {}
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; the file system deletes it when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _run_dirs:
+        named = f"{shared_dir(spark)}/tidemark-{app}-{uuid.uuid4().hex[:8]}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _run_dirs[app] = named
+    return _run_dirs[app]
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path for a written intermediate table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for a written intermediate table in the shared folder, which lasts as long as the application."""
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables made so far; results not yet read that come from them are lost. For applications that run long."""
+    named = _run_dirs.pop(spark.sparkContext.applicationId, None)
+    if named:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df, name: str):

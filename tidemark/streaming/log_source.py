@@ -46,6 +46,6 @@ def message_stream(spark: SparkSession, folder: str, kind: str = "parquet", max_
     return rows if where is None else rows.where(stream_op().isNull() | F.expr(where))
 
 
-def start_position(stored: str | None, before_snapshot: str | None, latest: str | None) -> str | None:
-    """Where to begin: the stored position, else the one taken before the snapshot was read, else the latest."""
-    return stored or before_snapshot or latest
+def start_position(before_snapshot: str | None, stored: str | None, configured: str | None, latest: str | None) -> str | None:
+    """Where to begin: while a snapshot is being read the position taken before it, else the stored one, else the one asked for, else the latest."""
+    return before_snapshot or stored or configured or latest
