@@ -1,13 +1,17 @@
 """Keyed state from change feeds: what each event does, and what remains.
 
 A feed has (ns, _id, op, is_patch, phase, ts_t, ts_i, seq) and flat fields. Everything is an algebraic aggregate where the
-policy allows, so Spark reduces the feed before the one shuffle by key; only the strict policies need windows.
+policy allows, so Spark reduces the feed before the one shuffle by key; only the strict policies and pre-images need
+windows, in which keys with most of a feed are cut into slices.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.skew import split_heavy, with_previous
+from tidemark.operators.slices import ordinal
+from tidemark.session import materialise
 from tidemark.sources.feeds import ORDER
 
 KEY = ["ns", "_id"]
@@ -54,23 +58,54 @@ def patch_fold(feed: DataFrame, fields: dict[str, tuple[Column, Column]], alive:
     return feed.where("op in ('c', 'r', 'u', 'd')").groupBy(*KEY).agg(last, *columns).where("_last <> 'd'").drop("_last")
 
 
-def effective(feed: DataFrame, on_conflict: str | None = None, there: str | None = None) -> DataFrame:
+def _number() -> Column:
+    """A number in the order of positions: the snapshot of a key, which has one row, before its log."""
+    return F.when(F.col("phase") < 1, F.lit(-(1 << 63))).otherwise(ordinal("ts_t", "ts_i"))
+
+
+def _epochs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_deletes`` and ``_created`` before each row within ``keys``; sums that start at the first row of the window."""
+    before = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_deletes", F.coalesce(F.sum(F.when(F.col("op") == "d", 1).otherwise(0)).over(before), F.lit(0)))
+    in_epoch = Window.partitionBy(*keys, "_deletes").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_created", F.coalesce(F.max(F.col("op").isin("c", "r")).over(in_epoch), F.lit(False)))
+
+
+def effective(feed: DataFrame, on_conflict: str | None = None, there: str | None = None, rows_per_slice: int | None = None, split: bool = True) -> DataFrame:
     """Add ``epoch``, ``effective`` and ``conflict`` under strict writes.
 
     An epoch runs from one delete of the key to the next. The first create in it takes effect, later ones conflict (and
     take effect with UPSERT); an update takes effect after the first create. ``there`` names a column that is true where
     the document is in the target already.
+
+    Keys with more rows than a task should get are cut into slices of their order, which are then carried on from one to
+    the next: how many deletes lie before a slice, and whether a create follows the last of them. ``split=False`` leaves
+    that out, for feeds known to have no such key.
     """
-    w = Window.partitionBy(*KEY).orderBy(*ORDER)
-    deletes = F.sum(F.when(F.col("op") == "d", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = feed.where("op in ('c', 'r', 'u', 'd')").withColumn("epoch", F.coalesce(deletes, F.lit(0)))
-    in_epoch = Window.partitionBy(*KEY, "epoch").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    create = F.col("op").isin("c", "r")
-    created = F.coalesce(F.max(create).over(in_epoch), F.lit(False))
+    rows = feed.where("op in ('c', 'r', 'u', 'd')")
+    sliced = None
+    if split:
+        rows = materialise(rows.withColumn("_key", F.to_json(F.array(*(F.col(k).cast("string") for k in KEY)))), "feed")
+        rows, sliced = split_heavy(rows, "_key", _number(), rows_per_slice)
+    out = _epochs(rows, KEY)
+    if sliced is not None:
+        last_delete = F.max(F.when(F.col("op") == "d", F.struct(*ORDER)))
+        last_create = F.max(F.when(F.col("op").isin("c", "r"), F.struct(*ORDER)))
+        # one row per slice of a heavy key: its deletes, whether it ends with a create that no delete follows, whether it has any
+        per = sliced.groupBy("_key", "_slice").agg(F.count_if(F.col("op") == "d").alias("_n"), last_delete.alias("_d"), last_create.alias("_c"))
+        opened = F.when(F.col("_c").isNotNull() & (F.col("_d").isNull() | (F.col("_c") > F.col("_d"))), True).when(F.col("_d").isNotNull(), False)
+        w = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = per.select(F.col("_key").alias("_k"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.coalesce(F.last(opened, ignorenulls=True).over(w), F.lit(False)).alias("_open"))
+        within = _epochs(sliced, [*KEY, "_slice"]).join(carried, (F.col("_key") == F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
+        within = within.withColumn("_created", F.col("_created") | ((F.col("_deletes") == 0) & F.col("_open"))).withColumn("_deletes", F.col("_deletes") + F.col("_before"))
+        out = out.unionByName(within.drop("_k", "_s", "_before", "_open", "_slice"))
+    created = F.col("_created")
     if there is not None:
-        created = created | ((F.col("epoch") == 0) & F.coalesce(F.col(there), F.lit(False)))
+        created = created | ((F.col("_deletes") == 0) & F.coalesce(F.col(there), F.lit(False)))
+    create = F.col("op").isin("c", "r")
     takes = F.when(F.col("op") == "d", True).when(create, ~created | F.lit(on_conflict == "UPSERT")).otherwise(created)
-    return rows.withColumn("effective", takes).withColumn("conflict", create & created)
+    out = out.withColumn("effective", takes).withColumn("conflict", create & created)
+    return out.withColumn("epoch", F.col("_deletes")).drop("_deletes", "_created", "_key")
 
 
 def strict(feed: DataFrame, fields: dict[str, tuple[Column, Column]], on_conflict: str) -> DataFrame:
@@ -129,6 +164,8 @@ def upsert(target: DataFrame, changes: DataFrame, key: list[str], op: str = "op"
     return joined.select(*key, chosen.alias("_row")).select(*key, *(F.col(f"_row.{c}").alias(c) for c in columns))
 
 
-def pre_image(feed: DataFrame, fields: list[str]) -> DataFrame:
-    """Add ``before``: the fields of the key's event before this one."""
-    return feed.withColumn("before", F.lag(F.struct(*fields)).over(Window.partitionBy(*KEY).orderBy(*ORDER)))
+def pre_image(feed: DataFrame, fields: list[str], rows_per_slice: int | None = None) -> DataFrame:
+    """Add ``before``: the fields of the key's event before this one. A key with most of the feed is cut into slices."""
+    rows = materialise(feed.withColumn("_key", F.to_json(F.array(*(F.col(k).cast("string") for k in KEY)))), "feed")
+    found = with_previous(rows, "_key", tuple(ORDER), F.struct(*fields), rows_per_slice, _number())
+    return found.withColumn("before", F.col("previous.value")).drop("previous", "_key")

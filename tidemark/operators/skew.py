@@ -15,7 +15,7 @@ is null or no number equals nothing; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.slices import find_cuts, ordinal, with_slice
 from tidemark.session import materialise
@@ -42,29 +42,41 @@ def heavy_keys(df: DataFrame, key: str, rows: int, count: int) -> dict[str, int]
     return {x["item"]: x["count"] for x in top if x["count"] > rows}
 
 
-def with_previous(df: DataFrame, key: str, order: tuple[str, str], value: str, rows_per_slice: int | None = None) -> DataFrame:
-    """Add ``previous``: (any, value) of the row just before in the key's order; df has each (key, *order) once.
+def split_heavy(df: DataFrame, key: str, at: Column, rows_per_slice: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(light rows, heavy rows with ``_slice``): heavy keys are cut into slices of the order ``at``; None if there is none.
 
     ``df`` is read several times, so it should be a written table.
     """
     count = df.count()
     rows = rows_per_slice or heavy_rows(count, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     heavy = heavy_keys(df, key, rows, count)
-    here = F.struct(F.lit(True).alias("any"), F.col(value).alias("value"))
     if not heavy:
-        return df.withColumn("previous", F.lag(here).over(Window.partitionBy(key).orderBy(*order)))
+        return df, None
     named = df.sparkSession.createDataFrame([(k,) for k in sorted(heavy)], "heavy_key string")
     is_heavy = F.col(key) == F.col("heavy_key")  # fewer than MOST_HEAVY keys
-    light = df.join(F.broadcast(named), is_heavy, "left_anti").withColumn("previous", F.lag(here).over(Window.partitionBy(key).orderBy(*order)))
-    hot = df.join(F.broadcast(named), is_heavy, "left_semi").withColumn("_at", ordinal(*order))
+    light = df.join(F.broadcast(named), is_heavy, "left_anti")
+    hot = df.join(F.broadcast(named), is_heavy, "left_semi").withColumn("_at", at)
     cuts = materialise(find_cuts(hot, [key], "_at", sum(heavy.values()), rows), "cuts")
-    sliced = with_slice(hot, cuts, [key], F.col("_at"), "_slice")
+    return light, with_slice(hot, cuts, [key], F.col("_at"), "_slice").drop("_at")
+
+
+def with_previous(df: DataFrame, key: str, order: tuple[str, ...], value: str | Column, rows_per_slice: int | None = None, at: Column | None = None) -> DataFrame:
+    """Add ``previous``: (any, value) of the row just before in the key's order; df has each (key, *order) once.
+
+    ``df`` is read several times, so it should be a written table. ``at`` is a number in the order, by default that of a
+    position (t, i).
+    """
+    here = F.struct(F.lit(True).alias("any"), (F.col(value) if isinstance(value, str) else value).alias("value"))
+    light, sliced = split_heavy(df, key, ordinal(*order) if at is None else at, rows_per_slice)
+    light = light.withColumn("previous", F.lag(here).over(Window.partitionBy(key).orderBy(*order)))
+    if sliced is None:
+        return light
     within = sliced.withColumn("previous", F.lag(here).over(Window.partitionBy(key, "_slice").orderBy(*order)))
     # one row per slice
     edge = sliced.groupBy(key, "_slice").agg(F.max_by(here, F.struct(*order)).alias("last"))
     before = edge.withColumn("before", F.lag("last").over(Window.partitionBy(key).orderBy("_slice"))).select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), "before")
     joined = within.join(F.broadcast(before), (F.col(key) == F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
-    joined = joined.withColumn("previous", F.coalesce("previous", "before")).drop("_k", "_s", "before", "_slice", "_at")
+    joined = joined.withColumn("previous", F.coalesce("previous", "before")).drop("_k", "_s", "before", "_slice")
     return light.unionByName(joined)
 
 
