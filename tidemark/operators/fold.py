@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.skew import split_heavy, with_previous
 from tidemark.operators.slices import ordinal
-from tidemark.session import materialise
 from tidemark.sources.feeds import ORDER
 
 KEY = ["ns", "_id"]
@@ -79,13 +78,13 @@ def effective(feed: DataFrame, on_conflict: str | None = None, there: str | None
     the document is in the target already.
 
     Keys with more rows than a task should get are cut into slices of their order, which are then carried on from one to
-    the next: how many deletes lie before a slice, and whether a create follows the last of them. ``split=False`` leaves
-    that out, for feeds known to have no such key.
+    the next: how many deletes lie before a slice, and whether a create follows the last of them. That reads the feed
+    once more, and several times if there is such a key; ``split=False`` leaves it out, for feeds known to have none.
     """
     rows = feed.where("op in ('c', 'r', 'u', 'd')")
     sliced = None
     if split:
-        rows = materialise(rows.withColumn("_key", F.to_json(F.array(*(F.col(k).cast("string") for k in KEY)))), "feed")
+        rows = rows.withColumn("_key", F.to_json(F.array(*(F.col(k).cast("string") for k in KEY))))
         rows, sliced = split_heavy(rows, "_key", _number(), rows_per_slice)
     out = _epochs(rows, KEY)
     if sliced is not None:
@@ -166,6 +165,6 @@ def upsert(target: DataFrame, changes: DataFrame, key: list[str], op: str = "op"
 
 def pre_image(feed: DataFrame, fields: list[str], rows_per_slice: int | None = None) -> DataFrame:
     """Add ``before``: the fields of the key's event before this one. A key with most of the feed is cut into slices."""
-    rows = materialise(feed.withColumn("_key", F.to_json(F.array(*(F.col(k).cast("string") for k in KEY)))), "feed")
+    rows = feed.withColumn("_key", F.to_json(F.array(*(F.col(k).cast("string") for k in KEY))))
     found = with_previous(rows, "_key", tuple(ORDER), F.struct(*fields), rows_per_slice, _number())
     return found.withColumn("before", F.col("previous.value")).drop("previous", "_key")

@@ -32,24 +32,35 @@ def heavy_rows(count: int, tasks: int) -> int:
     return max(1, min(MOST_ROWS, count // (4 * tasks)), -(-7 * count // SKETCH_ITEMS), -(-count // (MOST_HEAVY - 1)))
 
 
-def heavy_keys(df: DataFrame, key: str, rows: int, count: int) -> dict[str, int]:
-    """Counts, never too low, of all keys with more than ``rows`` of the ``count`` rows: fewer than count / rows keys and some near it."""
+def _sketch(df: DataFrame, key: str, limit: int, items: int) -> tuple[int, dict[str, int]]:
+    """(rows, counts of the ``limit`` most frequent keys), in one pass; a key without a value has no count."""
+    named = df.select(F.col(key).alias("k"))
+    r = named.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(k, {limit}, {items}) filter (where k is not null)").alias("top")).first()
+    return r["n"], {x["item"]: x["count"] for x in r["top"] or []}
+
+
+def heavy_keys(df: DataFrame, key: str, tasks: int, rows: int | None = None) -> tuple[dict[str, int], int]:
+    """(counts, never too low, of all keys with more rows than ``rows``, by default :func:`heavy_rows`; that number).
+
+    One pass with as many counters as tasks call for; a second one with more only if the number of rows calls for them.
+    """
+    limit, items = 16 * tasks, max(LEAST_ITEMS, 1 << (56 * tasks).bit_length())
+    count, top = _sketch(df, key, limit, items)
     if not count:
-        return {}
-    items = min(SKETCH_ITEMS, max(LEAST_ITEMS, 1 << (7 * count // rows).bit_length()))
-    limit = min(MOST_HEAVY, max(1, 2 * count // rows), items)
-    top = df.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {limit}, {items})").alias("top")).first()["top"] or []
-    return {x["item"]: x["count"] for x in top if x["count"] > rows}
+        return {}, 1
+    rows = rows or heavy_rows(count, tasks)
+    if 2 * count // rows > limit or 7 * count // rows > items:
+        items = min(SKETCH_ITEMS, max(LEAST_ITEMS, 1 << (7 * count // rows).bit_length()))
+        top = _sketch(df, key, min(MOST_HEAVY, max(1, 2 * count // rows), items), items)[1]
+    return {k: n for k, n in top.items() if n > rows}, rows
 
 
 def split_heavy(df: DataFrame, key: str, at: Column, rows_per_slice: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(light rows, heavy rows with ``_slice``): heavy keys are cut into slices of the order ``at``; None if there is none.
 
-    ``df`` is read several times, so it should be a written table.
+    ``df`` is read once if no key is heavy, and several times if one is, so it should be a written table or a plain scan.
     """
-    count = df.count()
-    rows = rows_per_slice or heavy_rows(count, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    heavy = heavy_keys(df, key, rows, count)
+    heavy, rows = heavy_keys(df, key, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows_per_slice)
     if not heavy:
         return df, None
     named = df.sparkSession.createDataFrame([(k,) for k in sorted(heavy)], "heavy_key string")
