@@ -35,10 +35,10 @@ def test_a_run_takes_the_pending_positions(spark, small, rows, shape):
     o, c, r = (change(read_table(spark, small, t)) for t in ("oplog_entries", "change_stream", "sync_runs"))
     want = set() if name == "empty" else brute.pending(rows("oplog_entries"), rows("change_stream"), rows("sync_runs"))
     runner = incremental.IncrementalRunner(spark, work_path(spark, "runs"))
-    landed, journal = incremental.landed_rows(o, c), incremental.committed_runs(r, c)
-    limit = runner.take(landed, journal)
+    journal = incremental.committed_runs(r, c)
+    limit = runner.take(o, c, journal)
     assert (got(runner.output()) == want) if limit is not None else not want
-    assert runner.take(landed, journal) is None
+    assert runner.take(o, c, journal) is None
 
 
 def at_hour(h):
@@ -49,7 +49,7 @@ def test_a_broken_run_is_taken_again_and_later_rows_by_the_next_run(spark):
     schema = "shard string, ts struct<t:bigint,i:bigint>, landed_at timestamp_ntz"
     first = [("s", (t, 1), at_hour(0)) for t in range(1, 6)]
     second = first + [("s", (3, 1), at_hour(1)), ("s", (2, 5), at_hour(1)), ("s", (9, 1), at_hour(1))]
-    landed = lambda rows: incremental.landed_rows(spark.createDataFrame(rows, schema), None)
+    landed = lambda rows: (spark.createDataFrame(rows, schema), None)
     journal = spark.createDataFrame([], incremental._JOURNAL)
     runner = incremental.IncrementalRunner(spark, work_path(spark, "runs"))
 
@@ -57,13 +57,27 @@ def test_a_broken_run_is_taken_again_and_later_rows_by_the_next_run(spark):
         raise OSError("lost")
 
     with pytest.raises(OSError):
-        runner.take(landed(first), journal, broken)
+        runner.take(*landed(first), journal, broken)
     assert runner.output() is None and runner.watermark() is None
-    runner.take(landed(first), journal)
-    runner.take(landed(second), journal)
+    runner.take(*landed(first), journal)
+    runner.take(*landed(second), journal)
     assert sorted((r["pos_t"], r["pos_i"]) for r in runner.output().collect()) == [(1, 1), (2, 1), (2, 5), (3, 1), (4, 1), (5, 1), (9, 1)]
 
 
+def test_runs_in_parts_take_what_one_run_takes(spark, small, rows):
+    """Rows as they land in four parts, a run after each: every position once, and those of all rows at the end."""
+    o, c, r = (read_table(spark, small, t) for t in ("oplog_entries", "change_stream", "sync_runs"))
+    runner = incremental.IncrementalRunner(spark, work_path(spark, "runs"))
+    at = F.unix_micros(F.col("landed_at").cast("timestamp"))
+    cuts = o.select("landed_at").unionByName(c.select("landed_at")).agg(F.percentile_approx(at, [0.25, 0.5, 0.75])).first()[0]
+    nobody = spark.createDataFrame([], incremental._JOURNAL)
+    for cut in (*cuts, 1 << 62):
+        runner.take(o.where(at <= cut), c.where(at <= cut), nobody)
+    assert got(runner.output()) == brute.pending(rows("oplog_entries"), rows("change_stream"), [])
+    late = incremental._landed_after(o, cuts[1])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(landed_at" in late
+
+
 def test_outliers_and_bursts_are_cut(spark):
     """An entry at position 1 far from the rest, and a burst within one second, leave slices of about the same size."""
     rows = spark.range(20_000).select(F.lit("s").alias("shard"), F.lit("OPLOG").alias("capture_mode"), F.when(F.col("id") == 0, 1).when(F.col("id") < 8000, 1_700_000_000).otherwise(1_700_000_000 + F.col("id")).cast("bigint").alias("pos_t"), F.col("id").alias("pos_i")).withColumn("_at", slices.ordinal("pos_t", "pos_i"))

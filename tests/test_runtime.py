@@ -20,8 +20,8 @@ def test_configuration():
         assert e.value.code is config.ErrorCode.CONFIG
 
 
-def test_offset_stores(tmp_path):
-    for store in (offsets.MemoryOffsetStore(), offsets.FileOffsetStore(str(tmp_path / "a" / "b.offset"))):
+def test_offset_stores(spark, tmp_path):
+    for store in (offsets.MemoryOffsetStore(), offsets.FileOffsetStore(str(tmp_path / "a" / "b.offset")), offsets.SharedOffsetStore(spark, work_path(spark, "offsets"))):
         assert store.load() is None
         store.save("1:2")
         store.save("3:4")

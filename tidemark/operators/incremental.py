@@ -243,20 +243,26 @@ class IncrementalRunner:
         self._commit({"number": number, "from": mark, "to": limit, "out": f"out-{stamp}", "keys": f"keys-{stamp}"}, before_commit)
         return limit
 
-    def take(self, rows: DataFrame, journal: DataFrame, before_commit: Callable[[], None] = lambda: None, rows_per_slice: int = SLICE_ROWS) -> int | None:
-        """Take the pending positions of :func:`landed_rows` that have landed by now, given the :func:`committed_runs` of others.
+    def take(self, oplog: DataFrame | None, changes: DataFrame | None, journal: DataFrame, before_commit: Callable[[], None] = lambda: None, rows_per_slice: int = SLICE_ROWS) -> int | None:
+        """Take the pending positions of both logs that have landed by now, given the :func:`committed_runs` of others.
 
         The limit is the last landing there is when the run begins; what lands meanwhile is left to the next run. The
         positions taken become the output together with this run's own journal rows, one per shard and mode, by which
-        later runs know them as processed.
+        later runs know them as processed. Everything that landed up to the limit of an earlier run of this runner is
+        processed, so a later run groups only rows that landed after it, and looks up whether their positions are older.
         """
         newest = self._versions.newest()
         mark = newest["to"] if newest else None
-        limit = rows.agg(F.max("landed").alias("m")).first()["m"]
-        if limit is None or (mark is not None and limit <= mark):
+        after = [None if t is None else _landed_after(t, mark) for t in (oplog, changes)]
+        fresh = landed_rows(*after)
+        limit = fresh.agg(F.max("landed").alias("m")).first()["m"]
+        if limit is None:
             return None
         stamp, number = uuid.uuid4().hex[:12], newest["number"] + 1 if newest else 1
-        positions = materialise(landed_positions(rows.where(F.col("landed") <= limit)), "positions")
+        positions = materialise(landed_positions(fresh.where(F.col("landed") <= limit)), "positions")
+        if mark is not None:
+            old = landed_rows(oplog, changes).where(F.col("landed") <= mark).join(positions.drop("landed"), [*KEYS, "pos_t", "pos_i"], "left_semi")
+            positions = materialise(positions.join(old.drop("landed").distinct(), [*KEYS, "pos_t", "pos_i"], "left_anti"), "positions")
         own = [f"{self.path}/{r['journal']}" for r in self._runs()]
         runs = journal.unionByName(self.spark.read.schema(_JOURNAL).parquet(*own)) if own else journal
         pending_positions(positions, runs, rows_per_slice).write.parquet(f"{self.path}/out-{stamp}")
@@ -265,3 +271,10 @@ class IncrementalRunner:
         last.select(*KEYS, low.alias("lo_t"), low.alias("lo_i"), F.col("hi.pos_t").alias("hi_t"), F.col("hi.pos_i").alias("hi_i"), F.lit(limit).alias("read_to")).write.parquet(f"{self.path}/journal-{stamp}")
         self._commit({"number": number, "from": mark, "to": limit, "out": f"out-{stamp}", "journal": f"journal-{stamp}"}, before_commit)
         return limit
+
+
+def _landed_after(table: DataFrame, mark: int | None) -> DataFrame:
+    """Rows that landed after a time in microseconds; the filter reaches the scan."""
+    if mark is None:
+        return table
+    return table.where(F.col("landed_at") > F.timestamp_micros(F.lit(mark)).cast(table.schema["landed_at"].dataType))

@@ -11,9 +11,9 @@ from tidemark.session import read_table, ship, work_path
 def _p1_run(spark: SparkSession, sf_dir: str) -> tuple[incremental.IncrementalRunner, DataFrame]:
     """A run over both logs, committed; and the landed rows it read."""
     oplog, changes, journal = (read_table(spark, sf_dir, t) for t in ("oplog_entries", "change_stream", "sync_runs"))
-    runner, rows = incremental.IncrementalRunner(spark, work_path(spark, "runs")), incremental.landed_rows(oplog, changes)
-    runner.take(rows, incremental.committed_runs(journal, changes))
-    return runner, rows
+    runner = incremental.IncrementalRunner(spark, work_path(spark, "runs"))
+    runner.take(oplog, changes, incremental.committed_runs(journal, changes))
+    return runner, incremental.landed_rows(oplog, changes)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,26 @@ class MemoryOffsetStore:
         self._offset = offset
 
 
+class SharedOffsetStore:
+    """Numbered small files in a folder that the cluster shares; the newest is the offset. Of two writers at once one fails."""
+
+    def __init__(self, spark, path: str):
+        from tidemark.store import Store, Versions
+
+        self._versions = Versions(Store(spark, path), "offsets")
+
+    def load(self) -> str | None:
+        newest = self._versions.newest()
+        return newest["offset"] if newest else None
+
+    def save(self, offset: str) -> None:
+        newest = self._versions.newest()
+        number = newest["number"] + 1 if newest else 1
+        self._versions.commit(number, {"number": number, "offset": offset})
+
+
 class FileOffsetStore:
-    """One small file; it is replaced whole, so a reader sees the old or the new offset."""
+    """One small file on the driver's disk; it is replaced whole, so a reader sees the old or the new offset."""
 
     def __init__(self, path: str):
         self.path = path
