@@ -13,7 +13,6 @@ a field of type object; if several added fields fit a removed one, the first by
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,14 +52,16 @@ def log_documents(oplog: DataFrame) -> DataFrame:
 
 def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: Counter = Counter()
-        for shard, ns, part, file_no, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "ns", "doc_part", "file_no", "doc"))):
+        files: dict[tuple, dict] = {}
+        for *file, text in zip(*(batch.column(c).to_pylist() for c in (*GROUP, "file_no", "doc"))):
+            seen = files.setdefault(tuple(file), {})
+            seen[None, None] = seen.get((None, None), 0) + 1  # the file has documents
             doc = parse(text)
-            seen[shard, ns, part, file_no, None, None] += 1  # the file has documents
             for path, value in leaves(doc) if isinstance(doc, dict) else ():
-                seen[shard, ns, part, file_no, path, type_name(value)] += 1
-        columns = zip(*((*k, n) for k, n in seen.items())) if seen else [[]] * len(_FIELDS)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS)], schema=_FIELDS)
+                key = (path, type_name(value))
+                seen[key] = seen.get(key, 0) + 1
+        rows = [(*file, *key, n) for file, seen in files.items() for key, n in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_FIELDS), _FIELDS)], schema=_FIELDS)
 
 
 def infer_union(documents: DataFrame) -> DataFrame:
