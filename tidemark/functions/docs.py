@@ -27,27 +27,34 @@ class Raw(str):
     __slots__ = ()
 
 
+_decoder = json.JSONDecoder()
 _raw_decoder = json.JSONDecoder(parse_int=Raw, parse_float=Raw, parse_constant=Raw)
 
 
-def parse(text: str | None):
-    """The value of a JSON text; None where it is null, broken, or nested beyond what the parser takes."""
-    if text is None:
+def _decode(text: str, decoder: json.JSONDecoder):
+    """The value of a whole text; None where it is broken, or nested beyond what the parser takes."""
+    try:
+        value, end = decoder.scan_once(text, 0)  # without the searches for white space that decode makes
+        if end == len(text):
+            return value
+    except StopIteration:  # white space before the value, or none at all
+        pass
+    except (ValueError, RecursionError):
         return None
     try:
-        return json.loads(text)
+        return decoder.decode(text)
     except (ValueError, RecursionError):
         return None
 
 
+def parse(text: str | None):
+    """The value of a JSON text; None where it is null, broken, or nested beyond what the parser takes."""
+    return None if text is None else _decode(text, _decoder)
+
+
 def parse_raw(text: str | None):
     """As :func:`parse`, with numbers kept as :class:`Raw`."""
-    if text is None:
-        return None
-    try:
-        return _raw_decoder.decode(text)
-    except (ValueError, RecursionError):
-        return None
+    return None if text is None else _decode(text, _raw_decoder)
 
 
 def is_tagged(value) -> bool:
@@ -58,20 +65,16 @@ def is_object(value) -> bool:
     return isinstance(value, dict) and not (len(value) == 1 and next(iter(value))[:1] == "$")
 
 
+#: Type names by the exact class of a value; objects are looked at.
+_PLAIN = {type(None): None, str: "string", int: "number", float: "number", bool: "bool", list: "array", Raw: "number"}
+
+
 def type_name(value) -> str | None:
     """string, number, bool, array, object or the tag's type; None for null."""
-    if value is None:
-        return None
-    if isinstance(value, bool):
-        return "bool"
-    if isinstance(value, (int, float, Raw)):
-        return "number"
-    if isinstance(value, str):
-        return "string"
-    if isinstance(value, list):
-        return "array"
-    if is_tagged(value):
-        tag = next(iter(value))
+    kind = type(value)
+    if kind is not dict:
+        return _PLAIN[kind]
+    if len(value) == 1 and (tag := next(iter(value)))[:1] == "$":
         return TAG_TYPES.get(tag, tag[1:])
     return "object"
 
@@ -95,11 +98,10 @@ def canonical(value):
 def leaves(doc: dict, prefix: str = ""):
     """(dotted path, value) of every field; arrays, tagged values and empty objects are single fields."""
     for key, value in doc.items():
-        path = prefix + key
-        if isinstance(value, dict) and value and not is_tagged(value):
-            yield from leaves(value, path + ".")
+        if type(value) is dict and value and not (len(value) == 1 and next(iter(value))[:1] == "$"):
+            yield from leaves(value, f"{prefix}{key}.")
         else:
-            yield path, value
+            yield prefix + key, value
 
 
 def differing_paths(a: dict, b: dict, prefix: str = "") -> list[str]:

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.functions.docs import Raw, is_tagged, parse_raw
+from tidemark.functions.docs import Raw, is_tagged, parse, parse_raw
 from tidemark.session import ship
 from tidemark.store import Store, Versions
 
@@ -55,39 +55,48 @@ _esc = json.encoder.encode_basestring
 
 def _text(value) -> str:
     """JSON text of a value, numbers as written."""
-    if isinstance(value, Raw):
-        return str(value)
-    if isinstance(value, str):
+    kind = type(value)
+    if kind is str:
         return _esc(value)
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, (int, float)):
-        return json.dumps(value)
-    if isinstance(value, list):
+    if kind is Raw:
+        return value
+    if kind is dict:
+        return "{" + ",".join(f"{_esc(k)}:{_text(v)}" for k, v in value.items()) + "}"
+    if kind is list:
         return "[" + ",".join(map(_text, value)) + "]"
-    return "{" + ",".join(f"{_esc(k)}:{_text(v)}" for k, v in value.items()) + "}"
+    return _PLAIN[value] if value is None or kind is bool else json.dumps(value)
+
+
+_PLAIN = {None: "null", True: "true", False: "false"}
 
 
 def flatten(doc: dict, prefix: str = "", out: dict | None = None) -> dict[str, str]:
     """Dotted path -> JSON text of each value that is no object."""
     out = {} if out is None else out
     for key, value in doc.items():
-        if isinstance(value, dict) and not is_tagged(value):
+        kind = type(value)
+        if kind is str:
+            out[prefix + key] = _esc(value)
+        elif kind is Raw:
+            out[prefix + key] = value
+        elif kind is dict and not is_tagged(value):
             flatten(value, f"{prefix}{key}.", out)
         else:
             out[prefix + key] = _text(value)
     return out
 
 
+_compact = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
+
+
 def _dump(value) -> str:
     """Compact JSON that UTF-8 can hold."""
-    text = json.dumps(value, separators=(",", ":"), ensure_ascii=False)
-    try:
-        text.encode()
-    except UnicodeEncodeError:  # a lone surrogate
-        return json.dumps(value, separators=(",", ":"))
+    text = _compact(value)
+    if not text.isascii():
+        try:
+            text.encode()
+        except UnicodeEncodeError:  # a lone surrogate
+            return json.dumps(value, separators=(",", ":"))
     return text
 
 
@@ -232,7 +241,7 @@ def _fold_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = State()
         _, _, state.alive, fields, phase, t, i, ops = row
         state.reset = None if t is None else (phase, t, i)
-        state.fields = json.loads(fields) if fields else {}
+        state.fields = parse(fields) if fields else {}
         return state.load_ops(ops)
 
     state = None  # of the rows of the key before the last one, if there are several
