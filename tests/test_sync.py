@@ -92,6 +92,16 @@ def test_what_a_run_refuses(spark, tmp_path):
     with pytest.raises(MigrationError):
         run.run(lost, str(tmp_path / "c"))
     assert calls == [1]
+    with pytest.raises(MigrationError, match="HISTORY_LOST"):
+        run.run(lambda: log, str(tmp_path / "c"), history=(log, spark.createDataFrame([("s", 3, 1)], "shard string, start_t bigint, start_i bigint")))
+
+
+def test_a_snapshot_leaves_out_what_ended_meanwhile(spark):
+    table = MorTable(spark, work_path(spark, "sync"))
+    docs = spark.createDataFrame([("d.a", "1", '{"_id":1}'), ("d.b", "1", '{"_id":1}'), ("e.x", "1", '{"_id":1}'), ("f.x", "1", '{"_id":1}')], "ns string, _id string, doc string")
+    meanwhile = parse.log_ddl(entries(spark, (1, "c", "d.$cmd", {"drop": "a"}), (2, "c", "e.$cmd", {"dropDatabase": 1}), (3, "c", "f.$cmd", {"create": "y"})))
+    sync.Sync(spark, SyncConfig(), table).snapshot(docs, 5, meanwhile)
+    assert keys(table) == {("d.b", "1"), ("f.x", "1")}
 
 
 def test_messages_of_a_change_stream(spark, small):

@@ -55,11 +55,19 @@ class Sync:
     def _renamed(self, events: DataFrame) -> DataFrame:
         return namespace.map_namespaces(events, self._map).withColumn("ns", F.col("target_ns")).drop("target_ns", "target_db", "target_coll")
 
-    def snapshot(self, docs: DataFrame, batch_ms: int) -> None:
-        """Apply the snapshot (ns, _id, doc); a document without ``_id`` gets that of its row."""
+    def snapshot(self, docs: DataFrame, batch_ms: int, meanwhile: DataFrame | None = None) -> None:
+        """Apply the snapshot (ns, _id, doc); a document without ``_id`` gets that of its row.
+
+        ``meanwhile`` are schema changes logged since the read began: namespaces that they end aren't copied any further,
+        as the log brings what is left of them.
+        """
         if self.config.mode == "INCREMENTAL":
             raise MigrationError(ErrorCode.STATE, "an incremental run has no snapshot")
-        rows = snapshot_events(docs.where(self._rules()), batch_ms)
+        docs = docs.where(self._rules())
+        if meanwhile is not None:
+            ended = namespace.endings(meanwhile, namespace.discover(docs)).select("ns").distinct()
+            docs = docs.join(ended, "ns", "left_anti")
+        rows = snapshot_events(docs, batch_ms)
         key = F.to_json(F.struct("_id"))
         self.table.apply(self._renamed(rows).select("ns", "op", key.alias("before_doc"), "after_doc", "phase", F.lit(0).cast("bigint").alias("ts_t"), F.lit(0).cast("bigint").alias("ts_i")))
         self._done()
@@ -147,18 +155,20 @@ class Sync:
                 raise MigrationError(ErrorCode.WRITE, f"duplicate key {first['_id']} in {first['ns']} at {first['ts_t']}:{first['ts_i']}")
         return rows.where("effective")
 
-    def start(self, rows: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-        """Apply log entries or change-stream messages as they come."""
+    def start(self, rows: DataFrame, checkpoint: str, available_now: bool = False, history: tuple[DataFrame, DataFrame] | None = None) -> StreamingQuery:
+        """Apply log entries or change-stream messages as they come. ``history`` (log, starts) is checked first, as :meth:`check_history` does."""
+        if history is not None:
+            self.check_history(*history)
         return each_batch(rows, self.apply_batch, checkpoint, available_now)
 
-    def run(self, rows: Callable[[], DataFrame], checkpoint: str, attempts: int = 10, base_ms: int = 1000, **options) -> int:
+    def run(self, rows: Callable[[], DataFrame], checkpoint: str, attempts: int = 10, base_ms: int = 1000, history: tuple[DataFrame, DataFrame] | None = None, **options) -> int:
         """Apply all there is, restarting after failures; conflicts and lost history end it at once. Returns the failures."""
 
         def fatal(e: Exception) -> bool:
             own = isinstance(e, MigrationError) and e.code in (ErrorCode.WRITE, ErrorCode.HISTORY_LOST, ErrorCode.CAPTURE, ErrorCode.STATE)
             return own or any(code.value in str(e) for code in (ErrorCode.WRITE, ErrorCode.HISTORY_LOST, ErrorCode.CAPTURE, ErrorCode.STATE))
 
-        return run_with_retry(lambda: self.start(rows(), checkpoint, available_now=True), attempts, base_ms, fatal, **options)
+        return run_with_retry(lambda: self.start(rows(), checkpoint, True, history), attempts, base_ms, fatal, **options)
 
 
 def verify_copies(source: DataFrame, target: DataFrame, ns_map: DataFrame, config: SyncConfig, mode: str = "FULL") -> tuple[DataFrame, int]:
