@@ -105,7 +105,8 @@ def test_tokens_of_another_form_are_looked_up(spark):
     assert {r["pos_t"] for r in found.collect()} == {6}
 
 
-def test_runner_neither_skips_nor_repeats(spark, small):
+def test_runner_neither_skips_nor_repeats(spark, small, monkeypatch):
+    monkeypatch.setattr(incremental, "MOST_SEGMENTS", 1)
     table = read_table(spark, small, "oplog_entries").select("entry_id", "shard", "ts", "landed_at")
     log = incremental.CommitLog(spark, work_path(spark, "log"))
     runner = incremental.IncrementalRunner(spark, work_path(spark, "runs"))

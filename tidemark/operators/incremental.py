@@ -37,6 +37,9 @@ KEYS = ["shard", "capture_mode"]
 #: Positions that one slice of a shard should hold.
 SLICE_ROWS = 200_000
 _JOURNAL = "shard string, capture_mode string, lo_t bigint, lo_i bigint, hi_t bigint, hi_i bigint, read_to bigint"
+_KEY_ROWS = "shard string, t bigint, i bigint"
+#: So many segments of processed positions are kept before they are merged.
+MOST_SEGMENTS = 8
 _POSITIONS = "shard string, capture_mode string, pos_t bigint, pos_i bigint"
 
 def landed_rows(oplog: DataFrame | None, changes: DataFrame | None) -> DataFrame:
@@ -200,19 +203,36 @@ class IncrementalRunner:
         self.store = Store(spark, self.path)
         self._versions = Versions(self.store)
 
-    def _runs(self) -> list[dict]:
-        return self._versions.all()
+    def _last(self) -> dict:
+        """The newest manifest: ``out`` names the output of every run, ``keys`` the segments [folder, rows] of their positions, ``journal`` their journal rows."""
+        return self._versions.newest() or {"number": 0, "to": None, "out": [], "keys": [], "journal": []}
 
     def watermark(self) -> int | None:
         """The upper limit of the last committed run."""
-        newest = self._versions.newest()
-        return newest["to"] if newest else None
+        return self._last()["to"]
 
     def output(self) -> DataFrame | None:
         """What all committed runs have written."""
-        folders = [f"{self.path}/{r['out']}" for r in self._runs()]
+        folders = [f"{self.path}/{name}" for name in self._last()["out"]]
         return self.spark.read.parquet(*folders) if folders else None
 
+    def _keys(self, segments: list) -> DataFrame:
+        return self.spark.read.schema(_KEY_ROWS).parquet(*(f"{self.path}/{name}" for name, _ in segments))
+
+    def _with_keys(self, keys: DataFrame, segments: list, stamp: str) -> list:
+        """Write a run's positions as a segment, sorted so that a later run reads little of it; merge segments from the newest back when there are many."""
+        keys.sortWithinPartitions("t", "i").write.parquet(f"{self.path}/keys-{stamp}")
+        left = [*segments, [f"keys-{stamp}", self._keys([[f"keys-{stamp}", 0]]).count()]]
+        if len(left) <= MOST_SEGMENTS:
+            return left
+        merged, rows = [], 0
+        while left and (len(merged) < 2 or left[-1][1] <= 2 * rows):
+            merged.append(left.pop())
+            rows += merged[-1][1]
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self._keys(merged).repartitionByRange(parts, "t", "i").sortWithinPartitions("t", "i").write.parquet(f"{self.path}/keys-all-{stamp}")
+        return [*left, [f"keys-all-{stamp}", rows]]
+
     def _commit(self, run: dict, before_commit: Callable[[], None]) -> None:
         before_commit()
         self._versions.commit(run["number"], run)
@@ -222,25 +242,23 @@ class IncrementalRunner:
 
         Entries with the (shard, ts) of an entry of an earlier run, or of another one of this run, are repeats.
         """
-        newest = self._versions.newest()
-        mark, limit = newest["to"] if newest else 0, log.head()
+        last = self._last()
+        mark, limit, stamp = last["to"] or 0, log.head(), uuid.uuid4().hex[:12]
         if limit <= mark:
             return None
-        stamp, number = uuid.uuid4().hex[:12], newest["number"] + 1 if newest else 1
         keys = [F.col("shard"), F.col("ts.t").alias("t"), F.col("ts.i").alias("i")]
         fresh = log.read(mark, limit).where("shard is not null and ts.t is not null and ts.i is not null").dropDuplicates(["shard", "ts"])
         fresh = materialise(fresh, "fresh")
-        old = [f"{self.path}/{r['keys']}" for r in self._runs()]
-        if old:
+        if last["keys"]:
             span = fresh.agg(F.min("ts.t").alias("a"), F.max("ts.t").alias("b")).first()
-            known = self.spark.read.schema("shard string, t bigint, i bigint").parquet(*old).where(F.col("t").between(span["a"], span["b"]))
+            known = self._keys(last["keys"]).where(F.col("t").between(span["a"], span["b"]))
             here = fresh.select(*keys)
             seen = known.join(here, ["shard", "t", "i"], "left_semi")
             fresh = fresh.join(seen.select(F.col("shard").alias("_s"), F.col("t").alias("_t"), F.col("i").alias("_i")), (F.col("shard") == F.col("_s")) & (F.col("ts.t") == F.col("_t")) & (F.col("ts.i") == F.col("_i")), "left_anti")
             fresh = materialise(fresh, "fresh")
         transform(fresh).write.parquet(f"{self.path}/out-{stamp}")
-        fresh.select(*keys).sortWithinPartitions("t", "i").write.parquet(f"{self.path}/keys-{stamp}")
-        self._commit({"number": number, "from": mark, "to": limit, "out": f"out-{stamp}", "keys": f"keys-{stamp}"}, before_commit)
+        segments = self._with_keys(fresh.select(*keys), last["keys"], stamp)
+        self._commit({**last, "number": last["number"] + 1, "from": mark, "to": limit, "out": [*last["out"], f"out-{stamp}"], "keys": segments}, before_commit)
         return limit
 
     def take(self, oplog: DataFrame | None, changes: DataFrame | None, journal: DataFrame, before_commit: Callable[[], None] = lambda: None, rows_per_slice: int = SLICE_ROWS) -> int | None:
@@ -251,25 +269,24 @@ class IncrementalRunner:
         later runs know them as processed. Everything that landed up to the limit of an earlier run of this runner is
         processed, so a later run groups only rows that landed after it, and looks up whether their positions are older.
         """
-        newest = self._versions.newest()
-        mark = newest["to"] if newest else None
+        last = self._last()
+        mark, stamp = last["to"], uuid.uuid4().hex[:12]
         after = [None if t is None else _landed_after(t, mark) for t in (oplog, changes)]
         fresh = landed_rows(*after)
         limit = fresh.agg(F.max("landed").alias("m")).first()["m"]
         if limit is None:
             return None
-        stamp, number = uuid.uuid4().hex[:12], newest["number"] + 1 if newest else 1
         positions = materialise(landed_positions(fresh.where(F.col("landed") <= limit)), "positions")
         if mark is not None:
             old = landed_rows(oplog, changes).where(F.col("landed") <= mark).join(positions.drop("landed"), [*KEYS, "pos_t", "pos_i"], "left_semi")
             positions = materialise(positions.join(old.drop("landed").distinct(), [*KEYS, "pos_t", "pos_i"], "left_anti"), "positions")
-        own = [f"{self.path}/{r['journal']}" for r in self._runs()]
+        own = [f"{self.path}/{name}" for name in last["journal"]]
         runs = journal.unionByName(self.spark.read.schema(_JOURNAL).parquet(*own)) if own else journal
         pending_positions(positions, runs, rows_per_slice).write.parquet(f"{self.path}/out-{stamp}")
-        last = positions.groupBy(*KEYS).agg(F.max(F.struct("pos_t", "pos_i")).alias("hi"))
+        ends = positions.groupBy(*KEYS).agg(F.max(F.struct("pos_t", "pos_i")).alias("hi"))
         low = F.lit(-1).cast("bigint")
-        last.select(*KEYS, low.alias("lo_t"), low.alias("lo_i"), F.col("hi.pos_t").alias("hi_t"), F.col("hi.pos_i").alias("hi_i"), F.lit(limit).alias("read_to")).write.parquet(f"{self.path}/journal-{stamp}")
-        self._commit({"number": number, "from": mark, "to": limit, "out": f"out-{stamp}", "journal": f"journal-{stamp}"}, before_commit)
+        ends.select(*KEYS, low.alias("lo_t"), low.alias("lo_i"), F.col("hi.pos_t").alias("hi_t"), F.col("hi.pos_i").alias("hi_i"), F.lit(limit).alias("read_to")).write.parquet(f"{self.path}/journal-{stamp}")
+        self._commit({**last, "number": last["number"] + 1, "from": mark, "to": limit, "out": [*last["out"], f"out-{stamp}"], "journal": [*last["journal"], f"journal-{stamp}"]}, before_commit)
         return limit
 
 

@@ -70,9 +70,6 @@ class Versions:
         names = self.store.names(self.folder)
         return json.loads(self.store.read(f"{self.folder}/{names[-1]}")) if names else None
 
-    def all(self) -> list[dict]:
-        return [json.loads(self.store.read(f"{self.folder}/{n}")) for n in self.store.names(self.folder)]
-
     def commit(self, number: int, manifest: dict) -> None:
         if not self.store.put_new(f"{self.folder}/v{number:010d}", json.dumps(manifest)):
             raise RuntimeError(f"another writer has committed version {number}")
