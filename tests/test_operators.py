@@ -124,7 +124,7 @@ CHANGES = st.one_of(
 
 def leaves_of(state):
     state.replay()
-    return {p: v for p, v in state.fields.items()} if state.alive else None
+    return dict(state.taken_apart()) if state.alive else None
 
 
 @settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.too_slow])
@@ -134,7 +134,7 @@ def test_folding_in_any_order_and_any_batches(changes, random, batches):
     want = State()
     docs = None
     for k, (op, doc) in enumerate(changes):
-        apply_change(want, op, (1, k, 1), doc)
+        apply_change(want, op, (1, k, 1), doc, json.dumps(doc))
         if op == "d":
             docs = None
         elif op == "c":
@@ -152,16 +152,16 @@ def test_folding_in_any_order_and_any_batches(changes, random, batches):
     for b in range(batches):
         part = State()
         for k, op, doc in arrived[b::batches]:
-            apply_change(part, op, (1, k, 1), doc)
+            apply_change(part, op, (1, k, 1), doc, json.dumps(doc))
         first, second = (image, part) if random.random() < 0.5 else (part, image)
         joined = State()
         joined.merge(first)
         joined.merge(second)
         joined.replay()
         image = State()
-        image.reset, image.alive, image.fields = joined.reset, joined.alive, dict(joined.fields) if joined.alive else {}
+        image.reset, image.alive, image.fields = joined.reset, joined.alive, dict(joined.taken_apart()) if joined.alive else {}
         image.load_ops(joined.ops_text())
-    assert (image.fields if image.alive else None) == docs
+    assert (image.taken_apart() if image.alive else None) == docs
 
 
 def command_log(spark, *rows):
@@ -205,6 +205,13 @@ def test_schema_changes_of_a_stream_as_commands(spark):
     ]
 
 
+def test_a_rename_without_a_target(spark):
+    plain = spark.createDataFrame([(1, "rename", "d.a", (7, 1))], "delivery_id bigint, operation_type string, ns string, cluster_time struct<t:bigint,i:bigint>")
+    assert parse.stream_ddl(plain).first()["command"] is None
+    with pytest.raises(Exception, match="a rename without a target"):
+        parse.stream_ddl(plain.withColumn("to_ns", F.lit(None).cast("string"))).collect()
+
+
 def test_segments_against_a_count(spark):
     import random
 

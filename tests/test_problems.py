@@ -279,10 +279,10 @@ def test_any_batching_of_patches_on_scalar_parents():
             size = rng.randint(1, 4)
             state = mor_table.State()
             for op, t, doc in arrival[at : at + size]:
-                mor_table.apply_change(state, op, (1, t, 1), mor_table.parse_raw(json.dumps(doc)) if doc else None)
+                mor_table.apply_change(state, op, (1, t, 1), mor_table.parse_raw(json.dumps(doc)) if doc else None, json.dumps(doc))
             at += size
             if state.reset is not None or state.ops:
-                image.append(mor_table._row(("n", "1"), state))
+                image.append(mor_table._row(("n", "1"), state, False))
             image = [tuple(c[0] for c in b.to_pydict().values()) for b in mor_table._fold_by_key(iter([mor_table._images(image)])) if b.num_rows]
         fields = json.loads(image[0][3]) if image and image[0][2] else {}
         got_fields = {(p, json.loads(v) if v[0] == '"' else v) for p, v in fields.items() if v[0] not in "[{"}

@@ -38,7 +38,8 @@ from tidemark.functions.docs import Raw, is_tagged, parse, parse_raw
 from tidemark.session import ship
 from tidemark.store import Store, Versions
 
-#: An image, and also a folded change: fields maps dotted paths to JSON texts; r_* is the last reset; ops are the patches since.
+#: An image, and also a folded change: fields is JSON that maps dotted paths to JSON texts; r_* is the last reset; ops are the
+#: patches since. A change holds the document as it came, after a mark, since only the last one of a key is ever taken apart.
 IMAGE = "ns string, doc_key string, alive boolean, fields string, r_phase int, r_t bigint, r_i bigint, ops string"
 _IMAGE = pa.schema([("ns", pa.string()), ("doc_key", pa.string()), ("alive", pa.bool_()), ("fields", pa.string()), ("r_phase", pa.int32()), ("r_t", pa.int64()), ("r_i", pa.int64()), ("ops", pa.string())])
 INDEX = "ns string, doc_key string, file bigint, pos bigint"
@@ -51,6 +52,7 @@ MOST_NAMED_FILES = 10_000
 #: So many segments of the index, vectors or data folders are kept before they are merged.
 MOST_SEGMENTS, MOST_FOLDERS = 8, 64
 _esc = json.encoder.encode_basestring
+_WHOLE = "\x01"
 
 
 def _text(value) -> str:
@@ -113,7 +115,16 @@ class State:
     def __init__(self):
         self.reset, self.alive, self.fields, self.ops = None, False, {}, {}
 
-    def replace(self, pos: tuple, fields: dict | None) -> None:
+    def taken_apart(self) -> dict[str, str]:
+        """``fields`` as a dictionary; until it is needed it may be the text of an image or of a whole document."""
+        if type(self.fields) is str:
+            if self.fields[:1] == _WHOLE:
+                self.fields = flatten({k: v for k, v in parse_raw(self.fields[1:]).items() if k != "_id"})
+            else:
+                self.fields = parse(self.fields)
+        return self.fields
+
+    def replace(self, pos: tuple, fields: dict | str | None) -> None:
         """Of a removal and a document at one position, which only a schema change gives, the document stays."""
         if self.reset is None or pos > self.reset or (pos == self.reset and fields is not None and not self.alive):
             self.reset, self.alive, self.fields = pos, fields is not None, fields or {}
@@ -140,7 +151,9 @@ class State:
 
     def replay(self) -> None:
         """Bring ``fields`` up to date. The patches stay, so that older changes can still come in below them."""
-        fields = self.fields
+        if not self.ops:
+            return
+        fields = self.taken_apart()
         steps = []
         for path, (at, value, put) in self.ops.items():
             if put is not None and put != at:
@@ -176,14 +189,15 @@ def _place(at: list | None) -> tuple | None:
     return None if at is None else (tuple(at[0]), at[1])
 
 
-def apply_change(state: State, op: str, pos: tuple, doc: dict | None) -> None:
+def apply_change(state: State, op: str, pos: tuple, doc: dict | None, text: str) -> None:
+    """Note a change; ``text`` is what ``doc`` was parsed from."""
     if op == "d":
         state.replace(pos, None)
     elif op in ("c", "r") and doc is not None:
-        state.replace(pos, flatten({k: v for k, v in doc.items() if k != "_id"}))
+        state.replace(pos, _WHOLE + text)
     elif op == "u" and doc is not None:
         if not any(k[:1] == "$" for k in doc):
-            state.replace(pos, flatten({k: v for k, v in doc.items() if k != "_id"}))
+            state.replace(pos, _WHOLE + text)
             return
         puts, drops = doc.get("$set"), doc.get("$unset")
         rank = 0
@@ -210,8 +224,12 @@ def _document(text: str | None) -> dict | None:
     return doc if isinstance(doc, dict) else None
 
 
-def _row(key: tuple, s: State) -> tuple:
-    return (*key, s.alive, _dump(s.fields) if s.alive else None, *(s.reset or (None,) * 3), s.ops_text())
+def _row(key: tuple, s: State, final: bool = True) -> tuple:
+    """A state as a row; a final one, an image, has its document taken apart."""
+    fields = s.fields if s.alive else None
+    if final and type(fields) is str and fields[:1] == _WHOLE:
+        fields = s.taken_apart()
+    return (*key, s.alive, _dump(fields) if type(fields) is dict else fields, *(s.reset or (None,) * 3), s.ops_text())
 
 
 def _images(rows: list[tuple]) -> pa.RecordBatch:
@@ -229,8 +247,8 @@ def _fold_map_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 continue
             if (state := states.get((ns, key))) is None:
                 state = states[ns, key] = State()
-            apply_change(state, op, (phase, t, i), after_doc)
-        yield _images([_row(key, s) for key, s in states.items() if s.reset is not None or s.ops])
+            apply_change(state, op, (phase, t, i), after_doc, after)
+        yield _images([_row(key, s, False) for key, s in states.items() if s.reset is not None or s.ops])
 
 
 def _fold_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +259,7 @@ def _fold_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = State()
         _, _, state.alive, fields, phase, t, i, ops = row
         state.reset = None if t is None else (phase, t, i)
-        state.fields = parse(fields) if fields else {}
+        state.fields = fields or {}
         return state.load_ops(ops)
 
     state = None  # of the rows of the key before the last one, if there are several
@@ -250,7 +268,7 @@ def _fold_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
         last = rows.pop()
-        if state is None and last[7] is None:
+        if state is None and last[7] is None and (last[3] is None or last[3][:1] != _WHOLE):
             out.append(last)
             return
         whole = State() if state is None else state
