@@ -199,8 +199,8 @@ def stream_ddl(changes: DataFrame) -> DataFrame:
     """Schema changes of a change stream; an invalidate is none.
 
     Where the table has them, ``to_ns`` gives a rename's target, and ``operation_description`` (JSON) the indexes: one
-    row per index built or dropped. ``command`` is the change in the form of a log's command; a rename without a target
-    has none, which is an error.
+    row per index built or dropped. ``command`` is the change in the form of a log's command. A rename without a target is
+    an error where the table has targets; where it has none, the command is null.
     """
     kind = _lookup(F.lower("operation_type"), STREAM_DDL)
     text = lambda name: F.col(name) if name in changes.columns else F.lit(None).cast("string")
@@ -211,7 +211,8 @@ def stream_ddl(changes: DataFrame) -> DataFrame:
     quoted = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
     verb = F.map_from_arrays(F.array(*map(F.lit, STREAM_DDL.values())), F.array(*map(F.lit, ("create", "createIndexes", "dropIndexes", "drop", "renameCollection", "dropDatabase"))))[F.col("ddl_type")]
     body = (
-        F.when((F.col("ddl_type") == "RENAME_COLLECTION") & F.col("target").isNull(), F.raise_error(F.concat(F.lit("a rename without a target: delivery "), F.col("delivery_id").cast("string"))))
+        F.when((F.col("ddl_type") == "RENAME_COLLECTION") & F.col("target").isNull() & F.lit("to_ns" not in changes.columns), F.lit(None).cast("string"))
+        .when((F.col("ddl_type") == "RENAME_COLLECTION") & F.col("target").isNull(), F.raise_error(F.concat(F.lit("a rename without a target: delivery "), F.col("delivery_id").cast("string"))))
         .when(F.col("ddl_type") == "RENAME_COLLECTION", F.concat(quoted(F.concat_ws(".", "database", "collection")), F.lit(',"to":'), quoted(F.col("target"))))
         .when(F.col("ddl_type") == "DROP_DATABASE", F.lit("1"))
         .when((F.col("ddl_type") == "CREATE_INDEXES") & F.col("spec").isNotNull(), F.concat(quoted(F.col("collection")), F.lit(',"indexes":['), "spec", F.lit("]")))

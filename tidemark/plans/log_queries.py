@@ -349,6 +349,12 @@ def rename_chain(spark, sf_dir):
     return ddl.rename_chain(rows)
 
 
+def log_renames(spark, sf_dir):
+    """Where each collection that the log renames ends."""
+    rows = parse.log_ddl(_oplog(spark, sf_dir)).where("ddl_type = 'RENAME_COLLECTION'")
+    return ddl.rename_chain(rows.select(F.concat_ws(".", "database", "collection").alias("source"), "target"))
+
+
 def ddl_apply_catalog(spark, sf_dir):
     """Schema changes of the log applied to the catalog, under databases of this run's own, as statements."""
     own = f"tm{uuid.uuid4().hex[:12]}_"
@@ -376,7 +382,7 @@ QUERIES = {
         snapshot_scan, snapshot_envelope, id_type_bounds, id_range_split, range_scan_counts, range_doc_count, range_filter, oplog_window, oplog_ns_filter, oplog_bounds, history_lost, cs_resume, cs_start_time, skip_migrate,
         user_pipeline_filter, ns_discover, topology_classify, version_gates, capture_resolve, capture_validate, oplog_kind, oplog_crud, strip_v, v1_index_normalize, diff_normalize, op_normalize,
         update_desc, event_time, cs_ddl, oplog_ddl, transit_types, ts_format, extract_id, token_digest, offset_path, progress_line, ns_system, ns_white, ns_black, rule_parse, ns_map, ns_invalidate,
-        is_patch, index_plan, index_specs, structure_options, bootstrap_plan, transit_documents, has_unique, unique_timeline, ddl_segments, drop_resets, rename_chain, ddl_apply_catalog, sync_with_ddl,
+        is_patch, index_plan, index_specs, structure_options, bootstrap_plan, transit_documents, has_unique, unique_timeline, ddl_segments, drop_resets, rename_chain, log_renames, ddl_apply_catalog, sync_with_ddl,
     )
 }
 
@@ -520,5 +526,8 @@ ORACLES = {
         ends AS (SELECT database || '.' || collection AS ns, (ts_t, ts_i) AS pos FROM ddl WHERE ddl_type IN ('DROP_COLLECTION', 'RENAME_COLLECTION')),
         last AS (SELECT ns, k, arg_max(op, pos) AS op, max(pos) AS pos FROM own WHERE k IS NOT NULL GROUP BY ns, k)
         SELECT ns, count(*) AS docs FROM last l WHERE op <> 'd' AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.ns = l.ns AND e.pos >= l.pos) GROUP BY ns""",
+    "log_renames": f"""WITH RECURSIVE {DDL}, r AS (SELECT database || '.' || collection AS source, min(target) AS target FROM ddl WHERE ddl_type = 'RENAME_COLLECTION' GROUP BY 1),
+        c AS (SELECT source, target FROM r UNION SELECT c.source, r.target FROM c JOIN r ON r.source = c.target)
+        SELECT source, target AS final FROM c WHERE target NOT IN (SELECT source FROM r)""",
     "rename_chain": "SELECT 'db.c' || c_custkey AS source, 'db.c' || ((c_custkey // 5 + 1) * 5) AS final FROM customer WHERE c_custkey % 5 <> 0",
 }
