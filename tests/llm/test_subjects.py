@@ -104,6 +104,20 @@ def test_held_out_accuracy(spark):
     assert right / sum(len(got[d]) for d in said) > 0.94 and right / sum(map(len, said.values())) > 0.94
 
 
+def test_the_sample_bounds_what_comes_back(spark, monkeypatch):
+    """Twice the labels beyond SAMPLE leave the sample, and the rows that come to the driver, as many."""
+    monkeypatch.setattr(subjects, "SAMPLE", 60)
+    folder = "/root/testdata/sf0.01"
+    documents, terms, labels = (read_table(spark, folder, t) for t in ("documents", "subject_terms", "subject_labels"))
+    sizes, rows = [], []
+    scores = subjects._held_out_scores
+    monkeypatch.setattr(subjects, "_held_out_scores", lambda sample, models: rows.append(scores(sample, models)) or rows[-1])
+    for part in (labels.where("label_id % 2 = 0"), labels):
+        sizes.append(len(subjects.fit(documents, terms, part).weights))
+    assert labels.select("doc_id").distinct().count() > 150
+    assert all(0 < len(r) <= 60 for r in rows) and abs(sizes[0] - sizes[1]) < 0.35 * sizes[0]
+
+
 def test_composition(spark, small):
     from collections import Counter
 
