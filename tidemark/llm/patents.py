@@ -11,7 +11,8 @@ DESCRIPTION_HEADS = ("description", "detailed description", "embodiments", "tech
 CLAIM_HEADS = ("claims", "what is claimed is", "we claim", "ansprüche", "patentansprüche", "revendications", "权利要求书")
 
 #: Characters that carry no text (soft hyphen, zero-width characters, byte-order mark).
-_INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _SPACES = re.compile(r"[^\S\n]+")
 _NUMBERED = re.compile(r"\d+\s*\.\s*(\D.*)")
 _MARKED_CLAIM = re.compile(r"\[claim\s*1\s*\]")
@@ -21,7 +22,8 @@ _HYPHENED = re.compile(r"(?<=\w)-\n\s*(?=\w)")
 
 def normal(text: str) -> str:
     """Compatibility form, lower case, without invisible characters; words that a line end cut are whole again."""
-    text = text if text.isascii() else _INVISIBLE.sub("", text)
+    if not text.isascii() and any(c in text for c in INVISIBLE):
+        text = _INVISIBLE.sub("", text)
     if not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
     text = text.lower().replace("’", "'")
