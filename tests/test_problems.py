@@ -309,11 +309,19 @@ def test_a_small_batch_moves_little(spark):
     marks = table._read(mor_table.VECTORS, manifest["deleted"][0][0])
     assert marks.agg(F.sum(F.expr("bitmap_count(bits)"))).first()[0] == 1
     before = dict(manifest, data=manifest["data"][:1], deleted=[])
-    fetch = table._superseded(before, marks, 1)
+    fetch = table._superseded(before, marks, *table._touched(marks))
     assert len([f for f in fetch.inputFiles() if "/data-" in f]) == 1 and fetch.count() == 1
     assert "Exchange hashpartitioning" not in fetch._jdf.queryExecution().executedPlan().toString()
 
 
+def test_more_touched_files_than_can_be_named(spark, small, rows, monkeypatch):
+    monkeypatch.setattr(mor_table, "MOST_NAMED_FILES", 1)
+    monkeypatch.setattr(mor_table, "MOST_BROADCAST", 0)
+    e = read_table(spark, small, "transfer_events")
+    table = current(spark, *(e.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == k) for k in range(3)))
+    assert got(mor_table.scalar_fields(table.read())) == brute.current(rows("transfer_events"))
+
+
 def test_compaction_and_vacuum_keep_the_documents(spark, small, rows, monkeypatch):
     monkeypatch.setattr(mor_table, "MOST_SEGMENTS", 2)
     e = read_table(spark, small, "transfer_events")

@@ -443,10 +443,9 @@ class MorTable:
             bits = located.groupBy("file", F.expr("bitmap_bucket_number(pos + 1)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(pos + 1))").alias("bits"))
             bits.write.parquet(f"{self.path}/deleted-{stamp}")
             marks = self._read(VECTORS, f"deleted-{stamp}")
-            bitmaps = marks.count()
+            bitmaps, touched = self._touched(marks)
             if bitmaps:
-                old = self._superseded(manifest, marks, bitmaps)
-                deltas = deltas.unionByName(old)
+                deltas = deltas.unionByName(self._superseded(manifest, marks, bitmaps, touched))
         images = deltas.repartition("ns", "doc_key").sortWithinPartitions("ns", "doc_key").mapInArrow(_fold_by_key, IMAGE)
         images.write.parquet(f"{self.path}/data-{stamp}")
         fresh = self._placed(f"data-{stamp}").select("ns", "doc_key", "file", "pos")
@@ -466,11 +465,17 @@ class MorTable:
             self.compact()
         return self
 
-    def _superseded(self, manifest: dict, marks: DataFrame, bitmaps: int) -> DataFrame:
+    def _touched(self, marks: DataFrame) -> tuple[int, list[int] | None]:
+        """How many bitmaps a vector has, and the files that it marks, if they aren't too many to be named."""
+        files = marks.groupBy("file").agg(F.count("*").alias("n")).limit(MOST_NAMED_FILES + 1).collect()
+        if len(files) > MOST_NAMED_FILES:
+            return marks.count(), None
+        return sum(r["n"] for r in files), [r["file"] for r in files]
+
+    def _superseded(self, manifest: dict, marks: DataFrame, bitmaps: int, touched: list[int] | None) -> DataFrame:
         """The live images at the marked positions, read from the files that have any."""
         folders = [n for n, _ in manifest["data"]]
-        touched = [r["file"] for r in marks.select("file").distinct().limit(MOST_NAMED_FILES + 1).collect()]
-        if len(touched) <= MOST_NAMED_FILES:
+        if touched is not None:
             folders = self._files(folders, set(touched)) or folders[:1]
         live = self._live_rows(manifest, folders)
         return self._marked(live, marks, bitmaps, keep=True).drop("file", "pos")
